@@ -6,6 +6,8 @@ broadcast. Callers extend it with ``extra`` rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,11 +212,12 @@ ATTRS = ("category", "stage_hint", "equivalence_group", "operation_type",
 
 
 def _descriptor_map() -> Column:
-    """The built-in registry as one constant map, so lookup needs no join."""
-    entries = []
-    for name, *attrs in registry_rows():
-        entries += [F.lit(name), _descriptor(attrs)]
-    return F.create_map(*entries)
+    """The built-in registry as one constant-folded map, so lookup needs no join."""
+    table = {name: dict(zip(ATTRS, attrs)) for name, *attrs in registry_rows()}
+    return F.from_json(F.lit(json.dumps(table)),
+                       "map<string, struct<category: string, stage_hint: string, "
+                       "equivalence_group: string, operation_type: string, "
+                       "comparison_strategy: string, context_sensitive: boolean>>")
 
 
 def _descriptor(attrs) -> Column:
@@ -233,7 +236,7 @@ def with_descriptor(df: DataFrame, tool: str = "tool_used",
     for _, prefix, *attrs in reversed(prefix_rows()):
         fallback = F.when(name.startswith(prefix), _descriptor(attrs)).otherwise(fallback)
     if extra is None:
-        found = F.coalesce(F.element_at(_descriptor_map(), name), fallback)
+        found = F.coalesce(F.try_element_at(_descriptor_map(), name), fallback)
         return df.withColumn("_d", found).select(
             *df.columns, *[F.col(f"_d.{a}").alias(a) for a in ATTRS])
     table = tool_registry(df.sparkSession, extra).select(

@@ -66,7 +66,7 @@ def lagged(df: DataFrame, columns: dict[str, tuple[str | Column, int]],
     pos = F.pmod(F.col("seq"), F.lit(chunk_rows))
     places = [F.struct(F.col("chunk").alias("c"), F.lit(False).alias("h"))]
     if back:
-        places.append(F.when((pos >= chunk_rows - back) & (F.col("seq") + back >= 0),
+        places.append(F.when(pos >= chunk_rows - back,
                              F.struct((F.col("chunk") + 1).alias("c"), F.lit(True).alias("h"))))
     if ahead:
         places.append(F.when((pos < ahead) & (F.col("chunk") > 0),
