@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from runloom.functions.text import blank
 from runloom.operators.intent import STAGES, stage_letter, transition_type
@@ -84,7 +85,7 @@ def transition_counts(states: DataFrame, keys: Sequence[str] = RUN_KEYS) -> Data
         F.count_if(F.col("transition") == t).alias(t) for t in ("deepen", "pivot", "backtrack", "confirm")])
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, one bit per symbol of ``b``."""
     def length(x: str, y: str) -> int:

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Call-site capture costs more than the plans themselves on wide projections.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
