@@ -199,11 +199,14 @@ def letter_segments(s: Column, n: int = SEGMENTS) -> list[Column]:
 
 
 def letter_profile_score(a: Column, b: Column, n: int = SEGMENTS) -> Column:
-    def dist(piece):
-        cells = [letter_count(piece, x) + ALPHA for x in LETTERS]
-        total = F.length(piece) + 4 * ALPHA
-        return [c / total for c in cells]
-    mean = sum((X.jsd(dist(p), dist(q)) for p, q in zip(letter_segments(a, n), letter_segments(b, n))), F.lit(0.0)) / n
+    """Temporal profile similarity of two letter strings; the arrays hold the smoothed
+    stage shares of all segments in a row."""
+    def shares(s):
+        return F.flatten(F.transform(F.array(*letter_segments(s, n)), lambda piece: F.array(*[
+            (letter_count(piece, x) + ALPHA) / (F.length(piece) + 4 * ALPHA) for x in LETTERS])))
+    terms = F.zip_with(shares(a), shares(b), lambda p, q: 0.5 * p * F.log2(2 * p / (p + q))
+                       + 0.5 * q * F.log2(2 * q / (p + q)))
+    mean = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) / n
     return F.when((F.length(a) > 0) & (F.length(b) > 0), F.greatest(F.lit(0.0), 1.0 - mean)).otherwise(0.0)
 
 
@@ -232,11 +235,13 @@ def match_metrics(best: DataFrame, run_features: DataFrame, keys: Sequence[str]
     at = F.lit(None).cast("string")
     for x, s in reversed(list(zip(LETTERS, STAGES))):
         at = F.when(F.col(f"stage_coverage_{x}") == low, s).otherwise(at)
-    labelled = F.replace(stages, F.lit("-"), F.lit(""))
-    letters = F.regexp_replace(blank("fingerprint"), "[^EIVO]", "")
-    missing = F.array_except(F.sequence(F.lit(0), size - 1), F.col("m.set_pos"))
+    keep = [c for c in j.columns if c != "_hit"]
+    j = j.select("*", F.replace(stages, F.lit("-"), F.lit("")).alias("_ref"),
+                 F.regexp_replace(blank("fingerprint"), "[^EIVO]", "").alias("_run"),
+                 F.array_except(F.sequence(F.lit(0), size - 1), F.col("m.set_pos")).alias("missing_steps"))
+    labelled, letters, missing = F.col("_ref"), F.col("_run"), F.col("missing_steps")
     return j.select(
-        *[c for c in j.columns if c not in ("_hit",)],
+        *keep, "missing_steps",
         matched.alias("matched_count"), size.alias("total_ref_states"), F.col("best.path_id").alias("best_path"),
         recall.alias("coverage_percent"), precision.alias("precision_percent"),
         F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0).alias("f1_score"),
@@ -247,7 +252,7 @@ def match_metrics(best: DataFrame, run_features: DataFrame, keys: Sequence[str]
         X.workflow_similarity(letters, labelled).alias("workflow_similarity"),
         letter_profile_score(letters, labelled).alias("temporal_profile_score"),
         F.size("m.sub_pos").alias("ordered_matched"), F.size("m.al_pos").alias("aligned_count"),
-        missing.alias("missing_steps"), F.get(missing, F.lit(0)).alias("divergence_index"))
+        F.get(missing, F.lit(0)).alias("divergence_index"))
 
 
 def run_features(cand: DataFrame) -> DataFrame:

@@ -71,14 +71,14 @@ def lagged(df: DataFrame, columns: dict[str, tuple[str | Column, int]],
     if ahead:
         places.append(F.when((pos < ahead) & (F.col("chunk") > 0),
                              F.struct((F.col("chunk") - 1).alias("c"), F.lit(True).alias("h"))))
-    spread = (df.withColumn("_p", F.explode(F.array_compact(F.array(*places))))
-              .withColumn("chunk", F.col("_p.c")))
+    spread = (df.withColumn("__place", F.explode(F.array_compact(F.array(*places))))
+              .withColumn("chunk", F.col("__place.c")))
     w = chunk_window(keys)
     for out, (value, offset) in columns.items():
         value = F.col(value) if isinstance(value, str) else value
         spread = spread.withColumn(out, F.lag(value, offset).over(w) if offset > 0
                                    else F.lead(value, -offset).over(w))
-    return spread.where(~F.col("_p.h")).drop("_p")
+    return spread.where(~F.col("__place.h")).drop("__place")
 
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
