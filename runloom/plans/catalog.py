@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from runloom.plans import catalog_match, catalog_steps
+from runloom.plans import catalog_eval, catalog_match, catalog_steps
 
-MODULES = (catalog_steps, catalog_match)
+MODULES = (catalog_steps, catalog_match, catalog_eval)
 
 
 def all_queries() -> dict:
