@@ -206,9 +206,13 @@ def cascade(a: Column, b: Column, use_stage: bool = True,
 
 
 def equivalence_pairs(ref: DataFrame, cand: DataFrame, keys: Sequence[str] = ("task_id",),
-                      use_stage: bool = True, resolver=None) -> DataFrame:
+                      use_stage: bool = True, resolver=None,
+                      extra_keys: Callable[[Column], Column] | None = None) -> DataFrame:
     """Equivalent signature pairs: keys, ref_sig, cand_sig, confidence, method.
 
+    A ``resolver`` sees the pairs that share a block key; ``extra_keys`` adds keys (an array
+    of text per content) for rules that match on something else.
+
     Inputs carry ``c`` and ``sig``. The reference side is one graph per key; candidates
     may be many, so the work is linear in distinct candidate signatures.
     """
@@ -216,8 +220,11 @@ def equivalence_pairs(ref: DataFrame, cand: DataFrame, keys: Sequence[str] = ("t
 
     def side(df, name):
         out = df.groupBy(*keys, "sig").agg(F.first("c").alias("c"))
+        found = block_keys(F.col("c"), name)
+        if extra_keys is not None:
+            found = F.array_distinct(F.concat(found, extra_keys(F.col("c"))))
         return out.select(*keys, F.col("sig").alias(f"{name}_sig"), F.col("c").alias(name),
-                          F.explode(block_keys(F.col("c"), name)).alias("_key"))
+                          F.explode(found).alias("_key"))
     pairs = side(ref, "ref").join(side(cand, "cand"), [*keys, "_key"])
     if use_stage:
         pairs = pairs.where((F.col("ref.stage") == "") | (F.col("cand.stage") == "")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from runloom.plans import catalog_eval, catalog_match, catalog_steps
+from runloom.plans import catalog_eval, catalog_match, catalog_more, catalog_sources, catalog_steps
 
-MODULES = (catalog_steps, catalog_match, catalog_eval)
+MODULES = (catalog_steps, catalog_match, catalog_eval, catalog_sources, catalog_more)
 
 
 def all_queries() -> dict:

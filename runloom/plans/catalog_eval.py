@@ -73,7 +73,8 @@ def disc_sql(g, src="ls", low=False):
  cj AS (SELECT *, round(CAST(tp AS DOUBLE) / pp - CAST(fp AS DOUBLE) / nn, 12) AS j, abs(CAST(pl AS DOUBLE) / pp - CAST(nl AS DOUBLE) / nn) AS gap FROM cf JOIN gg USING ({g})),
  bj AS (SELECT {g}, max(j) AS bj, max(gap) AS ks FROM cj GROUP BY ALL),
  bt AS (SELECT {g}, {t}(t) AS t FROM cj JOIN bj USING ({g}) WHERE j = bj GROUP BY ALL),
- ds AS (SELECT *, pp - tp AS fn, nn - fp AS tn, u / (CAST(pp AS DOUBLE) * nn) AS auroc FROM cj JOIN bt USING ({g}, t) JOIN bj USING ({g}) JOIN au USING ({g}))"""
+ dt AS (SELECT * REPLACE (CASE WHEN j > 0 THEN tp ELSE 0 END AS tp, CASE WHEN j > 0 THEN fp ELSE 0 END AS fp) FROM cj),
+ ds AS (SELECT *, pp - tp AS fn, nn - fp AS tn, u / (CAST(pp AS DOUBLE) * nn) AS auroc FROM dt JOIN bt USING ({g}, t) JOIN bj USING ({g}) JOIN au USING ({g}))"""
 
 
 add("auroc", lambda s, d: rounded(E.discrimination(long_scores(s, d), ["score_type"]).select("score_type", "num_passed", "num_failed", "auroc")),
