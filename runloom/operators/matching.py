@@ -23,6 +23,7 @@ from runloom.functions.text import blank
 from runloom.operators import features as X
 from runloom.operators.features import ALPHA, LETTERS, SEGMENTS
 from runloom.operators.intent import STAGES, stage_letter
+from runloom.operators.scan import spread
 
 INTS = ArrayType(IntegerType())
 MATCH = StructType([StructField(n, INTS) for n in ("set_pos", "set_seq", "sub_pos", "sub_seq", "al_pos", "al_seq")]
@@ -170,7 +171,7 @@ def best_match(hits: DataFrame, refs: DataFrame, keys: Sequence[str] = ("task_id
     the set matching on the chosen path.
     """
     on = [k for k in keys if k in hits.columns]
-    j = hits.join(refs, on)
+    j = spread(hits).join(refs, on)
     if strategy == "canonical":
         rank = F.transform("paths", lambda p, i: F.struct(
             p["n_stages"], p["total"], (-i).alias("first"), p.alias("p")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from runloom.functions.text import blank
 from runloom.operators.equivalence import equivalence_pairs
 from runloom.operators.intent import label_intent
-from runloom.operators.scan import number_rows
+from runloom.operators.scan import by_group, number_rows
 
 PATH_CAP = 50
 # Effects grouped across steps, and effects never grouped.
@@ -99,7 +99,7 @@ def merge_runs(donor_steps: DataFrame, keys: Sequence[str] = ("task_id",)) -> Da
             out[name] = value
         out["branch_from"] = out["branch_from"].astype("Int32")
         return out[[*keys, "trajectory_id", "seq", "merged_id", "is_new", "branch_from"]]
-    return steps.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(fold, schema)
+    return by_group(steps, keys).groupBy(*keys).cogroup(by_group(pairs, keys).groupBy(*keys)).applyInPandas(fold, schema)
 
 
 def merge_stats(donor_steps: DataFrame, mapping: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
@@ -326,8 +326,8 @@ def enumerate_paths(states: DataFrame, edges: DataFrame, terminals: DataFrame |
         return out[[*keys, "path_id", "pos", "merged_id"]]
     types = {f.name: f.dataType.simpleString() for f in states.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", path_id int, pos int, merged_id int"
-    return flagged.groupBy(*keys).cogroup(_fresh(edges, keys, "src", "dst", "edge_no").groupBy(*keys)) \
-        .applyInPandas(walk, schema)
+    return by_group(flagged, keys).groupBy(*keys).cogroup(
+        by_group(_fresh(edges, keys, "src", "dst", "edge_no"), keys).groupBy(*keys)).applyInPandas(walk, schema)
 
 
 def path_summary(path_states: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:

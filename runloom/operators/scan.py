@@ -111,3 +111,25 @@ def running(df: DataFrame, columns: dict[str, tuple[str, Column]],
             value = (F.greatest if kind == "max" else F.least)(here, past)
         joined = joined.withColumn(out, value)
     return joined.drop(*[f"_c_{o}" for o in columns])
+
+
+def task_count(df: DataFrame) -> int:
+    """Tasks to use where work per row is heavy but bytes are few: what the session asks of
+    a shuffle, and at least every core once."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance rows that arrive in fewer splits than there are cores.
+
+    Large inputs come in many splits and pass through unchanged. The explicit count also
+    keeps adaptive execution from merging small but costly partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(task_count(df))
+
+
+def by_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash rows by group for per-group Python work, one shuffle, not merged afterwards."""
+    return df.repartition(task_count(df), *keys)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators.intent import label_intent
 from runloom.operators.normalize import states_from_entries
-from runloom.operators.scan import CHUNK_ROWS, number_rows
+from runloom.operators.scan import CHUNK_ROWS, number_rows, spread
 from runloom.plans.store import staged
 
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
@@ -22,7 +22,7 @@ def _s(c: Column) -> Column:
 
 
 def event_entries(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENT_COLUMNS)
+    ev = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENT_COLUMNS))
     k, et = F.col("k"), F.col("event_type")
 
     def sel(pairs, default, n):
@@ -95,5 +95,9 @@ def labelled_events(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_RO
 
 
 def staged_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled event steps, normalised once per session."""
-    return staged(spark, "steps", sf_dir, lambda: labelled_events(spark, sf_dir))
+    """Labelled event steps. Normalised states are written first: labelling reads them three
+    times (steps, first writes, chunk totals), and they cost far more than the labels."""
+    def build():
+        states = staged(spark, "states", sf_dir, lambda: event_states(spark, sf_dir))
+        return label_intent(states)
+    return staged(spark, "steps", sf_dir, build)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators.intent import label_intent
 from runloom.operators.normalize import states_from_entries, with_initial_state
+from runloom.operators.scan import spread
 from runloom.plans import dataset as D
 from runloom.plans.store import _root, staged
 from runloom.sources import readers as R
@@ -22,7 +23,7 @@ def add(name, fn, sql=None):
 
 def _events(s, d):
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    return s.read.parquet(f"{d}/events.parquet").select(
+    return spread(s.read.parquet(f"{d}/events.parquet")).select(
         F.floor(F.col("user_id") / 10).cast("int").alias("task_id"), F.col("event_id").alias("trajectory_id"), k.alias("k"))
 
 
