@@ -123,8 +123,9 @@ def task_count(df: DataFrame) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance rows that arrive in fewer splits than there are cores.
 
-    Large inputs come in many splits and pass through unchanged. The explicit count also
-    keeps adaptive execution from merging small but costly partitions.
+    For table scans only: counting the splits of a plan with shuffles would run them. Large
+    inputs come in many splits and pass through unchanged. The explicit count also keeps
+    adaptive execution from merging small but costly partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(task_count(df))

@@ -13,6 +13,7 @@ from runloom.operators import equivalence as Q
 from runloom.operators import matching as M
 from runloom.operators import refgraph as G
 from runloom.operators import waste as W
+from runloom.operators.scan import spread
 from runloom.plans import dataset as D
 from runloom.plans.catalog_steps import COHERENCE_CTE
 from runloom.plans.oracle_base import labelled, q, rx, ttype
@@ -59,7 +60,7 @@ def lone_hits(s, d):
 
 def lone_metrics(s, d):
     return staged(s, "lone_metrics", d, lambda: M.match_metrics(
-        M.best_match(lone_hits(s, d), lone_refs(s, d)), M.run_features(lone_cand(s, d))))
+        M.best_match(spread(lone_hits(s, d)), lone_refs(s, d)), M.run_features(lone_cand(s, d))))
 
 
 def lone_reports(s, d):
@@ -339,7 +340,8 @@ add("failure_reasons", lambda s, d: lone_reports(s, d).where("verdict NOT IN ('P
     FROM (SELECT *, list_filter(range(0, m), lambda p: NOT list_contains(mpos, p))[1] / CAST(m AS DOUBLE) AS dv, {VERDICT} AS verdict
       FROM {PRF} JOIN stm USING (trajectory_id) JOIN tm USING (trajectory_id)) WHERE verdict NOT IN ('PASS', 'LIKELY PASS')""")
 add("quality_tier", lambda s, d: lone_reports(s, d).select(*K, "quality_tier"),
-    MBASE + COHERENCE_CTE + f""" SELECT task_id, trajectory_id, CASE WHEN verdict IN ('PASS', 'LIKELY PASS') THEN CASE WHEN recall >= 70 AND coherence >= 0.6 AND completeness >= 0.75 THEN 'ideal'
+    MBASE + COHERENCE_CTE.replace("rc AS (SELECT trajectory_id", "rcn AS (SELECT trajectory_id").replace("JOIN rc USING", "JOIN rcn USING") +
+    f""" SELECT task_id, trajectory_id, CASE WHEN verdict IN ('PASS', 'LIKELY PASS') THEN CASE WHEN recall >= 70 AND coherence >= 0.6 AND completeness >= 0.75 THEN 'ideal'
       WHEN recall >= 50 AND coherence >= 0.4 AND completeness >= 0.5 THEN 'solid' ELSE 'lucky' END WHEN recall >= 40 AND completeness >= 0.5 THEN 'partial_fail' ELSE 'off_track' END AS quality_tier
     FROM (SELECT *, {VERDICT} AS verdict FROM (SELECT * EXCLUDE (task_id) FROM {PRF}) JOIN stm USING (trajectory_id) JOIN tm USING (trajectory_id) JOIN coh USING (trajectory_id))""")
 add("quality_score", lambda s, d: D.reports(s, d).select(*K, F.col("quality_score"), r6("process_score", "process_score"), *[r6(A.combined_score(

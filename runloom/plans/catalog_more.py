@@ -86,11 +86,14 @@ def _folder(s, name):
 
 
 def match_input(s, d):
-    """Candidate steps with the reference ids they match and the paths of their task."""
+    """Candidate steps with the positions they match on every reference path of their task."""
     link = CM.lone_pairs(s, d).join(M.reference_ids(CM.lone_ref(s, d)).withColumnRenamed("sig", "ref_sig"), ["task_id", "ref_sig"]).groupBy(
         "task_id", F.col("cand_sig").alias("sig")).agg(F.collect_set("rid").alias("rids"))
     refs = CM.lone_refs(s, d).select("task_id", F.transform("paths", lambda p: p["rids"]).alias("paths"))
-    return CM.lone_cand(s, d).select(*K, "seq", "sig").join(link, ["task_id", "sig"], "left").join(refs, "task_id").drop("sig")
+    places = F.transform("paths", lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.coalesce(
+        F.array_contains("rids", F.get(p, i)), F.lit(False))))
+    return CM.lone_cand(s, d).select(*K, "seq", "sig").join(link, ["task_id", "sig"], "left").join(refs, "task_id").select(
+        *K, "seq", places.alias("places"), F.transform("paths", lambda p: F.size(p)).alias("lengths"))
 
 
 add("incremental_match", lambda s, d: L.drain(L.incremental_match(_stream_of(s, d, "match_input", lambda: match_input(s, d))), _folder(s, "incremental")).select(

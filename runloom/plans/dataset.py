@@ -12,6 +12,7 @@ from runloom.operators import matching as M
 from runloom.operators import refgraph as G
 from runloom.operators import waste as Wt
 from runloom.operators.equivalence import equivalence_pairs, with_signature
+from runloom.operators.scan import spread
 from runloom.plans.adapter import staged_steps
 from runloom.plans.store import staged
 
@@ -125,7 +126,7 @@ def hits(s: SparkSession, d: str) -> DataFrame:
 
 
 def match_run(s: SparkSession, d: str, strategy: str = "best_match") -> DataFrame:
-    best = M.best_match(hits(s, d), reference_rows(s, d), ["task_id"], strategy)
+    best = M.best_match(spread(hits(s, d)), reference_rows(s, d), ["task_id"], strategy)
     return M.match_metrics(best, M.run_features(candidates(s, d)))
 
 
