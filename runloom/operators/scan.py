@@ -128,7 +128,7 @@ def spread(df: DataFrame) -> DataFrame:
     adaptive execution from merging small but costly partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(task_count(df))
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def by_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -37,3 +37,14 @@ def test_one_key_holding_most_rows_is_split(spark):
     hot = n.where("trajectory_id = -1")
     assert hot.select("seq").distinct().count() == hot.count() == 3333
     assert hot.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 256
+
+
+def test_labels_do_not_depend_on_the_chunk_size(spark, sf):
+    from runloom.operators.intent import label_intent
+    from runloom.operators.normalize import rechunk
+    from runloom.plans.adapter import staged_steps
+    whole = staged_steps(spark, sf)
+    cut = label_intent(rechunk(whole.drop("intent_stage"), 7), chunk_rows=7)
+    keys = ["task_id", "trajectory_id", "seq", "intent_stage"]
+    assert cut.select(keys).exceptAll(whole.select(keys)).count() == 0 and cut.count() == whole.count()
+    assert cut.select("chunk").distinct().count() > 5
