@@ -14,21 +14,50 @@ _STAGED: dict[tuple, str] = {}
 _ROOTS: dict[str, str] = {}
 
 
-def _root(spark: SparkSession) -> str:
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``.
+
+    A local folder is made up only for a local master without that setting; on a cluster the
+    executors would write to disks of their own, so there the setting is required.
+    """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        base = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError(f"set spark.checkpoint.dir to a shared folder; the master is {master}")
+            base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _ROOTS[app] = f"{base.rstrip('/')}/runloom-{uuid.uuid4().hex}"
     return _ROOTS[app]
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new, unused path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder made by ``shared_path``, on whatever file system it lies."""
+    if not path.startswith(shared_root(spark) + "/"):
+        raise ValueError(f"not a staged path: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a parquet table in the shared folder: evaluated once, lineage cut."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(spark: SparkSession, name: str, source: str,
            build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` derived from ``source``; built and written on first use."""
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _STAGED:
-        path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+        path = shared_path(spark, name)
         build().write.mode("overwrite").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
