@@ -9,7 +9,7 @@ from runloom.operators.intent import label_intent
 from runloom.operators.normalize import states_from_entries, with_initial_state
 from runloom.operators.scan import spread
 from runloom.plans import dataset as D
-from runloom.plans.store import _root, staged
+from runloom.plans.store import shared_root, staged
 from runloom.sources import readers as R
 from runloom.sources import sinks
 
