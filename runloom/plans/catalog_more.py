@@ -82,7 +82,7 @@ def _stream_of(s, d, name, build):
 
 
 def _folder(s, name):
-    return f"{store._root(s)}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{store.shared_root(s)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def match_input(s, d):

@@ -218,7 +218,7 @@ add("adapt_own_runs", _own, EV + "SELECT task_id, trajectory_id, 'edit,bash,othe
 def _written(name, write, read):
     """Write through a sink into the shared folder, then read the files back."""
     def fn(s, d):
-        key = f"{_root(s)}/sink-{name}-{d.rstrip('/').split('/')[-1]}"
+        key = f"{shared_root(s)}/sink-{name}-{d.rstrip('/').split('/')[-1]}"
         write(s, d, key)
         return read(s, key)
     return fn
