@@ -57,7 +57,20 @@ deduped AS (
 """
 OP3_SQL = f"WITH {LINE_DEDUP_SQL.format(source='documents')} SELECT * FROM deduped"
 
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.near_dedup import near_groups
+    return near_groups(_table(spark, sf_dir, "documents"), similarity=0.85)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.decontaminate import contamination
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op2_near_dedup": (op2_near_dedup, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op10_decontamination": (op10_decontamination, None),
 }
