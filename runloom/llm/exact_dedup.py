@@ -1,8 +1,8 @@
 """Exact duplicates with a heavy-hitter split, in DataFrame functions only.
 
 1. A frequent-items sketch (the mergeable Misra-Gries family) over a 64-bit text hash names every
-   value that fills more than 1/HEAVY_SHARE of the rows. Sketches are merged per slice, then over
-   the slices, so the last merge sees ``SLICES`` sketches whatever the input size.
+   value that fills more than 1/HEAVY_SHARE of the rows. Sketches of tasks are merged per slice of
+   the input, ``SLICES`` in all, and the slices' short lists are added up.
 2. Candidates are counted exactly on the full key. Those above the share win: at most
    ``HEAVY_SHARE`` rows, so their table can always be broadcast, and copies of a hot text are
    resolved where they are read, without a shuffle.
@@ -21,23 +21,27 @@ from runloom.plans.store import written
 
 HEAVY_SHARE = 2048
 #: Items per sketch. Its error is 3.5 / COUNTERS of the rows and it reports what lies two errors
-#: above zero, which is below 1 / HEAVY_SHARE: no heavy value is missed.
+#: above zero, 1/2340 of the rows, which is below 1 / HEAVY_SHARE: no heavy value is missed.
 COUNTERS = 16384
+#: Least share of a heavy value after these errors: 1/2048 - 1/2340.
+CANDIDATE_SHARE = 20_000
 SLICES = 64
 KEY = ["x", "d", "n"]
 
 
 def heavy_values(hashes: DataFrame, column: str, counters: int = COUNTERS, slices: int = SLICES) -> DataFrame:
-    """Distinct frequent values of a long column; a superset of those above 1/HEAVY_SHARE."""
+    """Distinct frequent values of a long column, with a count that is low by 1/2340 of all rows at most.
+
+    Each slice has one sketch. A value above 1/HEAVY_SHARE of all rows is above it in some slice, so
+    the slices' lists together hold every such value; their counts add up.
+    """
     per_slice = (hashes.select(F.pmod(F.spark_partition_id(), F.lit(slices)).alias("s"), F.col(column).alias("v"))
                  .groupBy("s").agg(F.expr(f"approx_top_k_accumulate(v, {counters})").alias("k")))
-    merged = per_slice.agg(F.expr(f"approx_top_k_combine(k, {counters})").alias("k")).where("k IS NOT NULL")
-    top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(k, {2 * HEAVY_SHARE})")).alias("e"))
-    return top.select(F.col("e.item").alias(column), F.col("e.count").alias("about"))
+    top = per_slice.select(F.explode(F.expr(f"approx_top_k_estimate(k, {2 * HEAVY_SHARE})")).alias("e"))
+    return top.groupBy(F.col("e.item").alias(column)).agg(F.sum("e.count").alias("about"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 heavy_share: int = HEAVY_SHARE) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. The largest id of a group stays. Rows that repeat an id with the
@@ -50,11 +54,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         F.octet_length("t").alias("n"))
     hashes = rows.select(F.xxhash64("t").alias("x"))
     total = docs.count()
-    # At most 2 * HEAVY_SHARE longs by construction, hence the broadcast.
-    names = heavy_values(hashes, "x").where(F.col("about") * heavy_share > total).select("x")
+    # At most CANDIDATE_SHARE longs, as their counts add up to no more than the rows; hence the broadcast.
+    names = heavy_values(hashes, "x").where(F.col("about") * CANDIDATE_SHARE > total).select("x")
     counted = (keyed.join(F.broadcast(names), "x").groupBy(*KEY)
                .agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-               .where((F.col("group_size") * heavy_share > total) & (F.col("group_size") > 1)))
+               .where((F.col("group_size") * HEAVY_SHARE > total) & (F.col("group_size") > 1)))
     winners = written(counted, "heavy")
     heavy = keyed.join(F.broadcast(winners), KEY)
     rest = keyed.join(F.broadcast(winners.select(*KEY)), KEY, "left_anti")
