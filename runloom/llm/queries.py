@@ -73,7 +73,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.token_files import round_trip
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_token_files": (op1_token_files, None),
     "op2_near_dedup": (op2_near_dedup, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op5_bpe": (op5_bpe, None),
