@@ -64,14 +64,19 @@ class Words:
         edge = np.diff(np.concatenate(([False], inside)).astype(np.int8))
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
-        powers.grow(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * powers.up[:len(self.data)], out=total[1:])
+        total = self.running(powers)
         self.hash = mix((total[self.end] - total[self.start]) * powers.down[self.start]
                         + (self.end - self.start).astype(np.uint64))
         #: Words of text i are first[i] .. first[i + 1].
         self.first = np.searchsorted(self.start, self.text_start)
 
+    def running(self, powers: Powers) -> np.ndarray:
+        """Running sums of the bytes' values times powers: two of them differ by a stretch of bytes."""
+        powers.grow(len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUE[self.data] * powers.up[:len(self.data)], out=total[1:])
+        return total
+
     def windows(self, size: int) -> np.ndarray:
         """Hash of the ``size`` words from each word on; the last ones lap into other texts."""
         n = len(self.hash)

@@ -68,6 +68,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.quality import score
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("digest")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runloom.llm.bpe import encode_digests
     return encode_digests(_table(spark, sf_dir, "documents"))
@@ -82,6 +87,7 @@ QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_near_dedup": (op2_near_dedup, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
+    "op4_quality": (op4_quality, None),
     "op5_bpe": (op5_bpe, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op10_decontamination": (op10_decontamination, None),
