@@ -83,12 +83,40 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.secret_scan import scan
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.html_extract import extract_pages
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.license_scan import scan
+    listed = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], *[x[c].cast("string") for c in ("first", "end", "coverage")]))
+    return scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(listed, ",").alias("licenses"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+#: The classifier's fit, sketches, merges, coding, trees and alignments can't be expressed in SQL;
+#: those queries are tested against brute-force versions.
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_near_dedup": (op2_near_dedup, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op4_quality": (op4_quality, None),
     "op5_bpe": (op5_bpe, None),
+    "op6_secret_scan": (op6_secret_scan, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op8_html_extract": (op8_html_extract, None),
+    "op9_license_scan": (op9_license_scan, None),
     "op10_decontamination": (op10_decontamination, None),
+    "pipeline": (pipeline, None),
 }
