@@ -12,10 +12,12 @@
   threshold is not a link.
 * **Verification** on full sets of 64-bit shingle hashes.
 * **Rest.** Only buckets of three or more members whose stars left several components can hide a
-  further link. They are searched in blocks of ``BLOCK`` members, pairs inside one component are
-  skipped, and only pairs that pass the estimate leave the task.
+  further link. They are searched in blocks of ``BLOCK`` members with their full sets: pairs of one
+  component are skipped, the rest is estimated, then verified in place, so that only links leave
+  the task, and of those no more than connect its members.
 
-At similarity 0.85 a linked pair shares no band with a probability of 7e-9.
+At similarity 0.85 a linked pair shares no band with a probability of 2e-7, and fails the estimate
+with one of 3e-7.
 """
 
 from __future__ import annotations
@@ -33,13 +35,14 @@ from runloom.llm.hashing import NOT_BLANK, Powers, Words, as_bytes, blocks, mix
 from runloom.plans.store import written
 
 WORDS = 5
-BANDS, ROWS = 32, 5
-REGISTERS = BANDS * ROWS
+BANDS, ROWS = 26, 5
+#: Registers; those beyond the bands serve the estimate alone.
+REGISTERS = 160
 SCALE = 1.02
 #: Shift and limit of a register: a 32-bit minimum gives values of -156 to 1,156.
 SHIFT, LIMIT = 200, 1400
-MARGIN = 6.0
-BLOCK = 256
+MARGIN = 5.0
+BLOCK = 384
 
 _SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, regs binary"
 
@@ -117,8 +120,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), lists], ["node", "s"])
 
 
-def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Joint maximum-likelihood similarity of pairs of register rows with known set sizes."""
+def likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray):
+    """The joint log-likelihood of a similarity, for pairs of register rows with known set sizes."""
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
     same = REGISTERS - more - less
     u, v = na / (na + nb), nb / (na + nb)
@@ -127,13 +130,17 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.n
     def p(x: np.ndarray) -> np.ndarray:
         return -np.log1p(-x * (SCALE - 1) / SCALE) / log_b
 
-    def value(j: np.ndarray) -> np.ndarray:
+    def value(j: np.ndarray | float) -> np.ndarray:
         up, down = p(np.maximum(u - v * j, 0)), p(np.maximum(v - u * j, 0))
         return (more * np.log(np.maximum(up, tiny)) + less * np.log(np.maximum(down, tiny))
                 + same * np.log(np.maximum(1 - up - down, tiny)))
+    return value
+
 
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
-    for _ in range(40):  # the likelihood is concave: ternary search
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The maximum-likelihood similarity, by ternary search."""
+    value, low, high = likelihood(a, b, na, nb), np.zeros(len(na)), np.minimum(na / nb, nb / na)
+    for _ in range(40):
         third = (high - low) / 3
         right = value(low + third) < value(high - third)
         low, high = np.where(right, low + third, low), np.where(right, high, high - third)
@@ -146,7 +153,9 @@ def passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similar
     ok = np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9
     where = np.flatnonzero(ok)
     if len(where):
-        ok[where] = likely(a[where], b[where], na[where].astype(float), nb[where].astype(float)) >= least
+        # The likelihood is concave: its peak lies above ``least`` where it still rises there.
+        value = likelihood(a[where], b[where], na[where].astype(float), nb[where].astype(float))
+        ok[where] = value(least + 1e-4) >= value(least)
     return ok
 
 
@@ -163,32 +172,47 @@ def _estimated(similarity: float):
     return run
 
 
-def _rest_pairs(similarity: float):
-    """Pairs of one block pair of a bucket: across components, likely enough, and sharing no
-    earlier band (there they are found by that band's bucket)."""
+def _rest_links(similarity: float):
+    """Links of one block pair of a bucket: across components and sharing no earlier band (there
+    they are found by that band's bucket); none between members that found links already connect."""
+    per_mille = round(similarity * 1000)
+
     def run(x: pd.DataFrame) -> pd.DataFrame:
         i, j, band = (int(x[c].iloc[0]) for c in ("i", "j", "band"))
         x = x.sort_values("node")
         left, right = x[x["block"] == i], x[x["block"] == j]
-        rl, rr = _stack(left["regs"]), _stack(right["regs"])
+        rl, rr, sl, sr = _stack(left["regs"]), _stack(right["regs"]), left["s"].tolist(), right["s"].tolist()
+        nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
+        cl, cr, il, ir = (d[c].to_numpy() for c in ("component", "node") for d in (left, right))
+        wanted = cl[:, None] != cr[None]
+        wanted &= np.minimum(nl[:, None], nr[None]) >= similarity * np.maximum(nl[:, None], nr[None]) - 1e-9
+        if i == j:
+            wanted = np.triu(wanted, 1)
+        a, b = np.nonzero(wanted)
+        above: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while above.get(c, c) != c:
+                c = above[c]
+            return c
+
         found = []
-        for k in range(len(left)):
-            other = right["component"].to_numpy() != left["component"].iloc[k]
-            if i == j:
-                other &= np.arange(len(right)) > k
-            pick = np.flatnonzero(other)
-            if not len(pick):
-                continue
-            equal = (rr[pick] == rl[k]).reshape(len(pick), BANDS, ROWS).all(axis=2)
-            pick = pick[~equal[:, :band].any(axis=1)]
-            if not len(pick):
-                continue
-            ones = np.repeat(rl[k][None], len(pick), axis=0)
-            size = np.full(len(pick), left["n"].iloc[k])
-            ok = passes(ones, rr[pick], size, right["n"].to_numpy()[pick], similarity)
-            a, b = left["node"].iloc[k], right["node"].to_numpy()[pick[ok]]
-            found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-        return pd.concat(found) if found else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        for k in range(0, len(a), 8192):
+            pl, pr = a[k:k + 8192], b[k:k + 8192]
+            if band:
+                same = (rl[pl, :band * ROWS] == rr[pr, :band * ROWS]).reshape(len(pl), band, ROWS).all(axis=2)
+                fresh = ~same.any(axis=1)
+                pl, pr = pl[fresh], pr[fresh]
+            ok = passes(rl[pl], rr[pr], nl[pl], nr[pr], similarity)
+            for m, n in zip(pl[ok].tolist(), pr[ok].tolist(), strict=True):
+                one, two = top(int(cl[m])), top(int(cr[n]))
+                if one == two:
+                    continue
+                both = len(np.intersect1d(sl[m], sr[n], assume_unique=True))
+                if both * 1000 >= (len(sl[m]) + len(sr[n]) - both) * per_mille:
+                    above[one] = two
+                    found.append((min(il[m], ir[n]), max(il[m], ir[n])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
     return run
 
 
@@ -197,17 +221,20 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketches, _SKETCH)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, s): the full set of every node, written once."""
     # Rows that repeat an id may differ in text; a node's set then is that of any one of them.
     texts = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
-    sets = written(texts.select("doc_id", "text").mapInArrow(_sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+    return written(texts.select("doc_id", "text").mapInArrow(_sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose full sets reach the similarity."""
+    sets = _full_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
-    per_mille = round(similarity * 1000)
-    return two.where(same * 1000 >= (F.size("sa") + F.size("sb") - same) * per_mille).select("a", "b")
+    return two.where(same * 1000 >= (F.size("sa") + F.size("sb") - same) * round(similarity * 1000)).select("a", "b")
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,35 +254,34 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, id_col: str = "doc_id
                     .dropDuplicates(["doc_id"])
                     .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "regs"), "nodes")
     width = ROWS * 2
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("regs", k * width + 1, width)).alias("key"))
+    # The band's number is the low bits of its key.
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", k * width + 1, width)).bitwiseAND(~31).bitwiseOR(k)
                      for k in range(BANDS)])
-    bands = nodes.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
-    buckets = written(bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("center"),
-                                                       F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
-                      .where("size > 1"), "buckets")
-    shared = written(bands.join(buckets, ["band", "key"]), "shared")
+    bands = nodes.select("node", F.explode(keys).alias("key"))
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("center")).where("size > 1")
+    shared = written(bands.join(buckets, "key"), "shared")
     spokes = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     ends = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}")) for c in "ab"]
     likely_pairs = written(spokes.join(ends[0], "a").join(ends[1], "b").mapInPandas(_estimated(similarity), "a long, b long"), "spokes")
     links = written(_verified(likely_pairs, rows, similarity), "links")
     found = components(links)
 
-    # The rest: one bucket per distinct set of members, several components in it, three members or more.
+    # The rest: of buckets with three members or more and several components, one per distinct set of members.
     labelled = shared.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = (labelled.groupBy("band", "key", "size", "sum").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").groupBy("size", "sum").agg(F.min(F.struct("band", "key")).alias("k"))
-             .select("k.band", "k.key"))
-    inside = labelled.join(split, ["band", "key"])
+    split = (labelled.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                                 F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("first"))
+             .where("lo <> hi").groupBy("size", "mark", "first").agg(F.min("key").alias("key")).select("key"))
+    inside = written(labelled.join(split, "key").select("node", "component", "key", "size"), "inside")
+    full = nodes.join(_full_sets(rows, inside.select("node").distinct()), "node")
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), count.cast("long")).cast("int")
-    inside = inside.select("node", "component", "band", "key", own.alias("block"),
-                           F.explode(F.sequence(F.lit(0), count - 1)).alias("partner"))
-    inside = inside.select("*", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"))
-    inside = inside.join(nodes, "node")
-    more = (inside.groupBy("band", "key", "i", "j").applyInPandas(_rest_pairs(similarity), "a long, b long").distinct())
-    more = written(more.join(likely_pairs, ["a", "b"], "left_anti"), "rest")
+    placed = inside.select("node", "component", "key", own.alias("block"), F.explode(F.sequence(F.lit(0), count - 1)).alias("partner"))
+    placed = placed.select("node", "component", "key", "block", F.col("key").bitwiseAND(31).cast("int").alias("band"),
+                           F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"))
+    more = written(placed.join(full, "node").groupBy("key", "i", "j").applyInPandas(_rest_links(similarity), "a long, b long")
+                   .distinct(), "rest")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, rows, similarity))
+        links = links.unionByName(more)
         found = components(links)
     # Members of one id (repeated rows with different texts) tie their classes together.
     twice = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")

@@ -31,6 +31,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 ROUNDS = 150
 #: A feature takes part if its smoothed log-odds lie this many deviations from zero.
 DEVIATIONS = 3.5
+LEAST_DOCUMENTS = 3
 PENALTY = 1e-3
 
 
@@ -67,15 +68,43 @@ def shape(body: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
         (len(np.unique(words)) / count if count else 0), seen[32] * 4, float(count < 5)], np.float32)
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (feature, all, low, toxic): labelled documents of the task that have the feature."""
+    powers, sums = Powers(), np.zeros((3, 1 << BITS), np.int64)
     for batch in batches:
+        classes = [np.array(batch.column(c).to_pylist(), np.int64) for c in (1, 2)]
         with np.errstate(over="ignore"):
-            found = list(features(as_bytes(batch.column(0)), powers))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([f.astype(np.int32).tobytes() for f, _ in found], pa.binary()),
-             pa.array([s.tobytes() for _, s in found], pa.binary()), batch.column(1), batch.column(2)],
-            ["features", "shape", "low", "toxic"])
+            for i, (found, _) in enumerate(features(as_bytes(batch.column(0)), powers)):
+                sums[0, found] += 1
+                for k in (0, 1):
+                    if classes[k][i]:
+                        sums[k + 1, found] += 1
+    seen = np.flatnonzero(sums[0])
+    for i in range(0, len(seen), 1 << 16):
+        part = seen[i:i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *[pa.array(sums[k, part]) for k in range(3)]],
+                                         ["feature", "all", "low", "toxic"])
+
+
+def _feature_rows(telling: np.ndarray):
+    """Feature numbers that tell a class apart, shapes and labels of every labelled document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                found = [(f[telling[f]], s) for f, s in features(as_bytes(batch.column(0)), powers)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f.astype(np.int32).tobytes() for f, _ in found], pa.binary()),
+                 pa.array([s.tobytes() for _, s in found], pa.binary()), batch.column(1), batch.column(2)],
+                ["features", "shape", "low", "toxic"])
+    return run
+
+
+def telling_features(seen: np.ndarray, bad: np.ndarray, n: int, n_bad: int) -> np.ndarray:
+    """Features whose document frequencies separate a class beyond chance: log-odds against their deviation."""
+    a, b = bad + 0.5, seen - bad + 0.5
+    gap = np.log(a / (n_bad - bad + 1.0)) - np.log(b / (n - n_bad - (seen - bad) + 1.0))
+    return (seen >= LEAST_DOCUMENTS) & (np.abs(gap) / np.sqrt(1 / a + 1 / b) >= DEVIATIONS)
 
 
 def standard(shapes: np.ndarray) -> np.ndarray:
@@ -94,8 +123,6 @@ class Logistic:
         if not 0 < target.sum() < n:  # one class only: its smoothed rate
             self.form[-1] = np.log((target.sum() + 1) / (n - target.sum() + 1)) if n else -20.0
             return self
-        told = self.telling(columns, rows, target)
-        columns, rows = columns[told], rows[told]
         used, columns = np.unique(columns, return_inverse=True)
         x = standard(shapes)
         w, f = np.zeros(len(used)), np.zeros(x.shape[1])
@@ -112,16 +139,6 @@ class Logistic:
         self.word[used], self.form = w, f.astype(np.float32)
         return self
 
-    @staticmethod
-    def telling(columns: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Entries whose feature separates the classes beyond chance: log-odds against their deviation."""
-        size, bad = 1 << BITS, target > 0
-        a = np.bincount(columns[bad[rows]], minlength=size) + 0.5
-        b = np.bincount(columns[~bad[rows]], minlength=size) + 0.5
-        na, nb = bad.sum() + 1, (~bad).sum() + 1
-        gap = np.log(a / (na - a + 0.5)) - np.log(b / (nb - b + 0.5))
-        return (np.abs(gap) / np.sqrt(1 / a + 1 / b) >= DEVIATIONS)[columns]
-
     def odds(self, found: np.ndarray, form: np.ndarray) -> float:
         return float(np.clip(self.word[found].sum() + form @ self.form, -30, 30))
 
@@ -137,15 +154,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(known.select(F.col("doc_id").cast("long"), "low", "toxic")), "doc_id")  # ``sample`` rows at most
-    rows = joined.select("text", F.col("low").cast("int"), F.col("toxic").cast("int")).mapInArrow(
-        _feature_rows, "features binary, shape binary, low int, toxic int").toPandas()
-    found = [np.frombuffer(x, np.int32) for x in rows["features"]]
+    rows = written(joined.select("text", F.col("low").cast("int"), F.col("toxic").cast("int")), "labelled")
+    counts = np.zeros((3, 1 << BITS), np.int64)
+    sums = rows.mapInArrow(_frequencies, "feature long, all long, low long, toxic long").groupBy("feature").agg(
+        *[F.sum(c).alias(c) for c in ("all", "low", "toxic")]).toPandas()  # 2**BITS rows at most
+    counts[:, sums["feature"]] = sums[["all", "low", "toxic"]].to_numpy().T
+    n, n_low, n_toxic = rows.agg(F.count(F.lit(1)), F.sum("low"), F.sum("toxic")).first()
+    picked = [telling_features(counts[0], counts[k], n, m or 0) for k, m in ((1, n_low), (2, n_toxic))]
+    known_rows = rows.mapInArrow(_feature_rows(picked[0] | picked[1]), "features binary, shape binary, low int, toxic int").toPandas()
+    found = [np.frombuffer(x, np.int32) for x in known_rows["features"]]
     columns = np.concatenate(found) if found else np.empty(0, np.int32)
-    at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    # Features of under three documents carry no weight.
-    often = np.bincount(columns, minlength=1 << BITS)[columns] >= 3 if len(columns) else np.empty(0, bool)
-    shapes = np.frombuffer(b"".join(rows["shape"]), np.float32).reshape(-1, SHAPES)
-    return [Logistic().fit(columns[often], at[often], shapes, rows[c].to_numpy(float)) for c in ("low", "toxic")]
+    at = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
+    shapes = np.frombuffer(b"".join(known_rows["shape"]), np.float32).reshape(-1, SHAPES)
+    return [Logistic().fit(columns[p[columns]], at[p[columns]], shapes, known_rows[c].to_numpy(float))
+            for c, p in zip(("low", "toxic"), picked, strict=True)]
 
 
 def _scores(shared):
