@@ -217,20 +217,37 @@ def divergence_segments(reports: DataFrame, keys: Sequence[str] = ("task_id",))
 
 
 def stage_comparison(reports: DataFrame, cand: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    """Per run and stage: expected, matched, missing and extra steps, and the effort ratio."""
+    """Per run and stage: expected, matched, missing and extra steps, the effort ratio, the step
+    lists, and whether the aligned steps of the stage keep the reference's order.
+
+    Lists hold 1-based positions: ``matched_steps`` and ``missing_steps`` of the reference path,
+    ``extra_steps`` of the run. They are as long as one path and one run.
+    """
     keys = list(keys)
+
+    def at_stage(places, letter):
+        return F.transform(F.filter(places, lambda p: F.substr("best.stages", p + 1, F.lit(1)) == letter), lambda p: p + 1)
+
+    def in_order(letter):
+        pairs = F.filter(F.arrays_zip(F.col("m.set_pos").alias("p"), F.col("m.set_seq").alias("s")),
+                         lambda z: F.substr("best.stages", z["p"] + 1, F.lit(1)) == letter)
+        seqs = F.transform(pairs, lambda z: z["s"])
+        return F.array_sort(seqs) == seqs
     rows = reports.select(*keys, "trajectory_id", F.inline(F.array(*[F.struct(
-        F.lit(s).alias("stage"), F.col(f"total_{x}").alias("expected"), F.col(f"matched_{x}").alias("matched"))
-        for x, s in zip(LETTERS, STAGES)])))
+        F.lit(s).alias("stage"), F.col(f"total_{x}").alias("expected"), F.col(f"matched_{x}").alias("matched"),
+        at_stage("m.set_pos", x).alias("matched_steps"), at_stage("missing_steps", x).alias("missing_steps"),
+        in_order(x).alias("ordering_preserved")) for x, s in zip(LETTERS, STAGES)])))
     al = reports.select(*keys, "trajectory_id", F.explode("m.al_seq").alias("seq")).select(
         *keys, "trajectory_id", F.col("seq").cast("long").alias("seq"), F.lit(True).alias("_al"))
     done = cand.join(al, [*keys, "trajectory_id", "seq"], "left").groupBy(
         *keys, "trajectory_id", F.col("intent_stage").alias("stage")).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_al").isNull()).alias("_x"))
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_al").isNull()).alias("_x"),
+        F.sort_array(F.collect_list(F.when(F.col("_al").isNull(), F.col("seq").cast("int") + 1))).alias("extra_steps"))
     j = rows.join(done, [*keys, "trajectory_id", "stage"], "left").fillna(0, ["_n", "_x"])
     return j.select(*keys, "trajectory_id", "stage", "expected", "matched",
                     (F.col("expected") - F.col("matched")).alias("missing"), F.col("_x").alias("extra"),
-                    F.lit(True).alias("ordering_preserved"),
+                    "ordering_preserved", "matched_steps", "missing_steps",
+                    F.coalesce("extra_steps", F.array().cast("array<int>")).alias("extra_steps"),
                     F.when(F.col("expected") > 0, F.col("_n") / F.col("expected")).otherwise(0.0).alias("effort_ratio"))
 
 

@@ -193,8 +193,10 @@ def holdout_split(runs: DataFrame, train: int, test_pass: int, test_fail: int, s
     """Assign runs of eligible tasks to train, test_pass or test_fail in draw order."""
     keys = list(keys)
     r = runs.withColumn("_o", draw_order(seed, F.col("trajectory_id")))
-    r = r.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "passed").orderBy("_o", "trajectory_id"))) \
-        .where(F.col("_r") <= F.when(F.col("passed"), train + test_pass).otherwise(test_fail))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "trajectory_id"))
+    # Two branches with literal limits, so that ranks are cut before the shuffle.
+    passing = r.where("passed").withColumn("_r", rank).where(F.col("_r") <= train + test_pass)
+    r = passing.unionByName(r.where("NOT passed").withColumn("_r", rank).where(F.col("_r") <= test_fail))
     split = F.when(~F.col("passed"), "test_fail").when(F.col("_r") <= train, "train").otherwise("test_pass")
     r = r.withColumn("split", split)
     ok = r.groupBy(*keys).agg(F.count_if(F.col("split") == "train").alias("_a"), F.count_if(F.col("split") == "test_pass").alias("_b"),

@@ -43,6 +43,13 @@ def reference_ids(ref_states: DataFrame, keys: Sequence[str] = ("task_id",)) ->
         "rid", F.row_number().over(Window.partitionBy(*keys).orderBy("sig")))
 
 
+def closed_positions(path_states: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """Path states without requests, ``pos`` renumbered as the matcher counts. One path is one group."""
+    steps = path_states.where(~F.col("kind").eqNullSafe("request"))
+    place = F.row_number().over(Window.partitionBy(*keys, "path_id").orderBy("pos")) - 1
+    return steps.withColumn("pos", place.cast("int"))
+
+
 def reference_paths(path_states: DataFrame, ids: DataFrame, keys: Sequence[str],
                     id_keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """One row per reference: ``paths`` = array of (path_id, rids, stages, n_stages, total).
@@ -153,14 +160,30 @@ def match_one(seqs: pd.Series, rids: pd.Series, n: pd.Series, path: pd.Series) -
     return pd.DataFrame(out, columns=["set_pos", "set_seq", "sub_pos", "sub_seq", "al_pos", "al_seq", "terminal"])
 
 
+def with_paths(hits: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach the reference paths; a run whose task has none gets one empty path, so it stays and
+    scores zero. ``n_paths`` counts the real ones."""
+    on = [k for k in keys if k in hits.columns]
+    kind = refs.schema["paths"].dataType.elementType
+    given = {"path_id": F.lit(-1), "stages": F.lit(""), "n_stages": F.lit(0), "total": F.lit(0)}
+    none = F.struct(*[given.get(f.name, F.array()).cast(f.dataType).alias(f.name) for f in kind.fields])
+    return hits.join(refs, on, "left").withColumn("n_paths", F.coalesce(F.size("paths"), F.lit(0))).withColumn(
+        "n_paths", F.greatest("n_paths", F.lit(0))).withColumn("paths", F.coalesce("paths", F.array(none)))
+
+
 def path_counts(hits: DataFrame, refs: DataFrame, keys: Sequence[str], ordered: bool = False) -> DataFrame:
     """Matched count of every (run, reference path)."""
     fn = ordered_counts if ordered else set_counts
-    j = hits.join(refs, list(keys) if set(keys) <= set(hits.columns) else [k for k in keys if k in hits.columns])
+    j = with_paths(hits, refs, keys)
     j = j.withColumn("matched", fn("hit_seq", "hit_rid", "n_cand", F.transform("paths", lambda p: p["rids"])))
     return j
 
 
+def _ratio(part, whole):
+    """``part / whole``, zero for an empty whole."""
+    return F.when(whole > 0, part / whole).otherwise(0.0)
+
+
 def best_match(hits: DataFrame, refs: DataFrame, keys: Sequence[str] = ("task_id",),
                strategy: str = "best_match") -> DataFrame:
     """Pick the reference path of every run and match it.
@@ -169,8 +192,7 @@ def best_match(hits: DataFrame, refs: DataFrame, keys: Sequence[str] = ("task_id
     ``canonical`` the choice ignores the candidate. ``ordered`` matching is reported beside
     the set matching on the chosen path.
     """
-    on = [k for k in keys if k in hits.columns]
-    j = hits.join(refs, on)
+    j = with_paths(hits, refs, keys)
     if strategy == "canonical":
         rank = F.transform("paths", lambda p, i: F.struct(
             p["n_stages"], p["total"], (-i).alias("first"), p.alias("p")))
@@ -178,12 +200,11 @@ def best_match(hits: DataFrame, refs: DataFrame, keys: Sequence[str] = ("task_id
         j = j.withColumn("_m", set_counts("hit_seq", "hit_rid", "n_cand",
                                           F.transform("paths", lambda p: p["rids"])))
         rank = F.transform("paths", lambda p, i: F.struct(
-            p["n_stages"], F.get("_m", i).alias("m"), (F.get("_m", i) / p["total"]).alias("c"),
+            p["n_stages"], F.get("_m", i).alias("m"), _ratio(F.get("_m", i), p["total"]).alias("c"),
             p["total"], (-i).alias("first"), p.alias("p")))
     else:
         raise ValueError(f"unknown strategy: {strategy}")
-    j = j.withColumn("n_paths", F.size("paths")).withColumn("best", F.array_max(rank)["p"]) \
-        .drop("paths", "_m")
+    j = j.withColumn("best", F.array_max(rank)["p"]).drop("paths", "_m")
     return j.withColumn("m", match_one("hit_seq", "hit_rid", "n_cand", "best.rids")).drop("hit_seq", "hit_rid")
 
 
@@ -230,7 +251,7 @@ def match_metrics(best: DataFrame, run_features: DataFrame, keys: Sequence[str]
     den = sum(F.col(f"total_{x}") * WEIGHTS[x] for x in LETTERS)
     num = sum(F.col(f"matched_{x}") * WEIGHTS[x] for x in LETTERS)
     matched, size, n = F.size("m.set_pos"), F.col("best.total"), F.col("n_cand")
-    recall, precision = matched / size * 100.0, matched / n * 100.0
+    recall, precision = _ratio(matched, size) * 100.0, _ratio(matched, n) * 100.0
     low = F.least(*[F.col(f"stage_coverage_{x}") for x in LETTERS])
     at = F.lit(None).cast("string")
     for x, s in reversed(list(zip(LETTERS, STAGES))):
@@ -238,15 +259,16 @@ def match_metrics(best: DataFrame, run_features: DataFrame, keys: Sequence[str]
     keep = [c for c in j.columns if c != "_hit"]
     j = j.select("*", F.replace(stages, F.lit("-"), F.lit("")).alias("_ref"),
                  F.regexp_replace(blank("fingerprint"), "[^EIVO]", "").alias("_run"),
-                 F.array_except(F.sequence(F.lit(0), size - 1), F.col("m.set_pos")).alias("missing_steps"))
+                 F.when(size > 0, F.array_except(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), F.col("m.set_pos"))).otherwise(
+                     F.array().cast("array<int>")).alias("missing_steps"))
     labelled, letters, missing = F.col("_ref"), F.col("_run"), F.col("missing_steps")
     return j.select(
         *keep, "missing_steps",
         matched.alias("matched_count"), size.alias("total_ref_states"), F.col("best.path_id").alias("best_path"),
         recall.alias("coverage_percent"), precision.alias("precision_percent"),
         F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0).alias("f1_score"),
-        F.col("m.terminal").alias("terminal_match"), (matched == size).alias("perfect_match"),
-        F.when(present > 0, covered / present).otherwise(1.0).alias("stage_completeness"),
+        F.col("m.terminal").alias("terminal_match"), ((matched == size) & (size > 0)).alias("perfect_match"),
+        F.when(present > 0, covered / present).when(size > 0, 1.0).otherwise(0.0).alias("stage_completeness"),
         F.when(den > 0, num / den * 100.0).otherwise(0.0).alias("weighted_score"),
         F.coalesce(low, F.lit(0.0)).alias("bottleneck_coverage"), F.coalesce(at, F.lit("")).alias("bottleneck_stage"),
         X.workflow_similarity(letters, labelled).alias("workflow_similarity"),
@@ -263,22 +285,11 @@ def run_features(cand: DataFrame) -> DataFrame:
 
 def alignment(best: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """One row per candidate step: the reference position it is aligned with, if any."""
-    steps = best.select(*keys, "trajectory_id", "m", F.explode(F.sequence(
-        F.lit(0), F.col("n_cand") - 1)).alias("seq"))
-    at = F.array_position("m.al_seq", F.col("seq"))
-    return steps.select(*keys, "trajectory_id", "seq", (at > 0).alias("matched"),
-                        F.when(at > 0, F.element_at("m.al_pos", at.cast("int"))).alias("ref_pos"))
-
-
-def required_tools(path_states: DataFrame, keys: Sequence[str] = ("task_id",), strict: bool = False) -> DataFrame:
-    """Tools on more than half of the paths (``strict``: on all of them)."""
-    keys = list(keys)
-    tool = F.trim(F.substring_index(blank("tool_used"), "[", 1))
-    used = path_states.where(~blank("tool_used").isin("", "llm")).select(*keys, "path_id", tool.alias("tool"))
-    n = used.distinct().groupBy(*keys, "tool").agg(F.count(F.lit(1)).alias("_n"))
-    total = path_states.groupBy(*keys).agg((F.max("path_id") + 1).alias("_t"))
-    ok = F.col("_n") == F.col("_t") if strict else F.col("_n") > F.col("_t") / 2
-    return n.join(total, keys).where(ok).select(*keys, "tool")
+    steps = best.where("n_cand > 0").select(*keys, "trajectory_id", F.explode(F.sequence(F.lit(0), F.col("n_cand") - 1)).alias("seq"))
+    at = best.select(*keys, "trajectory_id", F.explode(F.arrays_zip(F.col("m.al_seq").alias("seq"), F.col("m.al_pos").alias("ref_pos"))).alias("z")) \
+        .select(*keys, "trajectory_id", "z.seq", "z.ref_pos")
+    return steps.join(at, [*keys, "trajectory_id", "seq"], "left").select(
+        *keys, "trajectory_id", "seq", F.col("ref_pos").isNotNull().alias("matched"), "ref_pos")
 
 
 def required_files(ref_states: DataFrame, keys: Sequence[str] = ("task_id",), tools=REQUIRED_EDITS) -> DataFrame:
@@ -325,14 +336,14 @@ def batch_compare(hits: DataFrame, refs: DataFrame, keys: Sequence[str] = ("task
 
     The first path with the highest coverage wins.
     """
-    j = hits.join(refs, [k for k in keys if k in hits.columns])
+    j = with_paths(hits, refs, keys)
     long = F.filter("paths", lambda p: p["total"] >= min_length)
     j = j.withColumn("paths", F.when(F.size(long) > 0, long).otherwise(F.col("paths")))
     j = j.withColumn("_m", ordered_counts("hit_seq", "hit_rid", "n_cand", F.transform("paths", lambda p: p["rids"])))
     rank = F.transform("paths", lambda p, i: F.struct(
-        (F.get("_m", i) / p["total"]).alias("c"), (-i).alias("first"), F.get("_m", i).alias("m"), p.alias("p")))
+        _ratio(F.get("_m", i), p["total"]).alias("c"), (-i).alias("first"), F.get("_m", i).alias("m"), p.alias("p")))
     j = j.withColumn("_b", F.array_max(rank))
     j = j.withColumn("m", match_one("hit_seq", "hit_rid", "n_cand", "_b.p.rids"))
     return j.select(*keys, "trajectory_id", F.col("_b.p.path_id").alias("path_id"), F.col("_b.m").alias("matched"),
                     F.col("_b.p.total").alias("total"), F.round(F.col("_b.c") * 100, 2).alias("coverage_percent"),
-                    F.col("m.terminal").alias("terminal_match"), (F.col("_b.m") == F.col("_b.p.total")).alias("perfect_match"))
+                    F.col("m.terminal").alias("terminal_match"), ((F.col("_b.m") == F.col("_b.p.total")) & (F.col("n_paths") > 0)).alias("perfect_match"))

@@ -18,7 +18,9 @@ from runloom.operators.equivalence import equivalence_pairs
 from runloom.operators.intent import label_intent
 from runloom.operators.scan import by_group, number_rows
 
-PATH_CAP = 50
+#: The matcher's own rule: a run is compared with the first so many paths in depth-first order.
+#: ``path_facts`` gives the number of all paths beside it; nothing else rests on the list.
+MATCHED_PATHS = 50
 # Effects grouped across steps, and effects never grouped.
 CROSS_STEP = ("file_created:", "file_read:", "file_patched:", "files_modified:", "llm_response:confirmed:")
 NEVER_GROUPED = ("llm_response:terminal", "initial", "")
@@ -264,8 +266,12 @@ def bfs_layers(states: DataFrame, edges: DataFrame, keys: Sequence[str] = ("task
         _fresh(edges, keys, "src", "dst").groupBy(*keys)).applyInPandas(walk, schema)
 
 
-def _depth_first(states: pd.DataFrame, edges: pd.DataFrame, cap: int) -> list[list[int]]:
-    """First ``cap`` simple root-to-terminal paths in edge-name order.
+class PathBudgetExceeded(ValueError):
+    """A graph has more paths than the caller allowed."""
+
+
+def _depth_first(states: pd.DataFrame, edges: pd.DataFrame, limit: int | None, budget: int | None = None) -> list[list[int]]:
+    """Simple root-to-terminal paths in edge-name order: all, or the first ``limit``.
 
     States that cannot reach an accepted end are dropped first, which changes no result
     and keeps dead ends from costing time.
@@ -289,7 +295,9 @@ def _depth_first(states: pd.DataFrame, edges: pd.DataFrame, cap: int) -> list[li
     if root in ends:
         paths.append([root])
     stack = [iter(out.get(root, ()))]
-    while stack and len(paths) < cap:
+    while stack and (limit is None or len(paths) < limit):
+        if budget is not None and len(paths) > budget:
+            raise PathBudgetExceeded(f"more than {budget} paths")
         nxt = next(stack[-1], None)
         if nxt is None:
             stack.pop()
@@ -306,20 +314,18 @@ def _depth_first(states: pd.DataFrame, edges: pd.DataFrame, cap: int) -> list[li
 
 
 def enumerate_paths(states: DataFrame, edges: DataFrame, terminals: DataFrame | None = None,
-                    keys: Sequence[str] = ("task_id",), cap: int = PATH_CAP) -> DataFrame:
+                    keys: Sequence[str] = ("task_id",), limit: int | None = None, budget: int | None = None) -> DataFrame:
     """Simple paths from the initial state: keys, path_id, pos, merged_id.
 
-    ``terminals`` names the accepted ends; without it every state with no outgoing edge
-    is one. At most ``cap`` paths per graph, the first in depth-first order.
+    ``terminals`` names the accepted ends; without it every state with no outgoing edge is one.
+    All paths are listed; ``limit`` keeps the first ones in depth-first order, ``budget`` makes a
+    graph with more paths an error. Their number can be exponential: ``path_facts`` needs no list.
     """
     keys = list(keys)
-    ends = terminals if terminals is not None else terminal_states(states, edges, keys)
-    flagged = states.select(*keys, "merged_id").join(
-        ends.select(*keys, "merged_id").distinct().withColumn("is_end", F.lit(True)), [*keys, "merged_id"], "left") \
-        .fillna(False, ["is_end"])
+    flagged = _flag_ends(states, edges, terminals, keys)
 
     def walk(key, s, e):
-        rows = [(i, p, m) for i, path in enumerate(_depth_first(s, e, cap)) for p, m in enumerate(path)]
+        rows = [(i, p, m) for i, path in enumerate(_depth_first(s, e, limit, budget)) for p, m in enumerate(path)]
         out = pd.DataFrame(rows, columns=["path_id", "pos", "merged_id"])
         for name, value in zip(keys, key):
             out[name] = value
@@ -330,32 +336,137 @@ def enumerate_paths(states: DataFrame, edges: DataFrame, terminals: DataFrame |
         by_group(_fresh(edges, keys, "src", "dst", "edge_no"), keys).groupBy(*keys)).applyInPandas(walk, schema)
 
 
-def path_summary(path_states: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    return path_states.groupBy(*keys, "path_id").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.countDistinct(F.nullif(blank("intent_stage"), F.lit(""))).alias("n_stages"))
-
+def _flag_ends(states: DataFrame, edges: DataFrame, terminals: DataFrame | None, keys: list[str], *columns: str) -> DataFrame:
+    ends = terminals if terminals is not None else terminal_states(states, edges, keys)
+    return states.select(*keys, "merged_id", *columns).join(
+        ends.select(*keys, "merged_id").distinct().withColumn("is_end", F.lit(True)), [*keys, "merged_id"], "left") \
+        .fillna(False, ["is_end"])
 
-def canonical_path(summary: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    """Most distinct stages, then longest; the earliest path wins ties."""
-    return summary.groupBy(*keys).agg(F.max_by("path_id", F.struct(
-        "n_stages", "total", -F.col("path_id"))).alias("path_id"))
 
+class _Paths:
+    """All simple root-to-end paths of one acyclic graph, by dynamic programming over its order."""
+
+    def __init__(self, states: pd.DataFrame, edges: pd.DataFrame) -> None:
+        self.ends = set(states.loc[states["is_end"], "merged_id"])
+        self.root = states["merged_id"].min()
+        self.next: dict[int, list[int]] = {}
+        for _, a, b in sorted(zip(edges["edge_no"].astype(str), edges["src"], edges["dst"])):
+            if b not in self.next.setdefault(a, []):
+                self.next[a].append(b)
+        waiting = dict.fromkeys(states["merged_id"], 0)
+        for bs in self.next.values():
+            for b in bs:
+                waiting[b] = waiting.get(b, 0) + 1
+        ready, self.order = sorted(n for n, k in waiting.items() if not k), []
+        while ready:
+            n = ready.pop()
+            self.order.append(n)
+            for b in self.next.get(n, ()):
+                waiting[b] -= 1
+                if not waiting[b]:
+                    ready.append(b)
+        if len(self.order) < len(waiting):
+            raise ValueError("the graph has a cycle")
+
+    def onward(self, without: set[int] = frozenset()) -> dict[int, int]:
+        """Paths from each state to an end that avoid ``without``."""
+        out: dict[int, int] = {}
+        for n in reversed(self.order):
+            out[n] = 0 if n in without else (n in self.ends) + sum(out[b] for b in self.next.get(n, ()))
+        return out
+
+    def through(self) -> tuple[int, dict[int, int]]:
+        """Number of all paths, and of those through each state."""
+        to_end, from_root = self.onward(), dict.fromkeys(self.order, 0)
+        from_root[self.root] = 1
+        for n in self.order:
+            for b in self.next.get(n, ()):
+                from_root[b] += from_root[n]
+        return to_end[self.root], {n: from_root[n] * to_end[n] for n in self.order}
+
+    def best(self, stage: dict[int, str], longest: bool) -> list[int]:
+        """The path with most distinct stages (if ``stage`` is given), then longest or shortest; of
+        equals the first in depth-first order. One entry per state and set of stages still to come."""
+        bits = {s: 1 << i for i, s in enumerate(sorted({v for v in stage.values() if v}))}
+        sign = 1 if longest else -1
+        # Per state: reachable stage set -> (length to the end, first state onward).
+        table: dict[int, dict[int, tuple[int, int | None]]] = {}
+        for n in reversed(self.order):
+            own, rows = bits.get(stage.get(n, ""), 0), {}
+            if n in self.ends:
+                rows[own] = (1, None, 0)
+            for b in self.next.get(n, ()):
+                for mask, (size, *_) in table[b].items():
+                    m = mask | own
+                    if m not in rows or sign * (size + 1) > sign * rows[m][0]:
+                        rows[m] = (size + 1, b, mask)
+            table[n] = rows
+        if not table.get(self.root):
+            return []
+        n, mask = self.root, max(table[self.root], key=lambda m: (bin(m).count("1"), sign * table[self.root][m][0]))
+        path = []
+        while n is not None:
+            path.append(n)
+            _, n, mask = table[n][mask]
+        return path
+
+
+def path_facts(states: DataFrame, edges: DataFrame, terminals: DataFrame | None = None,
+               keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """Facts about *all* paths of a graph, without listing any: keys, fact, n, merged_id, tool, pos.
+
+    ``total``: the number of paths in ``n``. ``state``: paths through ``merged_id``. ``tool``: paths
+    that use ``tool``. ``canonical``, ``longest``, ``shortest``: the path's states by ``pos``.
+    Counts are doubles, as they may exceed a long. A graph without a path gives a total of 0. One
+    group is one merged graph, so k runs; graphs must be acyclic, which ``clean_edges`` ensures.
+    """
+    keys = list(keys)
+    flagged = _flag_ends(states.withColumn("stage", blank("intent_stage")).withColumn(
+        "tool", F.trim(F.substring_index(blank("tool_used"), "[", 1))), edges, terminals, keys, "stage", "tool")
+    names = ["fact", "n", "merged_id", "tool", "pos"]
 
-def longest_path(summary: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    return summary.groupBy(*keys).agg(F.max_by("path_id", F.struct("total", -F.col("path_id"))).alias("path_id"))
+    def walk(key, s, e):
+        g = _Paths(s, e)
+        total, through = g.through()
+        rows = [("total", float(total), None, None, None)]
+        if total:
+            rows += [("state", float(c), int(n), None, None) for n, c in through.items() if c]
+            for tool in sorted(set(s["tool"]) - {"", "llm"}):
+                used = total - g.onward(set(s.loc[s["tool"] == tool, "merged_id"]))[g.root]
+                rows.append(("tool", float(used), None, tool, None))
+            stage = dict(zip(s["merged_id"], s["stage"]))
+            for fact, path in (("canonical", g.best(stage, True)), ("longest", g.best({}, True)), ("shortest", g.best({}, False))):
+                rows += [(fact, None, int(n), None, i) for i, n in enumerate(path)]
+        out = pd.DataFrame(rows, columns=names).astype({"merged_id": "Int32", "pos": "Int32"})
+        for name, value in zip(keys, key):
+            out[name] = value
+        return out[[*keys, *names]]
+    types = {f.name: f.dataType.simpleString() for f in states.schema.fields}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", fact string, n double, merged_id int, tool string, pos int"
+    return by_group(flagged, keys).groupBy(*keys).cogroup(
+        by_group(_fresh(edges, keys, "src", "dst", "edge_no"), keys).groupBy(*keys)).applyInPandas(walk, schema)
 
 
-def essential_states(paths: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    """States on every listed path."""
+def essential_states(facts: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """States on every path of the graph."""
     keys = list(keys)
-    total = paths.groupBy(*keys).agg((F.max("path_id") + 1).alias("_t"))
-    n = paths.groupBy(*keys, "merged_id").agg(F.countDistinct("path_id").alias("_n"))
-    return n.join(total, keys).where(F.col("_n") == F.col("_t")).select(*keys, "merged_id")
+    total = facts.where("fact = 'total' AND n > 0").select(*keys, F.col("n").alias("_t"))
+    return facts.where("fact = 'state'").join(total, keys).where("n = _t").select(*keys, "merged_id")
 
 
-def shortest_path(paths: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+def required_tools(facts: DataFrame, keys: Sequence[str] = ("task_id",), strict: bool = False) -> DataFrame:
+    """Tools on more than half of all paths (``strict``: on all of them)."""
     keys = list(keys)
-    size = paths.groupBy(*keys, "path_id").agg(F.count(F.lit(1)).alias("_n"))
-    best = size.groupBy(*keys).agg(F.min(F.struct("_n", "path_id")).alias("_b")).select(*keys, F.col("_b.path_id").alias("path_id"))
-    return paths.join(best, [*keys, "path_id"], "left_semi")
+    total = facts.where("fact = 'total' AND n > 0").select(*keys, F.col("n").alias("_t"))
+    return facts.where("fact = 'tool'").join(total, keys).where("n = _t" if strict else "n > _t / 2").select(*keys, "tool")
+
+
+def named_path(facts: DataFrame, fact: str, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """States of the canonical, longest or shortest path, by position."""
+    return facts.where(F.col("fact") == fact).select(*keys, "pos", "merged_id")
+
+
+def path_summary(path_states: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    return path_states.groupBy(*keys, "path_id").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.countDistinct(F.nullif(blank("intent_stage"), F.lit(""))).alias("n_stages"))

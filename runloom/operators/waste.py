@@ -19,7 +19,6 @@ from runloom.operators.scan import RUN_KEYS, lagged, running
 
 PATTERN_LENGTHS = (2, 3, 4)
 NEAR = 3
-# Default ceiling of the shares used by summaries.
 CATEGORIES = ("retries", "cycles", "redundant", "unnecessary")
 
 
@@ -31,9 +30,9 @@ def with_reference(steps: DataFrame, reports: DataFrame, keys: Sequence[str] = R
     """Attach to every step what its run's reference allows."""
     ref = reports.select(
         *keys, "n_cand", F.col("best.stages").alias("ref_stages"), F.col("best.total").alias("ref_len"),
-        F.col("best.retry_sigs").alias("ref_retries"), F.col("m.al_seq").alias("al_seq"))
-    j = steps.join(ref, list(keys))
-    return j.withColumn("aligned", F.array_contains("al_seq", F.col("seq").cast("int"))).drop("al_seq")
+        F.col("best.retry_sigs").alias("ref_retries"))
+    at = reports.select(*keys, F.explode("m.al_seq").alias("seq")).select(*keys, F.col("seq").cast(steps.schema["seq"].dataType), F.lit(True).alias("aligned"))
+    return steps.join(ref, list(keys)).join(at, [*keys, "seq"], "left").withColumn("aligned", F.coalesce("aligned", F.lit(False)))
 
 
 def step_flags(steps: DataFrame, reports: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
@@ -200,9 +199,10 @@ def regression_loops(steps: DataFrame, first_paths: DataFrame, ref_keys: Sequenc
         F.min(F.when(F.col("intent_stage") == "exploration", F.col("seq"))).alias("e"),
         F.min(F.when(impl, F.col("seq"))).alias("to"))
     spans = gaps.where((F.col("to") - F.col("e")) >= 2).join(
-        first_paths.select(*ref_keys, F.replace("first.stages", F.lit("-"), F.lit("")).alias("_ref")), list(ref_keys))
+        first_paths.select(*ref_keys, F.col("first.stages").alias("_ref")), list(ref_keys))
+    # The place counts every reference state; states without a stage only drop out of the pattern.
     at = F.floor(F.col("e") / F.greatest(F.col("n_steps"), F.lit(1)) * F.length("_ref")).cast("int")
-    upto = F.substr("_ref", F.lit(1), at + 1)
+    upto = F.replace(F.substr("_ref", F.lit(1), at + 1), F.lit("-"), F.lit(""))
     return spans.where(~upto.rlike("EI[VO]*E$")).select(
         *keys, F.col("e").alias("start_seq"), (F.col("to") - F.col("e")).alias("steps"))
 

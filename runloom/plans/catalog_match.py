@@ -6,6 +6,7 @@ be written in SQL. The merged-reference queries run the same operators on merged
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runloom.operators import assess as A
@@ -235,7 +236,15 @@ PRF = """(SELECT *, len(mpos) * 100.0::DOUBLE / m AS recall, len(used) * 100.0::
 add("precision_recall_f1", lambda s, d: lone_metrics(s, d).select(*K, *[r6(c, c) for c in ("coverage_percent", "precision_percent", "f1_score")]),
     MBASE + f" SELECT task_id, trajectory_id, round(recall, 6) AS coverage_percent, round(prec, 6) AS precision_percent, "
     f"round(2 * prec * recall / (prec + recall), 6) AS f1_score FROM {PRF}")
-add("required_tools", lambda s, d: M.required_tools(lone_path_states(s, d)),
+def lone_facts(s, d):
+    """Facts of the graph that is one run: a chain, its last step the end."""
+    st = lone_ref(s, d).select("task_id", F.col("seq").cast("int").alias("merged_id"), "intent_stage", "tool_used")
+    n = F.lead("merged_id").over(Window.partitionBy("task_id").orderBy("merged_id"))
+    e = st.select("task_id", F.col("merged_id").alias("src"), n.alias("dst"), F.col("merged_id").alias("edge_no")).where("dst IS NOT NULL")
+    return staged(s, "lone_facts", d, lambda: G.path_facts(st, e))
+
+
+add("required_tools", lambda s, d: G.required_tools(lone_facts(s, d)),
     BASE + " SELECT DISTINCT task_id, tool_used AS tool FROM lab WHERE trajectory_id % 10 = 0")
 add("required_files", lambda s, d: M.required_files(lone_ref(s, d)),
     BASE + " SELECT DISTINCT task_id, file_path AS file FROM lab WHERE trajectory_id % 10 = 0 AND category = 'edit'")
@@ -250,7 +259,7 @@ def _cover_sql(item, cond, name):
       FROM rr JOIN nd USING (task_id) LEFT JOIN hv USING (task_id, trajectory_id, i) GROUP BY 1, 2"""
 
 
-add("process_coverage", lambda s, d: M.process_coverage(lone_cand(s, d), M.required_tools(lone_path_states(s, d))).select(
+add("process_coverage", lambda s, d: M.process_coverage(lone_cand(s, d), G.required_tools(lone_facts(s, d))).select(
     *K, r6("process_coverage", "process_coverage"), F.col("missing_tools").alias("missing")), _cover_sql("tool_used", "TRUE", "process_coverage"))
 add("file_coverage", lambda s, d: M.file_coverage(lone_cand(s, d), M.required_files(lone_ref(s, d))).select(
     *K, r6("file_coverage", "file_coverage"), F.col("missing_files").alias("missing")), _cover_sql("file_path", "category = 'edit'", "file_coverage"))
@@ -283,11 +292,11 @@ add("individual_match", lambda s, d: individual_match(s, d).groupBy(*K).agg(
     r6(F.avg(F.col("terminal_match").cast("double")), "terminal_ratio")))
 add("comparison_lanes", lambda s, d: M.alignment(D.metrics(s, d)).join(
     D.metrics(s, d).select(*K, F.col("best_path").alias("path_id")), K).join(
-    D.path_states(s, d).select("task_id", "path_id", F.col("pos").alias("ref_pos"), "merged_id", F.col("tool_used").alias("ref_tool")),
+    D.matched_path_states(s, d).select("task_id", "path_id", F.col("pos").alias("ref_pos"), "merged_id", F.col("tool_used").alias("ref_tool")),
     ["task_id", "path_id", "ref_pos"], "left").join(
     D.candidates(s, d).select(*K, F.col("seq").cast("int").alias("seq"), F.col("tool_used").alias("cand_tool")), [*K, "seq"]))
 add("consensus_overlay", lambda s, d: D.metrics(s, d).select(*K, F.col("best_path").alias("path_id"), F.explode("m.set_pos").alias("pos")).join(
-    D.ref_paths(s, d), ["task_id", "path_id", "pos"]).groupBy("task_id", "merged_id").agg(F.countDistinct("trajectory_id").alias("matched_by")))
+    D.matched_path_states(s, d).select("task_id", "path_id", "pos", "merged_id"), ["task_id", "path_id", "pos"]).groupBy("task_id", "merged_id").agg(F.countDistinct("trajectory_id").alias("matched_by")))
 
 # --- reference graphs -------------------------------------------------------------------
 DONOR_SQL = """dn AS (SELECT task_id, trajectory_id, rk FROM (SELECT task_id, trajectory_id, row_number() OVER (PARTITION BY task_id
@@ -313,10 +322,11 @@ add("action_mix", lambda s, d: G.action_mix(D.ref_edges(s, d)))
 add("bfs_layers", lambda s, d: G.bfs_layers(D.ref_states(s, d), D.ref_edges(s, d)))
 add("enumerate_paths", lambda s, d: D.ref_paths(s, d))
 add("path_summary", lambda s, d: G.path_summary(D.path_states(s, d)))
-add("canonical_path", lambda s, d: G.canonical_path(G.path_summary(D.path_states(s, d))))
-add("longest_path", lambda s, d: G.longest_path(G.path_summary(D.path_states(s, d))))
-add("essential_states", lambda s, d: G.essential_states(D.ref_paths(s, d)))
-add("shortest_path", lambda s, d: G.shortest_path(D.ref_paths(s, d)))
+add("canonical_path", lambda s, d: G.named_path(D.path_facts(s, d), "canonical"))
+add("longest_path", lambda s, d: G.named_path(D.path_facts(s, d), "longest"))
+add("essential_states", lambda s, d: G.essential_states(D.path_facts(s, d)))
+add("shortest_path", lambda s, d: G.named_path(D.path_facts(s, d), "shortest"))
+add("path_totals", lambda s, d: D.path_facts(s, d).where("fact = 'total'").select("task_id", "n"))
 
 # --- reports ----------------------------------------------------------------------------
 VERDICT = """CASE WHEN bottleneck = 0 AND completeness < 1 THEN CASE WHEN weighted >= 60 THEN CASE WHEN terminal THEN 'LIKELY PASS' ELSE 'UNCERTAIN' END
@@ -347,7 +357,7 @@ add("quality_tier", lambda s, d: lone_reports(s, d).select(*K, "quality_tier"),
 add("quality_score", lambda s, d: D.reports(s, d).select(*K, F.col("quality_score"), r6("process_score", "process_score"), *[r6(A.combined_score(
     F.col("coverage_percent"), F.lit(100.0), F.col("coherence_score"), F.col("temporal_profile_score"), v), f"combined_{v}") for v in ("weighted", "merged", "mean")]))
 add("strengths", lambda s, d: lone_reports(s, d).select(*K, F.array_join("strengths", "; ").alias("strengths")))
-add("divergence_point", lambda s, d: A.divergence_point(lone_reports(s, d), lone_path_states(s, d), lone_cand(s, d)),
+add("divergence_point", lambda s, d: A.divergence_point(lone_reports(s, d), M.closed_positions(lone_path_states(s, d)), lone_cand(s, d)),
     MBASE + """ SELECT task_id, trajectory_id, CAST(dv + 1 AS INTEGER) AS step, r.tool_used || CASE WHEN r.file_path <> '' THEN ' on ' || r.file_path ELSE '' END AS expected,
       coalesce(c.tool_used || CASE WHEN c.file_path <> '' THEN ' on ' || c.file_path ELSE '' END, '(no matching candidate step)') AS actual
     FROM (SELECT s2.*, list_filter(range(0, m), lambda p: NOT list_contains(mpos, p))[1] AS dv, list_filter(range(0, n), lambda p: NOT list_contains(al, p))[1] AS fr
@@ -444,9 +454,11 @@ add("task_summary", lambda s, d: D.task_summary(s, d).select("task_id", "n_traje
 
 
 def compare_runs(s, d):
-    """The first five non-reference runs of each task side by side."""
-    picked = D.reports(s, d).where(F.col("trajectory_id") % 10 >= 5)
-    req_t, req_f = M.required_tools(D.path_states(s, d)), M.required_files(D.ref_states(s, d))
+    """The first five non-reference runs of each task side by side; five is the feature's own limit."""
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy("trajectory_id"))
+    first = D.reports(s, d).select(*K).withColumn("_p", place).where(F.col("_p") <= 5).drop("_p")
+    picked = D.reports(s, d).join(first, K, "left_semi")
+    req_t, req_f = G.required_tools(D.path_facts(s, d)), M.required_files(D.ref_states(s, d))
     cand = D.candidates(s, d).join(picked.select(*K), K, "left_semi")
     return (picked.join(M.process_coverage(cand, req_t), K).join(M.file_coverage(cand, req_f), K)
             .join(D.waste_summary(s, d).select(*K, "wasted_steps_distinct", "regression_loop_count"), K)

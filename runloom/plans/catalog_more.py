@@ -36,23 +36,23 @@ add("tfidf_vectors", lambda s, d: S.tfidf(s.read.parquet(f"{d}/documents.parquet
     F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 4).alias("top")),
     """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
       tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term NOT IN ('the', 'and', 'der', 'die', 'la', 'le') GROUP BY 1, 2),
-      vc AS (SELECT term, ln((SELECT count(DISTINCT doc_id) + 1 FROM documents) / CAST(count(*) + 1 AS DOUBLE)) + 1 AS idf FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000),
+      vc AS (SELECT term, ln((SELECT count(DISTINCT doc_id) + 1 FROM documents) / CAST(count(*) + 1 AS DOUBLE)) + 1 AS idf FROM tf GROUP BY 1),
       x AS (SELECT doc_id, tf * idf AS w FROM tf JOIN vc USING (term))
       SELECT doc_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 4) AS total, round(max(w) / sqrt(sum(w * w)), 4) AS top FROM x GROUP BY 1""")
 
 
 def _soft(s, d):
     e = S.dense_rows(s.read.parquet(f"{d}/embeddings.parquet"), "embedding").select(
-        "label", F.floor(F.col("vec_id") / 100).alias("run"), F.col("vec_id").alias("id"), "idx", "val")
-    m = S.soft_match(e.where("id % 2 = 0"), e.where("id % 2 = 1"), ["label", "run"])
-    return m.select("label", "run", *[F.round(c, 5).alias(c) for c in ("soft_precision", "soft_recall", "soft_f1")])
+        "label", F.col("vec_id").alias("id"), "idx", "val")
+    m = S.soft_match(e.where("id % 2 = 0"), e.where("id % 2 = 1"), ["label"])
+    return m.select("label", *[F.round(c, 5).alias(c) for c in ("soft_precision", "soft_recall", "soft_f1")])
 
 
-add("soft_match_f1", _soft, """WITH e AS (SELECT label, vec_id // 100 AS run, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  p AS (SELECT a.label, a.run, a.vec_id AS c, b.vec_id AS r, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.run = b.run AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
-  pc AS (SELECT label, run, avg(m) AS p FROM (SELECT label, run, c, max(s) AS m FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2),
-  rc AS (SELECT label, run, avg(m) AS r FROM (SELECT label, run, r, max(s) AS m FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2)
-  SELECT label, run, round(p, 5) AS soft_precision, round(r, 5) AS soft_recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS soft_f1 FROM pc JOIN rc USING (label, run)""")
+add("soft_match_f1", _soft, """WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  p AS (SELECT a.label, a.vec_id AS c, b.vec_id AS r, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+  pc AS (SELECT label, avg(m) AS p FROM (SELECT label, c, max(s) AS m FROM p GROUP BY 1, 2) GROUP BY 1),
+  rc AS (SELECT label, avg(m) AS r FROM (SELECT label, r, max(s) AS m FROM p GROUP BY 1, 2) GROUP BY 1)
+  SELECT label, round(p, 5) AS soft_precision, round(r, 5) AS soft_recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS soft_f1 FROM pc JOIN rc USING (label)""")
 
 
 def embedding_baseline(s, d):

@@ -167,18 +167,29 @@ add("read_saved_trace", lambda s, d: R.parse_saved_trace(_docs(s, d, TRACE, F.co
 
 def mixed_docs(s, d):
     out = None
-    for i, (t, cols) in enumerate(((CHAT, [F.col("k")]), (ACTIONS, [F.col("k"), F.col("k") + 5]), (STEPS, [F.col("k")]))):
-        part = _docs(s, d, t, *cols).where(F.col("trajectory_id") % 3 == i)
+    for i, (t, cols) in enumerate(((CHAT, [F.col("k")]), (ACTIONS, [F.col("k"), F.col("k") + 5]), (STEPS, [F.col("k")]), (TRACE, [F.col("k")]))):
+        part = _docs(s, d, t, *cols).where(F.col("trajectory_id") % 4 == i)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 add("detect_format", lambda s, d: mixed_docs(s, d).groupBy(R.detect_format(F.col("raw")).alias("format")).agg(F.count(F.lit(1)).alias("n")),
-    "SELECT CASE event_id % 3 WHEN 0 THEN 'chatlog' WHEN 1 THEN 'openhands' ELSE 'atif' END AS format, count(*) AS n FROM events GROUP BY 1")
+    "SELECT CASE event_id % 4 WHEN 0 THEN 'chatlog' WHEN 1 THEN 'openhands' WHEN 2 THEN 'atif' ELSE 'trace' END AS format, count(*) AS n FROM events GROUP BY 1")
 add("load_any", lambda s, d: R.load_any(mixed_docs(s, d)).groupBy("source_format", "tool").agg(F.count(F.lit(1)).alias("n")),
     """SELECT source_format, tool, count(*) AS n FROM events JOIN (VALUES (0, 'chatlog', NULL), (0, 'chatlog', NULL), (0, 'chatlog', 'read_file'), (0, 'chatlog', 'grep_search'), (0, 'chatlog', 'run_in_terminal'),
       (1, 'openhands', 'read_file'), (1, 'openhands', 'replace_string_in_file'), (1, 'openhands', 'list_dir'), (1, 'openhands', 'run_in_terminal'),
-      (2, 'atif', NULL), (2, 'atif', 'read_file'), (2, 'atif', 'run_in_terminal'), (2, 'atif', 'replace_string_in_file')) v(m, source_format, tool) ON event_id % 3 = m GROUP BY 1, 2""")
+      (2, 'atif', NULL), (2, 'atif', 'read_file'), (2, 'atif', 'run_in_terminal'), (2, 'atif', 'replace_string_in_file'),
+      (3, 'trace', 'read_file')) v(m, source_format, tool) ON event_id % 4 = m GROUP BY 1, 2""")
+
+
+def broken_docs(s, d):
+    """The mixed documents with every seventh one cut short and every eleventh one emptied."""
+    k = F.col("trajectory_id")
+    return mixed_docs(s, d).withColumn("raw", F.when(k % 7 == 0, F.expr("left(raw, 20)")).when(k % 11 == 0, F.lit("{}")).otherwise(F.col("raw")))
+
+
+add("unreadable", lambda s, d: R.unreadable(broken_docs(s, d)).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT CASE WHEN event_id % 7 = 0 THEN 'no valid JSON' ELSE 'unknown format' END AS reason, count(*) AS n FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 GROUP BY 1")
 
 
 def _named(s, d):

@@ -95,15 +95,29 @@ def ref_edges(s: SparkSession, d: str) -> DataFrame:
         G.graph_edges(donor_steps(s, d), mapping(s, d)), remap(s, d), raw_states(s, d)))
 
 
+def ref_ends(s: SparkSession, d: str) -> DataFrame:
+    return G.remap_ids(G.run_terminals(mapping(s, d)), remap(s, d))
+
+
 def ref_paths(s: SparkSession, d: str) -> DataFrame:
-    return staged(s, "ref_paths", d, lambda: G.enumerate_paths(
-        ref_states(s, d), ref_edges(s, d), G.remap_ids(G.run_terminals(mapping(s, d)), remap(s, d))))
+    """The paths that runs are matched with: the first ones in depth-first order."""
+    return staged(s, f"ref_paths_{G.MATCHED_PATHS}", d, lambda: G.enumerate_paths(
+        ref_states(s, d), ref_edges(s, d), ref_ends(s, d), limit=G.MATCHED_PATHS))
+
+
+def path_facts(s: SparkSession, d: str) -> DataFrame:
+    return staged(s, "path_facts", d, lambda: G.path_facts(ref_states(s, d), ref_edges(s, d), ref_ends(s, d)))
 
 
 def path_states(s: SparkSession, d: str) -> DataFrame:
     return ref_paths(s, d).join(ref_states(s, d), ["task_id", "merged_id"])
 
 
+def matched_path_states(s: SparkSession, d: str) -> DataFrame:
+    """Path states as the matcher numbers them: without requests, positions closed up."""
+    return M.closed_positions(path_states(s, d))
+
+
 def candidates(s: SparkSession, d: str) -> DataFrame:
     """Runs that are no donors, in tasks that have a reference."""
     dn = donors(s, d)

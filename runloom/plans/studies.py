@@ -19,8 +19,10 @@ RUN = ["task_id", "trajectory_id"]
 
 def study(s: SparkSession, d: str, ks=(2, 3), draws: int = 2, perms: int = 1, max_states: int | None = None,
           tag: str = "study") -> DataFrame:
-    """Scores of every non-donor run in every cell. ``max_states`` leaves out larger graphs."""
+    """Scores of every non-donor run in every cell. ``max_states`` leaves out larger graphs, with all
+    their runs; parameters are part of the staged tables' names."""
     steps = D.sig_steps(s, d)
+    tag = f"{tag}-{'_'.join(map(str, ks))}-{draws}-{perms}-{max_states}"
     grid = staged(s, f"{tag}_grid", d, lambda: E.draw_grid(D.runs(s, d), ks, draws, perms))
 
     def graph():
@@ -36,15 +38,18 @@ def study(s: SparkSession, d: str, ks=(2, 3), draws: int = 2, perms: int = 1, ma
         small = states.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_states)
         states = states.join(small, CELL, "left_semi")
     edges = staged(s, f"{tag}_edges", d, lambda: G.clean_edges(G.graph_edges(donor, mapping, CELL), remap, raw, CELL))
+    if max_states is not None:
+        edges = edges.join(small, CELL, "left_semi")
     ends = G.remap_ids(G.run_terminals(mapping, CELL), remap, "merged_id", CELL)
-    paths = staged(s, f"{tag}_paths", d, lambda: G.enumerate_paths(states, edges, ends, CELL))
+    paths = staged(s, f"{tag}_paths", d, lambda: G.enumerate_paths(states, edges, ends, CELL, limit=G.MATCHED_PATHS))
+    facts = staged(s, f"{tag}_facts", d, lambda: G.path_facts(states, edges, ends, CELL))
     ids = M.reference_ids(states)
     refs = M.reference_paths(paths.join(states, [*CELL, "merged_id"]), ids, CELL)
     cand = steps.join(grid.select("task_id").distinct(), "task_id", "left_semi")
     hits = M.candidate_hits(cand, equivalence_pairs(states, cand), ids)
     best = M.best_match(hits, refs, CELL).join(grid.select(*CELL, "trajectory_id"), [*CELL, "trajectory_id"], "left_anti")
     m = M.match_metrics(best, M.run_features(cand), CELL).join(D.runs(s, d).select(*RUN, "model", "passed"), RUN)
-    tools = M.required_tools(paths.join(states, [*CELL, "merged_id"]), CELL)
+    tools = G.required_tools(facts, CELL)
     need = tools.groupBy(*CELL).agg(F.collect_set("tool").alias("_need"))
     used = cand.where("tool_used <> ''").groupBy(*RUN).agg(F.collect_set("tool_used").alias("_used"))
     m = m.join(need, CELL, "left").join(used, RUN, "left")

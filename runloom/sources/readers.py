@@ -374,16 +374,43 @@ def parse_saved_trace(raw: DataFrame) -> dict[str, DataFrame]:
     return {"states": states, "transitions": t}
 
 
+def trace_entries(raw: DataFrame) -> DataFrame:
+    """Entries behind the states of saved graphs, in step order; the initial state has none."""
+    ids = ["task_id", "trajectory_id"]
+    log = "struct<id string, kind string, tool string, args string, response_preview string, model string>"
+    s = _identify(raw).select(*ids, F.from_json(
+        "raw", f"initial_state string, states map<string, struct<step int, tool_used string, log_entry {log}, metadata string>>").alias("d")).select(
+        *ids, F.col("d.initial_state").alias("first"), F.explode("d.states").alias("state_id", "s")).where(
+        F.col("s.log_entry").isNotNull() & ~F.col("state_id").eqNullSafe(F.col("first")))
+    kind = F.coalesce("s.log_entry.kind", F.lit("unknown"))
+    args = F.when(kind == "toolCall", arg_map(F.col("s.log_entry.args")))
+
+    def number(name):
+        return F.get_json_object("s.metadata", f"$.{name}").cast("long")
+    return _finish(s.select(
+        *ids, F.coalesce("s.step", F.lit(0)).alias("pos"), "state_id", F.coalesce("s.log_entry.id", "state_id").alias("entry_id"),
+        kind.alias("kind"), F.coalesce("s.step", F.lit(0)).alias("entry_index"),
+        F.when(kind == "toolCall", F.coalesce("s.log_entry.tool", F.col("s.tool_used"), F.lit(""))).alias("tool"),
+        *[c.alias(n) for n, c in entry_fields(args).items()], F.col("s.log_entry.response_preview").alias("response"),
+        F.col("s.log_entry.model").alias("model"), *[number(c).alias(c) for c in ("input_tokens", "output_tokens", "latency_ms")]),
+        ["pos", "state_id"])
+
+
+PARSERS = {"chatlog": parse_chatlog, "openhands": parse_actionlog, "atif": parse_steplog, "trace": trace_entries}
+
+
 def load_any(raw: DataFrame, fmt: str | None = None) -> DataFrame:
-    """Entries of documents in any log format; ``fmt`` overrides detection."""
-    known = {"chatlog": parse_chatlog, "openhands": parse_actionlog, "atif": parse_steplog}
+    """Entries of documents in any log format, saved graphs included; ``fmt`` overrides detection.
+
+    Documents that yield no entry are listed by ``unreadable``.
+    """
     if fmt is not None:
-        if fmt not in known:
+        if fmt not in PARSERS:
             raise ValueError(f"unsupported format: {fmt}")
-        return known[fmt](raw).withColumn("source_format", F.lit(fmt))
+        return PARSERS[fmt](raw).withColumn("source_format", F.lit(fmt))
     tagged = raw.withColumn("_f", detect_format(F.col("raw")))
     out = None
-    for name, parse in known.items():
+    for name, parse in PARSERS.items():
         part = parse(tagged.where(F.col("_f") == name).drop("_f")).select(
             "task_id", "trajectory_id", "seq", "n_steps", "chunk", *[c for c in ENTRY_FIELDS if c not in ("task_id", "trajectory_id")]) \
             .withColumn("source_format", F.lit(name))
@@ -391,6 +418,21 @@ def load_any(raw: DataFrame, fmt: str | None = None) -> DataFrame:
     return out
 
 
+def unreadable(raw: DataFrame) -> DataFrame:
+    """Documents that cannot be read, with the reason: no JSON, or nothing of the detected format in it."""
+    form, head = detect_format(F.col("raw")), F.substring(F.ltrim("raw"), 1, 1)
+    parsed = F.try_parse_json(F.col("raw"))
+    parts = {"chatlog": F.from_json("raw", CHATLOG)["prompts"], "atif": F.from_json("raw", STEPLOG)["steps"],
+             "trace": F.from_json("raw", "states map<string, struct<step int>>")["states"]}
+    empty = F.lit(False)
+    for name, part in parts.items():
+        wrapped = F.coalesce(F.size(part), F.lit(0)) <= 0
+        empty = empty | ((form == name) & wrapped & (head == "{"))
+    reason = F.when(F.col("raw").isNull() | parsed.isNull(), "no valid JSON").when(empty, "no entries") \
+        .when((form == "openhands") & (head != "["), "unknown format")
+    return _identify(raw).select("task_id", "trajectory_id", form.alias("source_format"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def discover(paths: DataFrame, column: str = "path") -> DataFrame:
     """Task, model, outcome and run number from ``<task>-logs-<model>-(pass|fail)[-<run>]``."""
     name = F.regexp_replace(F.regexp_extract(column, r"([^/]+)$", 1), r"(?:_pta)?\.(?:json|zip)$", "")
