@@ -8,10 +8,12 @@ can be decoded alone. Parquet is only the container, so files lie on any store S
 **Model.** Order 2 (the two ids before) and order 1 (the id before) each predict one id. Whether the
 better prediction is right is coded with a mixture of three adaptive probabilities: by the
 confidence of order 2, by that of order 1, and overall. Their weights move towards whichever
-foresaw the outcome. A miss is coded by order 0: adaptive counts of the id's three digits to base
-37, each under the digits before it. All arithmetic is on integers, so every machine decodes alike.
+foresaw the outcome. A miss is coded by order 0: adaptive counts of 64 classes of ids (the first 16
+ids, then four classes per doubling; ids are roughly in order of frequency), then the place inside
+the class. All arithmetic is on integers, so every machine decodes alike.
 
-**Speed.** Blocks are lanes of numpy arrays: one step codes one token of every block.
+**Speed.** Blocks are lanes of numpy arrays: one step codes one token of every block. The model of a
+lane is kept to a few kilobytes, so that all lanes stay in the processor's caches.
 """
 
 from __future__ import annotations
@@ -29,14 +31,25 @@ from runloom.llm.bpe import Splitter, runs, vocabulary_path
 from runloom.plans.store import shared_path
 
 BLOCK = 2048
-LANES = 1024
-DIGIT = 37
+LANES = 2048
 END = 0
-#: Added to a count per use; 37 + 2048 * 24 stays under 2^16, so counts never need halving.
+#: Added to a class's count per use; 64 + 2048 * 24 stays under 2^16, so counts never need halving.
 STEP = 24
-#: Bits of the range coder: digits of 16 bits, a range of at most 48.
+CLASSES = 64
+SLOTS = 512
+#: The coder emits digits of 16 bits and keeps a range of at most 48.
 _LOW, _FULL = np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
-_SLOTS = 1 << 11
+
+
+def class_of(ids: np.ndarray) -> np.ndarray:
+    """0 to 15 for these ids, then four classes per doubling up to 2^16."""
+    top = np.log2(np.maximum(ids, 1) + 0.5).astype(np.int64)
+    return np.where(ids < 16, ids, 16 + (top - 4) * 4 + ((ids >> np.maximum(top - 2, 0)) & 3))
+
+
+_CLASS = class_of(np.arange(1 << 16)).astype(np.int64)
+_FIRST = np.searchsorted(_CLASS, np.arange(CLASSES)).astype(np.int64)
+_SIZE = np.diff(np.append(_FIRST, 1 << 16)).astype(np.uint64)
 
 
 class Coder:
@@ -47,16 +60,17 @@ class Coder:
         self.range = np.full(lanes, _FULL)
         self.row = np.arange(lanes)
         if payload is None:
-            self.out = np.zeros((lanes, steps), np.int64)
+            self.out = np.zeros((lanes, steps), np.int32)
             self.used = np.zeros(lanes, np.int64)
         else:
             width = max(len(p) for p in payload) // 2 + 8
             data = np.zeros((lanes, width), ">u2")
             for i, p in enumerate(payload):
                 data[i, :len(p) // 2] = np.frombuffer(p, ">u2")
-            self.out = data.astype(np.uint64)
+            self.out = data.astype(np.uint16)
             self.used = np.full(lanes, 3)
-            self.low = self.out[:, 0] << np.uint64(32) | self.out[:, 1] << np.uint64(16) | self.out[:, 2]
+            first = self.out[:, :3].astype(np.uint64)
+            self.low = first[:, 0] << np.uint64(32) | first[:, 1] << np.uint64(16) | first[:, 2]
 
     def encode(self, start: np.ndarray, size: np.ndarray, total: np.uint64, on: np.ndarray | None) -> None:
         """One symbol in every lane, or where ``on`` is true."""
@@ -116,7 +130,7 @@ class Coder:
             self.used += 1
         carry = np.zeros(len(self.row), np.int64)
         for k in range(int(self.used.max()) - 1, -1, -1):
-            value = self.out[:, k] + carry
+            value = self.out[:, k].astype(np.int64) + carry
             carry = value >> 16
             self.out[:, k] = value & 0xFFFF
         return [self.out[i, :n].astype(">u2").tobytes() for i, n in enumerate(self.used.tolist())]
@@ -130,81 +144,81 @@ class Model:
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
         # Per context slot: predicted id times four plus its confidence 0..3, for order 1 and order 2.
-        self.guess = [np.zeros(lanes * _SLOTS, np.int64) for _ in range(2)]
-        self.base = self.row * _SLOTS
-        # Probabilities (12 bits) that the prediction is right: by both confidences, and overall.
-        self.chance = [np.full(lanes * 4, 2048, np.int64) for _ in range(2)] + [np.full(lanes, 2048, np.int64)]
-        self.weight = [np.full(lanes, 256, np.int64) for _ in range(3)]
-        # Counts of digits as running sums, one row of 38 per prefix: a digit's share is two neighbours.
-        self.sums = [np.tile(np.arange(DIGIT + 1, dtype=np.uint16), (lanes * DIGIT ** k, 1)) for k in range(3)]
-        self.first = [self.row * DIGIT ** k for k in range(3)]
+        self.guess = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
+        self.base = self.row * SLOTS
+        # Probabilities (of 4096) that the prediction is right: by both confidences, and overall.
+        self.chance = [np.full(lanes * 4, 2048, np.int32) for _ in range(2)]
+        self.overall = np.full(lanes, 2048, np.int32)
+        self.row4 = self.row * 4
+        self.weight = [np.full(lanes, 256, np.int32) for _ in range(3)]
+        # Counts of classes as running sums: a class's share is two neighbours.
+        self.sums = np.tile(np.arange(CLASSES + 1, dtype=np.uint16), (lanes, 1))
 
     def predict(self) -> np.ndarray:
         """Sets the prediction; returns the probability (of 4096) that it is right."""
-        self.slots = (self.base + (self.one * 40503 >> 4) % _SLOTS,
-                      self.base + ((self.one * 40503 + self.two * 30011) >> 4) % _SLOTS)
-        self.held = [g[s] for g, s in zip(self.guess, self.slots, strict=True)]
+        hashed = self.one * 40503
+        self.slots = (self.base + (hashed >> 4) % SLOTS, self.base + ((hashed + self.two * 30011) >> 4) % SLOTS)
+        self.held = (self.guess[0][self.slots[0]], self.guess[1][self.slots[1]])
         by_one, by_two = self.held
-        sure = [by_two & 3, by_one & 3]
-        self.pick = np.where(sure[0] > 0, by_two, by_one) >> 2
-        self.at = (self.row * 4 + sure[0], self.row * 4 + sure[1], self.row)
-        self.p = [c[a] for c, a in zip(self.chance, self.at, strict=True)]
+        sure_two = by_two & 3
+        self.pick = np.where(sure_two > 0, by_two, by_one) >> 2
+        self.at = (self.row4 + sure_two, self.row4 + (by_one & 3))
+        self.p = (self.chance[0][self.at[0]], self.chance[1][self.at[1]], self.overall)
         w, p = self.weight, self.p
         mixed = (w[0] * p[0] + w[1] * p[1] + w[2] * p[2]) // (w[0] + w[1] + w[2])
-        return np.minimum(np.maximum(mixed, 16), 4080)
+        return np.minimum(np.maximum(mixed, 16), 4080).astype(np.uint64)
 
     def learn(self, hit: np.ndarray, ids: np.ndarray) -> None:
-        aim = np.where(hit, 4095, 0)
+        aim = np.where(hit, np.int32(4095), np.int32(0))
         for k in range(3):
-            p = self.p[k]
-            self.chance[k][self.at[k]] = p + ((aim - p) >> 4)
+            gap = aim - self.p[k]
+            new = self.p[k] + (gap >> 4)
+            if k < 2:
+                self.chance[k][self.at[k]] = new
+            else:
+                self.overall = new
             # What each part gave to the outcome, as a share of 256, draws its weight.
-            gave = np.abs(aim - p)
-            self.weight[k] += (271 - (gave >> 4) - self.weight[k]) >> 4
+            self.weight[k] += (271 - (np.abs(gap) >> 4) - self.weight[k]) >> 4
+        fresh = (ids * 4 + 1).astype(np.int32)
         for k in range(2):
             old = self.held[k]
             sure = old & 3
-            same = (old >> 2 == ids) & (sure > 0)
+            same = (old ^ fresh) < 4
+            same &= sure > 0
             # Right: one surer. Wrong: one less sure, and replaced once no confidence is left.
-            self.guess[k][self.slots[k]] = np.where(same, old + (sure < 3), np.where(sure > 1, old - 1, ids * 4 + 1))
+            self.guess[k][self.slots[k]] = np.where(same, old + (sure < 3), np.where(sure > 1, old - 1, fresh))
         self.two, self.one = self.one, ids
 
 
-_DIGITS = np.arange(DIGIT + 1)
-#: What a digit's use adds to the running sums of its row.
-_ADDED = ((_DIGITS[None, :] > np.arange(DIGIT)[:, None]) * STEP).astype(np.uint16)
-_ONES = np.ones(DIGIT + 1, np.float32)
+#: What a class's use adds to the running sums.
+_ADDED = ((np.arange(CLASSES + 1)[None, :] > np.arange(CLASSES)[:, None]) * STEP).astype(np.uint16)
+_ONES = np.ones(CLASSES + 1, np.float32)
 _U = np.uint64
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Coded payload of every block of ids."""
+    """Coded payload of every block of ids below 2^16."""
     # Longer blocks first: lanes that have ended form a tail, which is cut off.
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     size = np.array([len(blocks[i]) for i in order], np.int64)
     ids = np.zeros((int(size[0]) if len(order) else 0, len(order)), np.int64)
     for lane, i in enumerate(order):
         ids[:size[lane], lane] = blocks[i]
-    digits = np.stack([ids // DIGIT ** 2, ids // DIGIT % DIGIT, ids % DIGIT])
-    coder, model = Coder(len(order), 4 * len(ids) + 8), Model(len(order))
+    coder, model = Coder(len(order), 3 * len(ids) + 8), Model(len(order))
     total = _U(4096)
     for t in range(len(ids)):
         live, now = size > t, ids[t]
-        right = model.predict().astype(np.uint64)
+        right = model.predict()
         hit = model.pick == now
         coder.encode(np.where(hit, _U(0), right), np.where(hit, right, total - right), total,
                      None if live[-1] else live)
         miss = np.flatnonzero(~hit & live)
-        prefix = np.zeros(len(miss), np.int64)
-        for k in range(3):
-            sums, digit = model.sums[k], digits[k, t][miss]
-            at = model.first[k][miss] + prefix
-            row = sums[at]
-            i = np.arange(len(miss))
-            start = row[i, digit].astype(np.uint64)
-            coder.encode_some(miss, start, row[i, digit + 1] - start, row[:, DIGIT].astype(np.uint64))
-            sums[at] = row + _ADDED[digit]
-            prefix = prefix * DIGIT + digit
+        coded = now[miss]
+        cls = _CLASS[coded]
+        start, end = model.sums[miss, cls].astype(np.uint64), model.sums[miss, cls + 1].astype(np.uint64)
+        coder.encode_some(miss, start, end - start, model.sums[miss, CLASSES].astype(np.uint64))
+        model.sums[miss] += _ADDED[cls]
+        coder.encode_some(miss, (coded - _FIRST[cls]).astype(np.uint64), _U(1), _SIZE[cls])
         model.learn(hit, now)
     out: list[bytes] = [b""] * len(order)
     for i, payload in zip(order, coder.finish() if len(order) else [], strict=True):
@@ -223,27 +237,25 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     total = _U(4096)
     for t in range(len(ids)):
         live = size > t
-        right = model.predict().astype(np.uint64)
+        right = model.predict()
         part = coder.range // total
         hit = coder.low // part < right
         coder.decode(part, np.where(hit, _U(0), right), np.where(hit, right, total - right), None if live[-1] else live)
         miss = np.flatnonzero(~hit & live)
-        prefix = np.zeros(len(miss), np.int64)
-        for k in range(3):
-            sums = model.sums[k]
-            at = model.first[k][miss] + prefix
-            row = sums[at]
-            part = coder.range[miss] // row[:, DIGIT]
-            goal = coder.low[miss] // part
-            # Running sums at most the goal, less the leading zero, are the digit.
-            digit = ((row <= goal[:, None]).astype(np.float32) @ _ONES).astype(np.int64) - 1
-            i = np.arange(len(miss))
-            start = row[i, digit].astype(np.uint64)
-            coder.decode_some(miss, part, start, row[i, digit + 1] - start)
-            sums[at] = row + _ADDED[digit]
-            prefix = prefix * DIGIT + digit
-        now = np.where(live, model.pick, 0)
-        now[miss] = prefix
+        row = model.sums[miss]
+        part = coder.range[miss] // row[:, CLASSES]
+        goal = (coder.low[miss] // part).astype(np.uint16)
+        # The running sums at most the goal, less the leading zero, are the class.
+        cls = ((row <= goal[:, None]).astype(np.float32) @ _ONES).astype(np.int64) - 1
+        start, end = model.sums[miss, cls].astype(np.uint64), model.sums[miss, cls + 1].astype(np.uint64)
+        coder.decode_some(miss, part, start, end - start)
+        row += _ADDED[cls]
+        model.sums[miss] = row
+        part = coder.range[miss] // _SIZE[cls]
+        place = coder.low[miss] // part
+        coder.decode_some(miss, part, place, _U(1))
+        now = np.where(live, model.pick, 0).astype(np.int64)
+        now[miss] = _FIRST[cls] + place.astype(np.int64)
         ids[t] = now
         # Lanes that have ended run on with ids of 0, as they do in the encoder.
         if not live[-1]:
@@ -277,11 +289,16 @@ class LibraryEncoder:
         if len(self.known) > self.limit:
             self.clear()
         new = list({w for words in cut for w in words}.difference(self.known))
-        fresh = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
         base = len(self.start) - 1
         self.known.update((w, base + i) for i, w in enumerate(new))
-        self.ids = np.concatenate([self.ids, *[np.array(x, np.int32) for x in fresh]])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in fresh], dtype=np.int64)])
+        ids, sizes = [self.ids], []
+        for i in range(0, len(new), 2000):  # one call for many words: each keeps its own ids
+            part = new[i:i + 2000]
+            found = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, np.int32))
+            sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
+        self.ids = np.concatenate(ids)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate([np.empty(0, np.int64), *sizes]))])
         look, out = self.known.__getitem__, []
         for words in cut:
             w = np.fromiter(map(look, words), np.int64, len(words))

@@ -71,6 +71,13 @@ def test_blocks_round_trip():
     assert token_files.decode_blocks([payloads[5]], [2048])[0].tolist() == blocks[5].tolist()
 
 
+def test_library_encoder_by_words(library):
+    texts = [*(t or "" for _, t in HARD), "<|endoftext|>a <|endoftext|><|endoftext|> b", "  x\n\n y²½ é́ 日本 ", "it's 12 we'll\x1c\x1d end"]
+    once = token_files.LibraryEncoder(bpe.vocabulary_path(), known_words=3)
+    for held in (texts, texts[::-1], texts[3:5]):
+        assert [x.tolist() for x in once.texts(held)] == [library.encode(t, add_special_tokens=False).ids for t in held]
+
+
 def test_token_files(spark, hard, empty, library, tmp_path):
     folder = f"{tmp_path}/tokens"
     token_files.write_tokens(hard, folder)
