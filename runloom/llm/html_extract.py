@@ -5,7 +5,7 @@
    pages that have it, those with equal text, and the length of differing text are added up, in the
    task first and then over all tasks.
 3. The wrapper of a host: the deepest container that holds most of the differing text is the content
-   slot; a node with the same text on nearly all of many pages is template.
+   slot; an innermost block with the same text on nearly all of many pages is template.
 4. On each page the node aligned with the slot is read, without template nodes and without what its
    own markup names as menu, header, footer, side bar, notice, advert, form, script or comments.
    Pages whose host has no evidence use their own landmarks (article, main).
@@ -163,6 +163,17 @@ def text_of(node: Node, skip: set[int] = frozenset()) -> str:
     return " ".join("".join(out).split())
 
 
+def innermost(node: Node) -> bool:
+    """A block that holds no other block: a paragraph, an item, a heading."""
+    todo = list(node.kids) if node.tag in BLOCK else [node]
+    while todo:
+        x = todo.pop()
+        if x.tag in BLOCK and x.tag != "br" or x is node:
+            return False
+        todo.extend(x.kids)
+    return True
+
+
 def own_text(node: Node) -> str:
     return " ".join(html.unescape(" ".join(p for p in node.parts if isinstance(p, str))).split())
 
@@ -267,7 +278,7 @@ class Wrapper:
             mass = [0] * len(self.nodes)
             for i, pages, same, changed in evidence:
                 mass[i] = changed
-                if pages >= SAME_PAGES and same >= SAME_SHARE * pages and own_text(self.nodes[i]):
+                if pages >= SAME_PAGES and same >= SAME_SHARE * pages:
                     self.same.add(id(self.nodes[i]))
             below = list(mass)
             for i in range(len(self.nodes) - 1, 0, -1):
@@ -302,7 +313,7 @@ def extract(page: str, wrapper: Wrapper | None, matcher: Matcher) -> str:
         for a, b in matcher.align(root, wrapper.root):
             if b is wrapper.slot:
                 slot = a
-            if id(b) in wrapper.same and own_text(a) == own_text(b):
+            if id(b) in wrapper.same and innermost(a) and text_of(a) == text_of(b):
                 skip.add(id(a))
     if slot is None:
         return text_of(landmark(root), skip)
@@ -335,12 +346,13 @@ def _evidence(seeds):
                 matched = {id(a) for a, _ in pairs}
                 rows, differs = [], False
                 for a, b in pairs:
-                    x, y = own_text(a), own_text(b)
+                    block = innermost(a) and innermost(b)
+                    x, y = (text_of(a), text_of(b)) if block else (own_text(a), own_text(b))
                     # Text of nodes that the seed lacks belongs to their nearest aligned parent.
                     extra = sum(len(text_of(k)) for k in a.kids if not k.dropped and id(k) not in matched)
                     changed = extra + (len(x) if x != y else 0)
                     differs |= changed > 0
-                    rows.append((w.number[id(b)], int(bool(x) and x == y), changed))
+                    rows.append((w.number[id(b)], int(block and bool(x) and x == y), changed))
                 if differs:  # a copy of the seed says nothing
                     for i, same, changed in rows:
                         s = sums.setdefault((host, i), [0, 0, 0])

@@ -150,12 +150,18 @@ class Template:
         for at in sorted(p for w in self.telling for p in places.get(w, ())):
             if at < done:
                 continue
-            low, high = max(0, at - self.span, done), min(len(words), at + self.span)
-            hit = self.best([(low + i, j) for i, j in patience(words[low:high], self.words)])
+            hit = self.align(words, max(at - self.span, done), at + self.span)
             if hit:
+                # The region may have held a part of the text only: once more around what was found.
+                again = self.align(words, max(hit[1] - self.span, done), hit[2] + self.span)
+                hit = max(hit, again or hit, key=lambda h: h[0])
                 done = hit[2]
                 yield hit
 
+    def align(self, words: list[str], low: int, high: int) -> tuple[int, int, int] | None:
+        low = max(low, 0)
+        return self.best([(low + i, j) for i, j in patience(words[low:high], self.words)])
+
 
 def licenses(text: str, templates: list[Template]) -> list[tuple[str, int, int, int]]:
     """(name, first word, end, coverage in percent) of the templates in a text, in order.
