@@ -247,7 +247,8 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = written(sketch(rows), "sketches")
     usable = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    # Written, so that the join below has two plain sides, and a class of many copies can be split.
+    classes = written(usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     members = written(usable.join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "node").distinct(), "members")
     nodes = written(usable.join(classes.select("h1", "h2", "n_shingles", F.col("node").alias("doc_id")),
                                 ["h1", "h2", "n_shingles", "doc_id"], "left_semi")
@@ -258,7 +259,8 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, id_col: str = "doc_id
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", k * width + 1, width)).bitwiseAND(~31).bitwiseOR(k)
                      for k in range(BANDS)])
     bands = nodes.select("node", F.explode(keys).alias("key"))
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("center")).where("size > 1")
+    buckets = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("center"))
+                      .where("size > 1"), "buckets")
     shared = written(bands.join(buckets, "key"), "shared")
     spokes = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     ends = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}")) for c in "ab"]
