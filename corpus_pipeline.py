@@ -20,7 +20,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated chunks of lines. A document of which nothing is left goes; n_chars
     follows the text where the column exists."""
-    out = line_dedup.line_dedup(docs)
+    # Written first: a filter on the new text would otherwise be pushed below and repeat its expression.
+    out = written(line_dedup.line_dedup(docs), "cut")
     emptied = (F.col("_line_dedup.n_removed_chunks") > 0) & (F.length("text") == 0)
     out = out.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from runloom.plans.store import written
 
 BROADCAST_BYTES = 32 << 20
+BROADCAST_HOSTS = 200_000
 SLOT_SHARE = 0.6
 #: A node is template if this share of at least so many aligned pages repeats its text.
 SAME_SHARE, SAME_PAGES = 0.8, 8
@@ -395,7 +396,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    first = rows.where("html IS NOT NULL AND page_id IS NOT NULL").groupBy("host").agg(F.min("page_id").alias("page_id"))
+    first = written(rows.where("html IS NOT NULL AND page_id IS NOT NULL").groupBy("host").agg(F.min("page_id").alias("page_id")), "first")
+    if first.count() <= BROADCAST_HOSTS:  # two short columns: pages stay where they are read
+        first = F.broadcast(first)
     seeds = written(rows.join(first, ["host", "page_id"]).where("html IS NOT NULL").dropDuplicates(["host"])
                     .select("host", F.col("html").alias("seed")), "seeds")
     size = seeds.agg(F.sum(F.octet_length("seed"))).first()[0] or 0
