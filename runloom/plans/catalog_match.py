@@ -264,11 +264,23 @@ add("process_coverage", lambda s, d: M.process_coverage(lone_cand(s, d), G.requi
 add("file_coverage", lambda s, d: M.file_coverage(lone_cand(s, d), M.required_files(lone_ref(s, d))).select(
     *K, r6("file_coverage", "file_coverage"), F.col("missing_files").alias("missing")), _cover_sql("file_path", "category = 'edit'", "file_coverage"))
 add("match_run", lambda s, d: D.metrics(s, d).drop("best", "m", "missing_steps"))
-add("match_run_canonical", lambda s, d: D.match_run(s, d, "canonical").select(
+add("match_run_canonical", lambda s, d: M.match_metrics(M.best_match(lone_hits(s, d), lone_refs(s, d), strategy="canonical"), M.run_features(lone_cand(s, d))).select(
+    *K, F.col("best_path").cast("long"), r6("coverage_percent", "coverage_percent"), r6("weighted_score", "weighted_score"), "terminal_match"),
+    MBASE + f" SELECT task_id, trajectory_id, CAST(0 AS BIGINT) AS best_path, round(recall, 6) AS coverage_percent, round(weighted, 6) AS weighted_score, terminal AS terminal_match "
+    f"FROM {PRF} JOIN stm USING (trajectory_id) JOIN tm USING (trajectory_id)")
+add("match_run_canonical_merged", lambda s, d: D.match_run(s, d, "canonical").select(
     *K, "best_path", "coverage_percent", "weighted_score", "terminal_match"))
-add("rank_paths", lambda s, d: M.path_counts(D.hits(s, d), D.reference_rows(s, d), ["task_id"]).select(
+add("rank_paths", lambda s, d: M.path_counts(lone_hits(s, d), lone_refs(s, d), ["task_id"]).select(
+    *K, F.posexplode("matched").alias("path", "matched")).select(*K, F.col("path").cast("long"), F.col("matched").cast("long")),
+    MBASE + " SELECT task_id, trajectory_id, CAST(0 AS BIGINT) AS path, CAST(len(mpos) AS BIGINT) AS matched FROM s2")
+add("rank_paths_merged", lambda s, d: M.path_counts(D.hits(s, d), D.reference_rows(s, d), ["task_id"]).select(
     *K, F.posexplode("matched").alias("path", "matched")))
-add("batch_compare", lambda s, d: M.batch_compare(D.hits(s, d), D.reference_rows(s, d)))
+add("batch_compare", lambda s, d: M.batch_compare(lone_hits(s, d), lone_refs(s, d)).select(
+    *K, *[F.col(c).cast("long").alias(c) for c in ("path_id", "matched", "total")], "coverage_percent", "terminal_match", "perfect_match"),
+    MBASE + " SELECT s2.task_id, trajectory_id, CAST(0 AS BIGINT) AS path_id, CAST(sub AS BIGINT) AS matched, CAST(s2.m AS BIGINT) AS total, "
+    "round(sub * 100.0::DOUBLE / s2.m, 2) AS coverage_percent, terminal AS terminal_match, sub = s2.m AS perfect_match "
+    "FROM s3 JOIN s2 USING (trajectory_id) JOIN tm USING (trajectory_id)")
+add("batch_compare_merged", lambda s, d: M.batch_compare(D.hits(s, d), D.reference_rows(s, d)))
 add("batch_compare_summary", lambda s, d: M.batch_compare(lone_hits(s, d), lone_refs(s, d)).groupBy("task_id").agg(
     r6(F.avg("coverage_percent"), "mean_coverage"), F.min("coverage_percent").alias("min_coverage"), F.max("coverage_percent").alias("max_coverage")),
     MBASE + " SELECT task_id, round(avg(c), 6) AS mean_coverage, min(c) AS min_coverage, max(c) AS max_coverage FROM "
@@ -354,9 +366,53 @@ add("quality_tier", lambda s, d: lone_reports(s, d).select(*K, "quality_tier"),
     f""" SELECT task_id, trajectory_id, CASE WHEN verdict IN ('PASS', 'LIKELY PASS') THEN CASE WHEN recall >= 70 AND coherence >= 0.6 AND completeness >= 0.75 THEN 'ideal'
       WHEN recall >= 50 AND coherence >= 0.4 AND completeness >= 0.5 THEN 'solid' ELSE 'lucky' END WHEN recall >= 40 AND completeness >= 0.5 THEN 'partial_fail' ELSE 'off_track' END AS quality_tier
     FROM (SELECT *, {VERDICT} AS verdict FROM (SELECT * EXCLUDE (task_id) FROM {PRF}) JOIN stm USING (trajectory_id) JOIN tm USING (trajectory_id) JOIN coh USING (trajectory_id))""")
-add("quality_score", lambda s, d: D.reports(s, d).select(*K, F.col("quality_score"), r6("process_score", "process_score"), *[r6(A.combined_score(
-    F.col("coverage_percent"), F.lit(100.0), F.col("coherence_score"), F.col("temporal_profile_score"), v), f"combined_{v}") for v in ("weighted", "merged", "mean")]))
-add("strengths", lambda s, d: lone_reports(s, d).select(*K, F.array_join("strengths", "; ").alias("strengths")))
+# One row per run with everything a report needs: coherence, similarity of the stage strings by dynamic
+# programming, share of required tools, verdict, tier and scores.
+REPORT = MBASE + COHERENCE_CTE.replace("rc AS (SELECT trajectory_id", "rcn AS (SELECT trajectory_id").replace("JOIN rc USING", "JOIN rcn USING") + f""",
+  wfp AS (SELECT task_id, trajectory_id, list(upper(intent_stage[1]) ORDER BY seq) AS a FROM lab GROUP BY 1, 2),
+  wpr AS (SELECT c.trajectory_id, c.a AS a, r.a AS b FROM wfp c JOIN wfp r ON c.task_id = r.task_id AND r.trajectory_id % 10 = 0 WHERE c.trajectory_id % 10 <> 0),
+  wdp AS (SELECT trajectory_id, 0 AS i, list_transform(b, lambda x: 0) AS row FROM wpr
+    UNION ALL
+    SELECT wdp.trajectory_id, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda m:
+      greatest(row[m], CASE WHEN a[i + 1] = b[m] THEN (CASE WHEN m > 1 THEN row[m - 1] ELSE 0 END) + 1 ELSE 0 END))))
+    FROM wdp JOIN wpr USING (trajectory_id) WHERE i < len(a)),
+  sim AS (SELECT trajectory_id, CAST(row[len(b)] AS DOUBLE) / greatest(len(a), len(b)) AS similarity FROM wdp JOIN wpr USING (trajectory_id) WHERE i = len(a)),
+  need AS (SELECT DISTINCT task_id, tool_used AS t FROM lab WHERE trajectory_id % 10 = 0),
+  have AS (SELECT DISTINCT task_id, trajectory_id, tool_used AS t FROM lab),
+  tools AS (SELECT r.trajectory_id, CAST(count(have.t) AS DOUBLE) / count(*) AS process FROM (SELECT DISTINCT task_id, trajectory_id FROM lab WHERE trajectory_id % 10 <> 0) r
+    JOIN need USING (task_id) LEFT JOIN have ON have.trajectory_id = r.trajectory_id AND have.t = need.t GROUP BY 1),
+  cov AS (SELECT trajectory_id, max(CASE WHEN x = 'E' THEN got * 100.0::DOUBLE / tot END) AS cov_e, max(CASE WHEN x = 'O' THEN got * 100.0::DOUBLE / tot END) AS cov_o FROM stg GROUP BY 1),
+  rp0 AS (SELECT *, CASE WHEN prec + recall > 0 THEN 2 * prec * recall / (prec + recall) ELSE 0 END AS f1, trajectory_id % 10 < 6 AS passed, {VERDICT} AS verdict,
+      list_filter(range(0, m), lambda p: NOT list_contains(mpos, p))[1] / CAST(m AS DOUBLE) AS dv
+    FROM {PRF} JOIN stm USING (trajectory_id) JOIN tm USING (trajectory_id) JOIN (SELECT trajectory_id, CAST(coherence AS DOUBLE) AS coherence FROM coh) USING (trajectory_id)
+    JOIN sim USING (trajectory_id) JOIN tools USING (trajectory_id) JOIN cov USING (trajectory_id)),
+  rp1 AS (SELECT *, 0.25::DOUBLE * recall + 0.25::DOUBLE * (coherence * 100) + 0.18::DOUBLE * (completeness * 100) + 0.12::DOUBLE * (similarity * 100) + 0.10::DOUBLE * f1 AS raw,
+      verdict IN ('PASS', 'LIKELY PASS') AS passing FROM rp0),
+  rep AS (SELECT *, CAST(greatest(0, least(100, round_even(raw + 0.10::DOUBLE * CASE WHEN passed THEN 100 ELSE 0 END, 0))) AS INTEGER) AS score,
+      CASE WHEN passing THEN CASE WHEN recall >= 70 AND coherence >= 0.6 AND completeness >= 0.75 THEN 'ideal' WHEN recall >= 50 AND coherence >= 0.4 AND completeness >= 0.5 THEN 'solid'
+        ELSE 'lucky' END WHEN recall >= 40 AND completeness >= 0.5 THEN 'partial_fail' ELSE 'off_track' END AS tier,
+      CASE WHEN passing THEN NULL WHEN dv < 0.4 THEN 'early_divergence' WHEN cov_v < 25 THEN 'missing_verification' WHEN cov_i < 50 THEN 'incomplete_implementation'
+        WHEN coherence < 0.35 THEN 'trajectory_thrashing' WHEN recall < 30 THEN 'low_coverage' END AS reason FROM rp1)"""
+
+
+def lone_scores(s, d):
+    cov = M.process_coverage(lone_cand(s, d), G.required_tools(lone_facts(s, d))).select(*K, (F.col("process_coverage") * 100).alias("process"))
+    j = lone_reports(s, d).join(cov, K)
+    return j.select(*K, "quality_score", r6("process_score", "process_score"), *[r6(A.combined_score(
+        F.col("coverage_percent"), F.col("process"), variant=v), f"combined_{v}") for v in ("merged", "mean")])
+
+
+add("quality_score", lone_scores, REPORT + """ SELECT task_id, trajectory_id, score AS quality_score, round(raw / 0.90::DOUBLE, 6) AS process_score,
+    round(0.7::DOUBLE * recall + 0.3::DOUBLE * (process * 100), 6) AS combined_merged, round((recall + process * 100) / 2, 6) AS combined_mean FROM rep""")
+add("quality_score_merged", lambda s, d: D.reports(s, d).join(M.process_coverage(D.candidates(s, d), G.required_tools(D.path_facts(s, d))).select(
+    *K, (F.col("process_coverage") * 100).alias("process")), K).select(*K, F.col("quality_score"), r6("process_score", "process_score"), *[r6(A.combined_score(
+    F.col("coverage_percent"), F.col("process"), F.col("coherence_score"), F.col("temporal_profile_score"), v), f"combined_{v}") for v in ("weighted", "merged", "mean")]))
+add("strengths", lambda s, d: lone_reports(s, d).select(*K, F.array_join("strengths", "; ").alias("strengths")),
+    REPORT + " SELECT task_id, trajectory_id, array_to_string(list_filter([" + ", ".join(
+        f"CASE WHEN {c} >= 80 THEN 'Strong {n} phase (' || CAST(round_even({c}, 0) AS INTEGER) || '% covered)' END" for c, n in (
+            ("cov_e", "exploration"), ("cov_i", "implementation"), ("cov_v", "verification"), ("cov_o", "orchestration"))) +
+    ", CASE WHEN coherence >= 0.7 THEN 'Clean forward progression (high coherence)' END, CASE WHEN terminal THEN 'Reached correct terminal state' END], "
+    "lambda x: x IS NOT NULL), '; ') AS strengths FROM rep")
 add("divergence_point", lambda s, d: A.divergence_point(lone_reports(s, d), M.closed_positions(lone_path_states(s, d)), lone_cand(s, d)),
     MBASE + """ SELECT task_id, trajectory_id, CAST(dv + 1 AS INTEGER) AS step, r.tool_used || CASE WHEN r.file_path <> '' THEN ' on ' || r.file_path ELSE '' END AS expected,
       coalesce(c.tool_used || CASE WHEN c.file_path <> '' THEN ' on ' || c.file_path ELSE '' END, '(no matching candidate step)') AS actual
@@ -396,10 +452,16 @@ def _signals(s, d):
 add("quality_signals", _signals)
 add("quality_report", lambda s, d: D.reports(s, d).select(*K, "verdict", "quality_tier", "quality_score", "revised_tier",
     F.to_json("failure_reasons").alias("failure_reasons"), F.to_json("strengths").alias("strengths"), "stage_order_match"))
-add("rank_in_cohort", lambda s, d: A.rank_in_cohort(D.reports(s, d)))
-add("cohort_summary", lambda s, d: A.cohort_summary(D.reports(s, d)))
-add("failure_reason_counts", lambda s, d: A.reason_counts(lone_reports(s, d)))
-add("assess_batch", lambda s, d: A.rank_in_cohort(D.reports(s, d)).join(D.reports(s, d).select(*K, "verdict", "coverage_percent"), K))
+RANK_SQL = """ SELECT task_id, trajectory_id, score AS quality_score, tier AS quality_tier, passing, coalesce(reason, '') AS top_reason,
+    row_number() OVER (PARTITION BY task_id, passing ORDER BY score DESC, trajectory_id) AS rank"""
+add("rank_in_cohort", lambda s, d: A.rank_in_cohort(lone_reports(s, d)), REPORT + RANK_SQL + " FROM rep")
+add("rank_in_cohort_merged", lambda s, d: A.rank_in_cohort(D.reports(s, d)))
+add("cohort_summary", lambda s, d: A.cohort_summary(lone_reports(s, d)), REPORT + " SELECT task_id, count(*) AS total, count_if(passing) AS passing_count, "
+    "count_if(NOT passing) AS failing_count, " + ", ".join(f"count_if(tier = '{t}') AS {t}_count" for t in ("ideal", "solid", "lucky", "partial_fail", "off_track")) + " FROM rep GROUP BY 1")
+add("failure_reason_counts", lambda s, d: A.reason_counts(lone_reports(s, d)), REPORT + " SELECT task_id, reason, count(*) AS n FROM rep WHERE reason IS NOT NULL GROUP BY 1, 2")
+add("assess_batch", lambda s, d: A.rank_in_cohort(lone_reports(s, d)).join(lone_reports(s, d).select(*K, "verdict", r6("coverage_percent", "coverage_percent")), K),
+    REPORT + RANK_SQL + ", verdict, round(recall, 6) AS coverage_percent FROM rep")
+add("assess_batch_merged", lambda s, d: A.rank_in_cohort(D.reports(s, d)).join(D.reports(s, d).select(*K, "verdict", "coverage_percent"), K))
 
 # --- waste --------------------------------------------------------------------------------
 WASTE = MATCH + f""", cl AS (SELECT lab.*, s12.al, m, n, lag(intent_stage) OVER w AS pst FROM lab JOIN s12 USING (trajectory_id) JOIN rc USING (trajectory_id)
