@@ -263,7 +263,7 @@ add("process_coverage", lambda s, d: M.process_coverage(lone_cand(s, d), G.requi
     *K, r6("process_coverage", "process_coverage"), F.col("missing_tools").alias("missing")), _cover_sql("tool_used", "TRUE", "process_coverage"))
 add("file_coverage", lambda s, d: M.file_coverage(lone_cand(s, d), M.required_files(lone_ref(s, d))).select(
     *K, r6("file_coverage", "file_coverage"), F.col("missing_files").alias("missing")), _cover_sql("file_path", "category = 'edit'", "file_coverage"))
-add("match_run", lambda s, d: D.metrics(s, d).drop("best", "m", "missing_steps"))
+add("match_run_merged", lambda s, d: D.metrics(s, d).drop("best", "m", "missing_steps"))
 add("match_run_canonical", lambda s, d: M.match_metrics(M.best_match(lone_hits(s, d), lone_refs(s, d), strategy="canonical"), M.run_features(lone_cand(s, d))).select(
     *K, F.col("best_path").cast("long"), r6("coverage_percent", "coverage_percent"), r6("weighted_score", "weighted_score"), "terminal_match"),
     MBASE + f" SELECT task_id, trajectory_id, CAST(0 AS BIGINT) AS best_path, round(recall, 6) AS coverage_percent, round(weighted, 6) AS weighted_score, terminal AS terminal_match "
@@ -302,12 +302,23 @@ def individual_match(s, d):
 add("individual_match", lambda s, d: individual_match(s, d).groupBy(*K).agg(
     F.count(F.lit(1)).alias("donors"), *[r6(F.avg(c), c) for c in ("coverage_percent", "weighted_score", "f1_score")],
     r6(F.avg(F.col("terminal_match").cast("double")), "terminal_ratio")))
-add("comparison_lanes", lambda s, d: M.alignment(D.metrics(s, d)).join(
+add("comparison_lanes", lambda s, d: M.alignment(lone_metrics(s, d)).join(lone_path_states(s, d).select(
+    "task_id", F.col("pos").alias("ref_pos"), F.col("tool_used").alias("ref_tool")), ["task_id", "ref_pos"], "left").join(
+    lone_cand(s, d).select(*K, F.col("seq").cast("int").alias("seq"), F.col("tool_used").alias("cand_tool")), [*K, "seq"]).select(
+    *K, F.col("seq").cast("long"), "matched", F.col("ref_pos").cast("long"), "ref_tool", "cand_tool"),
+    MBASE + """ , aa AS (SELECT s12.trajectory_id, al[i] AS seq, mpos[i] AS ref_pos FROM (SELECT *, unnest(range(1, len(al) + 1)) AS i FROM s12 JOIN s2 USING (trajectory_id)) s12)
+      SELECT c.task_id, c.trajectory_id, CAST(c.seq AS BIGINT) AS seq, ref_pos IS NOT NULL AS matched, CAST(ref_pos AS BIGINT) AS ref_pos, r.tool_used AS ref_tool, c.tool_used AS cand_tool
+      FROM lab c LEFT JOIN aa ON aa.trajectory_id = c.trajectory_id AND aa.seq = c.seq
+      LEFT JOIN (SELECT task_id, seq, tool_used FROM lab WHERE trajectory_id % 10 = 0) r ON r.task_id = c.task_id AND r.seq = ref_pos WHERE c.trajectory_id % 10 <> 0""")
+add("consensus_overlay", lambda s, d: lone_metrics(s, d).select(*K, F.explode("m.set_pos").alias("pos")).join(
+    lone_path_states(s, d).select("task_id", "pos"), ["task_id", "pos"]).groupBy("task_id", F.col("pos").cast("long").alias("pos")).agg(F.countDistinct("trajectory_id").alias("matched_by")),
+    MBASE + " SELECT task_id, CAST(p AS BIGINT) AS pos, count(DISTINCT trajectory_id) AS matched_by FROM (SELECT task_id, trajectory_id, unnest(mpos) AS p FROM s2) GROUP BY 1, 2")
+add("comparison_lanes_merged", lambda s, d: M.alignment(D.metrics(s, d)).join(
     D.metrics(s, d).select(*K, F.col("best_path").alias("path_id")), K).join(
     D.matched_path_states(s, d).select("task_id", "path_id", F.col("pos").alias("ref_pos"), "merged_id", F.col("tool_used").alias("ref_tool")),
     ["task_id", "path_id", "ref_pos"], "left").join(
     D.candidates(s, d).select(*K, F.col("seq").cast("int").alias("seq"), F.col("tool_used").alias("cand_tool")), [*K, "seq"]))
-add("consensus_overlay", lambda s, d: D.metrics(s, d).select(*K, F.col("best_path").alias("path_id"), F.explode("m.set_pos").alias("pos")).join(
+add("consensus_overlay_merged", lambda s, d: D.metrics(s, d).select(*K, F.col("best_path").alias("path_id"), F.explode("m.set_pos").alias("pos")).join(
     D.matched_path_states(s, d).select("task_id", "path_id", "pos", "merged_id"), ["task_id", "path_id", "pos"]).groupBy("task_id", "merged_id").agg(F.countDistinct("trajectory_id").alias("matched_by")))
 
 # --- reference graphs -------------------------------------------------------------------
@@ -328,17 +339,49 @@ add("clean_edges", lambda s, d: D.ref_edges(s, d))
 add("branch_points", lambda s, d: G.remap_ids(G.remap_ids(G.branch_points(D.mapping(s, d)), D.remap(s, d), "branch"), D.remap(s, d), "alternative"))
 add("real_terminals", lambda s, d: G.remap_ids(G.run_terminals(D.mapping(s, d)), D.remap(s, d)))
 add("relabel", lambda s, d: D.ref_states(s, d).groupBy("task_id", "intent_stage").agg(F.count(F.lit(1)).alias("states")))
-add("terminal_states", lambda s, d: G.terminal_states(D.ref_states(s, d), D.ref_edges(s, d)))
-add("graph_stats", lambda s, d: G.graph_stats(D.ref_states(s, d), D.ref_edges(s, d)))
+
+
+# A graph with known answers: the reference run as a chain, with an edge over the next state at every fifth one.
+# All of these edges are apart, so a task with k of them has 2^k paths, and only the k states they pass by are optional.
+def dag_states(s, d):
+    return lone_ref(s, d).withColumn("merged_id", F.col("seq").cast("int")).withColumn("step", F.col("seq").cast("int"))
+
+
+def dag_edges(s, d):
+    n = lone_ref(s, d).select("task_id", F.col("seq").cast("int").alias("src"), F.col("n_steps").cast("int").alias("_n"))
+    one = n.where("src + 1 < _n").select("task_id", "src", (F.col("src") + 1).alias("dst"), (F.col("src") * 2).alias("edge_no"))
+    two = n.where("src % 5 = 0 AND src + 2 < _n").select("task_id", "src", (F.col("src") + 2).alias("dst"), (F.col("src") * 2 + 1).alias("edge_no"))
+    return one.unionByName(two)
+
+
+def dag_facts(s, d):
+    return staged(s, "dag_facts", d, lambda: G.path_facts(dag_states(s, d), dag_edges(s, d)))
+
+
+DAG = BASE + """, ch0 AS (SELECT task_id, seq, tool_used, intent_stage, n_steps AS m, seq % 5 = 1 AND seq + 1 < n_steps AS opt FROM lab WHERE trajectory_id % 10 = 0),
+  kk AS (SELECT task_id, count_if(opt) AS k, max(m) AS m FROM ch0 GROUP BY 1)"""
+add("path_totals", lambda s, d: dag_facts(s, d).where("fact = 'total'").select("task_id", F.col("n").cast("long").alias("n")),
+    DAG + " SELECT task_id, CAST(2 ** k AS BIGINT) AS n FROM kk")
+add("essential_states", lambda s, d: G.essential_states(dag_facts(s, d)), DAG + " SELECT task_id, CAST(seq AS INTEGER) AS merged_id FROM ch0 WHERE NOT opt")
+add("required_tools_graph", lambda s, d: G.required_tools(dag_facts(s, d)),
+    DAG + " SELECT task_id, tool_used AS tool FROM ch0 GROUP BY 1, 2 HAVING bool_or(NOT opt) OR count_if(opt) >= 2")
+for _name, _keep in (("canonical_path", "TRUE"), ("longest_path", "TRUE"), ("shortest_path", "NOT opt")):
+    add(_name, lambda s, d, f=_name.split("_")[0]: G.named_path(dag_facts(s, d), f).select("task_id", F.col("pos").cast("long"), F.col("merged_id").cast("long")),
+        DAG + f" SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY seq) - 1 AS pos, CAST(seq AS BIGINT) AS merged_id FROM ch0 WHERE {_keep}")
+add("terminal_states", lambda s, d: G.terminal_states(dag_states(s, d), dag_edges(s, d)).select("task_id", F.col("merged_id").cast("long")),
+    DAG + " SELECT task_id, CAST(m - 1 AS BIGINT) AS merged_id FROM kk")
+add("graph_stats", lambda s, d: G.graph_stats(dag_states(s, d), dag_edges(s, d)).select(
+    "task_id", "states", "edges", "terminals", "branching", "merging"),
+    DAG + " SELECT task_id, CAST(m AS BIGINT) AS states, CAST(m - 1 + k AS BIGINT) AS edges, CAST(1 AS BIGINT) AS terminals, k AS branching, k AS merging FROM kk")
+add("bfs_layers", lambda s, d: G.bfs_layers(dag_states(s, d), dag_edges(s, d)).select("task_id", F.col("merged_id").cast("long"), F.col("layer").cast("long")),
+    DAG + " SELECT task_id, CAST(seq AS BIGINT) AS merged_id, CAST(count_if(NOT opt) OVER (PARTITION BY task_id ORDER BY seq) - 1 + CAST(opt AS INTEGER) AS BIGINT) AS layer FROM ch0")
+add("terminal_states_merged", lambda s, d: G.terminal_states(D.ref_states(s, d), D.ref_edges(s, d)))
+add("graph_stats_merged", lambda s, d: G.graph_stats(D.ref_states(s, d), D.ref_edges(s, d)))
 add("action_mix", lambda s, d: G.action_mix(D.ref_edges(s, d)))
-add("bfs_layers", lambda s, d: G.bfs_layers(D.ref_states(s, d), D.ref_edges(s, d)))
+add("bfs_layers_merged", lambda s, d: G.bfs_layers(D.ref_states(s, d), D.ref_edges(s, d)))
 add("enumerate_paths", lambda s, d: D.ref_paths(s, d))
 add("path_summary", lambda s, d: G.path_summary(D.path_states(s, d)))
-add("canonical_path", lambda s, d: G.named_path(D.path_facts(s, d), "canonical"))
-add("longest_path", lambda s, d: G.named_path(D.path_facts(s, d), "longest"))
-add("essential_states", lambda s, d: G.essential_states(D.path_facts(s, d)))
-add("shortest_path", lambda s, d: G.named_path(D.path_facts(s, d), "shortest"))
-add("path_totals", lambda s, d: D.path_facts(s, d).where("fact = 'total'").select("task_id", "n"))
+add("path_facts_merged", lambda s, d: D.path_facts(s, d))
 
 # --- reports ----------------------------------------------------------------------------
 VERDICT = """CASE WHEN bottleneck = 0 AND completeness < 1 THEN CASE WHEN weighted >= 60 THEN CASE WHEN terminal THEN 'LIKELY PASS' ELSE 'UNCERTAIN' END
@@ -407,6 +450,12 @@ add("quality_score", lone_scores, REPORT + """ SELECT task_id, trajectory_id, sc
 add("quality_score_merged", lambda s, d: D.reports(s, d).join(M.process_coverage(D.candidates(s, d), G.required_tools(D.path_facts(s, d))).select(
     *K, (F.col("process_coverage") * 100).alias("process")), K).select(*K, F.col("quality_score"), r6("process_score", "process_score"), *[r6(A.combined_score(
     F.col("coverage_percent"), F.col("process"), F.col("coherence_score"), F.col("temporal_profile_score"), v), f"combined_{v}") for v in ("weighted", "merged", "mean")]))
+_METRICS = {"coverage_percent": "recall", "precision_percent": "prec", "f1_score": "f1", "weighted_score": "weighted", "stage_completeness": "completeness",
+            "bottleneck_coverage": "bottleneck", "coherence_score": "coherence", "workflow_similarity": "similarity"}
+add("match_run", lambda s, d: lone_metrics(s, d).select(*K, F.col("n_cand").cast("long").alias("n_cand"), F.col("matched_count").cast("long").alias("matched_count"),
+    F.col("total_ref_states").cast("long").alias("total_ref_states"), *[r6(c, c) for c in _METRICS], "terminal_match", "perfect_match"),
+    REPORT + " SELECT task_id, trajectory_id, CAST(n AS BIGINT) AS n_cand, CAST(len(mpos) AS BIGINT) AS matched_count, CAST(m AS BIGINT) AS total_ref_states, " +
+    ", ".join(f"round({e}, 6) AS {c}" for c, e in _METRICS.items()) + ", terminal AS terminal_match, len(mpos) = m AS perfect_match FROM rep")
 add("strengths", lambda s, d: lone_reports(s, d).select(*K, F.array_join("strengths", "; ").alias("strengths")),
     REPORT + " SELECT task_id, trajectory_id, array_to_string(list_filter([" + ", ".join(
         f"CASE WHEN {c} >= 80 THEN 'Strong {n} phase (' || CAST(round_even({c}, 0) AS INTEGER) || '% covered)' END" for c, n in (
@@ -450,7 +499,10 @@ def _signals(s, d):
 
 
 add("quality_signals", _signals)
-add("quality_report", lambda s, d: D.reports(s, d).select(*K, "verdict", "quality_tier", "quality_score", "revised_tier",
+add("quality_report", lambda s, d: lone_reports(s, d).select(*K, "verdict", "quality_tier", "quality_score", "revised_tier"),
+    REPORT + """ SELECT task_id, trajectory_id, verdict, tier AS quality_tier, score AS quality_score, CASE WHEN passed THEN CASE WHEN score >= 70 THEN 'ideal'
+      WHEN score < 47 THEN 'lucky' ELSE 'solid' END WHEN score >= 40 THEN 'partial_fail' ELSE 'off_track' END AS revised_tier FROM rep""")
+add("quality_report_merged", lambda s, d: D.reports(s, d).select(*K, "verdict", "quality_tier", "quality_score", "revised_tier",
     F.to_json("failure_reasons").alias("failure_reasons"), F.to_json("strengths").alias("strengths"), "stage_order_match"))
 RANK_SQL = """ SELECT task_id, trajectory_id, score AS quality_score, tier AS quality_tier, passing, coalesce(reason, '') AS top_reason,
     row_number() OVER (PARTITION BY task_id, passing ORDER BY score DESC, trajectory_id) AS rank"""
