@@ -75,12 +75,21 @@ add("embedding_vs_graph", lambda s, d: E.discrimination(E.unpivot_scores(
 
 
 # --- streaming -----------------------------------------------------------------------------
+# These runs end with their input. A time-out by processing time never lets such a run end, so none is set.
 def _stream_of(s, d, name, build):
     table = staged(s, name, d, build)
     path = store._STAGED[(s.sparkContext.applicationId, name, d)]
     return s.readStream.schema(table.schema).parquet(path)
 
 
+def _buffers(s, d, name, build, size=20):
+    """A stream of the table in buffers of ``size`` steps of every run, one file and micro-batch each."""
+    table, path = staged(s, name, d, build), _folder(s, f"{name}-buffers")
+    for b in range((table.agg(F.max("seq")).first()[0] or 0) // size + 1):
+        table.where(F.floor(F.col("seq") / size) == b).coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _folder(s, name):
     return f"{store.shared_root(s)}/{name}-{uuid.uuid4().hex[:8]}"
 
@@ -96,12 +105,13 @@ def match_input(s, d):
         *K, "seq", places.alias("places"), F.transform("paths", lambda p: F.size(p)).alias("lengths"))
 
 
-add("incremental_match", lambda s, d: L.drain(L.incremental_match(_stream_of(s, d, "match_input", lambda: match_input(s, d))), _folder(s, "incremental")).select(
+add("incremental_match", lambda s, d: L.drain(L.incremental_match(_stream_of(s, d, "match_input", lambda: match_input(s, d)), None), _folder(s, "incremental")).select(
     *K, F.col("matched").cast("long").alias("matched"), F.col("new_offset").cast("long").alias("new_offset"), "overall_coverage_percent"),
     CM.MBASE + " SELECT task_id, trajectory_id, sub AS matched, sub AS new_offset, round(sub * 100.0::DOUBLE / m, 2) AS overall_coverage_percent FROM s3 JOIN rc USING (trajectory_id)")
-add("live_profile", lambda s, d: L.drain(L.live_profile(_stream_of(s, d, "profile_input", lambda: staged_steps(s, d).select(
-    *K, "seq", "tool_used", "file_path", "intent_stage"))), _folder(s, "live")).select(
-    *K, "steps", "pivot", "backtrack", "confirm", "blind_retries", F.round("coherence", 6).alias("coherence")),
+add("live_profile", lambda s, d: L.drain(L.live_profile(_buffers(s, d, "profile_input", lambda: staged_steps(s, d).select(
+    *K, "seq", "tool_used", "file_path", "intent_stage")), None), _folder(s, "live")).groupBy(*K).agg(F.max_by(F.struct(
+    "steps", "pivot", "backtrack", "confirm", "blind_retries", "coherence"), "steps").alias("r")).select(
+    *K, "r.steps", "r.pivot", "r.backtrack", "r.confirm", "r.blind_retries", F.round("r.coherence", 6).alias("coherence")),
     with_coherence("SELECT task_id, trajectory_id, transitions + 1 AS steps, \"pivot\", backtrack, confirm, blind_retries, round(CAST(coherence AS DOUBLE), 6) AS coherence FROM coh"))
 
 
