@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from runloom.operators import assess as A
 from runloom.operators import evaluate as E
+from runloom.operators import matching as M
+from runloom.operators import refgraph as G
 from runloom.operators import features as X
 from runloom.plans import dataset as D
 from runloom.plans.adapter import staged_steps
@@ -101,10 +103,25 @@ add("macro_micro", lambda s, d: rounded(E.macro_micro(long_scores(s, d)).select(
       g1 AS (SELECT a.score_type, sum(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*) AS mi
              FROM ls a JOIN ls b ON a.score_type = b.score_type AND a.passed AND NOT b.passed GROUP BY 1)
       SELECT score_type, n_tasks, round(ma, 6) AS macro_auroc, round(mi, 6) AS micro_auroc FROM tk JOIN g1 USING (score_type)""")
-add("score_ablation", lambda s, d: rounded(E.discrimination(E.unpivot_scores(
-    D.metrics(s, d).join(D.runs(s, d).select(*K, "passed"), K), ("coverage_percent", "weighted_score", "stage_completeness", "workflow_similarity",
-    "coherence_score", "temporal_profile_score", "bottleneck_coverage", "f1_score", "precision_percent"), [*K, "passed"],
-    unit_scale=("stage_completeness", "workflow_similarity", "coherence_score", "temporal_profile_score")), ["score_type"])))
+# The nine published score types, their column, and whether it is on a scale to 1.
+SCORE_TYPES = {
+    "structural": ("coverage_percent", False), "process": ("process_coverage", True), "weighted": ("weighted_score", False),
+    "stage_completeness": ("stage_completeness", True), "workflow_similarity": ("workflow_similarity", True),
+    "coherence": ("coherence_score", True), "temporal_profile": ("temporal_profile_score", True),
+    "bottleneck": ("bottleneck_coverage", False), "combined": ("combined_score", False),
+}
+
+
+def score_types(s, d):
+    tools = M.process_coverage(D.candidates(s, d), G.required_tools(D.path_facts(s, d))).select(*K, "process_coverage")
+    m = D.metrics(s, d).join(tools, K).join(D.runs(s, d).select(*K, "passed"), K)
+    m = m.withColumn("combined_score", A.combined_score(F.col("coverage_percent"), F.col("process_coverage") * 100, F.col("coherence_score"),
+                                                        F.col("temporal_profile_score")))
+    named = m.select(*K, "passed", *[(F.col(c) * (100.0 if unit else 1.0)).alias(name) for name, (c, unit) in SCORE_TYPES.items()])
+    return E.unpivot_scores(named, list(SCORE_TYPES), [*K, "passed"])
+
+
+add("score_ablation", lambda s, d: rounded(E.discrimination(score_types(s, d), ["score_type"])))
 add("score_histogram", lambda s, d: E.score_histogram(long_scores(s, d)),
     sql("SELECT score_type, passed, CAST(floor(score / 5) * 5 AS BIGINT) AS bin, count(*) AS n FROM ls GROUP BY 1, 2, 3"))
 _TIER = "CASE WHEN NOT passed THEN CASE WHEN quality_score >= 40 THEN 'partial_fail' ELSE 'off_track' END WHEN quality_score >= 70 THEN 'ideal' WHEN quality_score < 47 THEN 'lucky' ELSE 'solid' END"
