@@ -70,15 +70,19 @@ class Node:
         self.dropped, self.landmark, self.mark = False, False, 0
 
 
+def _in_landmark(node: Node) -> bool:
+    up = node.parent
+    while up is not None and not up.landmark:
+        up = up.parent
+    return up is not None
+
+
 def _label(node: Node, raw: str) -> None:
     """Reads what matters of the attributes: landmark or named as boilerplate, and the name to align by."""
     node.dropped = node.tag in NOT_TEXT
     node.landmark = node.tag in ("article", "main")
     if node.tag == "header":
-        up = node.parent
-        while up is not None and not up.landmark:
-            up = up.parent
-        node.dropped = up is None
+        node.dropped = not _in_landmark(node)
     if not raw or "=" not in raw and "hidden" not in raw:
         return
     names: set[str] = set()
@@ -95,6 +99,8 @@ def _label(node: Node, raw: str) -> None:
             node.landmark |= value == "articlebody"
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             node.dropped = True
+    if "header" in names and not node.landmark and not _in_landmark(node):
+        node.dropped = True  # of the page; an article's own header holds its heading
     if names & NOT_TEXT_NAMES and node.tag not in ("html", "body", "article", "main"):
         node.dropped = True
 
