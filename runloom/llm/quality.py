@@ -123,7 +123,9 @@ class Logistic:
         if not 0 < target.sum() < n:  # one class only: its smoothed rate
             self.form[-1] = np.log((target.sum() + 1) / (n - target.sum() + 1)) if n else -20.0
             return self
-        used, columns = np.unique(columns, return_inverse=True)
+        there = np.bincount(columns, minlength=1 << BITS) > 0
+        used = np.flatnonzero(there)
+        columns = (np.cumsum(there, dtype=np.int32) - 1)[columns]
         x = standard(shapes)
         w, f = np.zeros(len(used)), np.zeros(x.shape[1])
         f[-1] = np.log(target.mean() / (1 - target.mean()))
@@ -157,16 +159,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = written(joined.select("text", F.col("low").cast("int"), F.col("toxic").cast("int")), "labelled")
     counts = np.zeros((3, 1 << BITS), np.int64)
     sums = rows.mapInArrow(_frequencies, "feature long, all long, low long, toxic long").groupBy("feature").agg(
-        *[F.sum(c).alias(c) for c in ("all", "low", "toxic")]).toPandas()  # 2**BITS rows at most
-    counts[:, sums["feature"]] = sums[["all", "low", "toxic"]].to_numpy().T
+        *[F.sum(c).cast("int").alias(c) for c in ("all", "low", "toxic")]).where(F.col("all") >= LEAST_DOCUMENTS).toArrow()  # 2**BITS rows at most
+    for k, c in enumerate(("all", "low", "toxic")):
+        counts[k, sums["feature"].to_numpy()] = sums[c].to_numpy()
+    del sums
     n, n_low, n_toxic = rows.agg(F.count(F.lit(1)), F.sum("low"), F.sum("toxic")).first()
     picked = [telling_features(counts[0], counts[k], n, m or 0) for k, m in ((1, n_low), (2, n_toxic))]
-    known_rows = rows.mapInArrow(_feature_rows(picked[0] | picked[1]), "features binary, shape binary, low int, toxic int").toPandas()
-    found = [np.frombuffer(x, np.int32) for x in known_rows["features"]]
+    known_rows = rows.mapInArrow(_feature_rows(picked[0] | picked[1]), "features binary, shape binary, low int, toxic int").toArrow()
+    found = [np.frombuffer(x, np.int32) for x in known_rows["features"].to_pylist()]
     columns = np.concatenate(found) if found else np.empty(0, np.int32)
     at = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
-    shapes = np.frombuffer(b"".join(known_rows["shape"]), np.float32).reshape(-1, SHAPES)
-    return [Logistic().fit(columns[p[columns]], at[p[columns]], shapes, known_rows[c].to_numpy(float))
+    del found
+    shapes = np.frombuffer(b"".join(known_rows["shape"].to_pylist()), np.float32).reshape(-1, SHAPES)
+    return [Logistic().fit(columns[p[columns]], at[p[columns]], shapes, known_rows[c].to_numpy().astype(float))
             for c, p in zip(("low", "toxic"), picked, strict=True)]
 
 
@@ -223,7 +228,8 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     host_k = _strength(hosts, "hn", "hs", F.lit(mean))
     shrunk = hosts.withColumn("hr", (F.col("hs") + host_k * mean) / (F.col("hn") + host_k))
     path_k = _strength(paths.join(shrunk, "host"), "pn", "ps", F.col("hr"))
-    sites = paths.join(hosts, "host")
+    # Written, so that the join below has two plain sides, and a hot site can be split or its row broadcast.
+    sites = written(paths.join(hosts, "host"), "sites")
     joined = scored.join(sites, ["host", "path"])
     p = F.col("p_bad")
     host_rate = (F.col("hs") - p + host_k * mean) / (F.col("hn") - 1 + host_k)
