@@ -1,6 +1,6 @@
 """Tool registry: one row of metadata per tool name, plus prefix rules.
 
-The table is fixed size (well under 200 rows), so it is always safe to
+The table is fixed size (about 200 rows), so it is always safe to
 broadcast. Callers extend it with ``extra`` rows.
 """
 
@@ -141,21 +141,79 @@ Skill general orchestration - other none
 Agent general orchestration - other none
 request general orchestration - other none
 think general orchestration - other none
-"""
-
-# Service families named "<prefix><service>". The first line of
-# a family gives the attributes every listed service shares.
-_FAMILIES = """
-github-mcp-server- read exploration github_mcp read identity : actions_get get_commit issue_read pull_request_read get_copilot_space
-github-mcp-server- read exploration github_mcp read file_path : get_file_contents
-github-mcp-server- read verification github_mcp read identity : get_job_logs
-github-mcp-server- search exploration github_mcp search query : actions_list list_branches list_commits list_issues search_issues list_pull_requests search_pull_requests search_code search_repositories search_users
-github-mcp-server- search exploration github_mcp search identity : list_copilot_spaces
-azure- search exploration azure_mcp search query : documentation
-azure- read exploration azure_mcp read identity : get_azure_bestpractices azureterraformbestpractices bicepschema pricing marketplace workbooks quota advisor
-azure- execute implementation azure_mcp terminal identity : deploy azd extension_cli_generate
-azure- validation verification azure_mcp other identity : monitor applicationinsights applens resourcehealth grafana datadog loadtesting extension_azqr
-azure- general orchestration azure_mcp other identity : cloudarchitect azuremigrate compute aks acr servicefabric virtualdesktop functionapp appservice cosmos sql mysql postgres redis kusto confidentialledger storage fileshares storagesync managedlustre eventgrid eventhubs servicebus signalr communication keyvault policy role search speech foundry appconfig group_list subscription_list extension_cli_install
+github-mcp-server-actions_get read exploration github_mcp read identity
+github-mcp-server-get_commit read exploration github_mcp read identity
+github-mcp-server-issue_read read exploration github_mcp read identity
+github-mcp-server-pull_request_read read exploration github_mcp read identity
+github-mcp-server-get_copilot_space read exploration github_mcp read identity
+github-mcp-server-get_file_contents read exploration github_mcp read file_path
+github-mcp-server-get_job_logs read verification github_mcp read identity
+github-mcp-server-actions_list search exploration github_mcp search query
+github-mcp-server-list_branches search exploration github_mcp search query
+github-mcp-server-list_commits search exploration github_mcp search query
+github-mcp-server-list_issues search exploration github_mcp search query
+github-mcp-server-search_issues search exploration github_mcp search query
+github-mcp-server-list_pull_requests search exploration github_mcp search query
+github-mcp-server-search_pull_requests search exploration github_mcp search query
+github-mcp-server-search_code search exploration github_mcp search query
+github-mcp-server-search_repositories search exploration github_mcp search query
+github-mcp-server-search_users search exploration github_mcp search query
+github-mcp-server-list_copilot_spaces search exploration github_mcp search identity
+azure-documentation search exploration azure_mcp search query
+azure-get_azure_bestpractices read exploration azure_mcp read identity
+azure-azureterraformbestpractices read exploration azure_mcp read identity
+azure-bicepschema read exploration azure_mcp read identity
+azure-pricing read exploration azure_mcp read identity
+azure-marketplace read exploration azure_mcp read identity
+azure-workbooks read exploration azure_mcp read identity
+azure-quota read exploration azure_mcp read identity
+azure-advisor read exploration azure_mcp read identity
+azure-deploy execute implementation azure_mcp terminal identity
+azure-azd execute implementation azure_mcp terminal identity
+azure-extension_cli_generate execute implementation azure_mcp terminal identity
+azure-monitor validation verification azure_mcp other identity
+azure-applicationinsights validation verification azure_mcp other identity
+azure-applens validation verification azure_mcp other identity
+azure-resourcehealth validation verification azure_mcp other identity
+azure-grafana validation verification azure_mcp other identity
+azure-datadog validation verification azure_mcp other identity
+azure-loadtesting validation verification azure_mcp other identity
+azure-extension_azqr validation verification azure_mcp other identity
+azure-cloudarchitect general orchestration azure_mcp other identity
+azure-azuremigrate general orchestration azure_mcp other identity
+azure-compute general orchestration azure_mcp other identity
+azure-aks general orchestration azure_mcp other identity
+azure-acr general orchestration azure_mcp other identity
+azure-servicefabric general orchestration azure_mcp other identity
+azure-virtualdesktop general orchestration azure_mcp other identity
+azure-functionapp general orchestration azure_mcp other identity
+azure-appservice general orchestration azure_mcp other identity
+azure-cosmos general orchestration azure_mcp other identity
+azure-sql general orchestration azure_mcp other identity
+azure-mysql general orchestration azure_mcp other identity
+azure-postgres general orchestration azure_mcp other identity
+azure-redis general orchestration azure_mcp other identity
+azure-kusto general orchestration azure_mcp other identity
+azure-confidentialledger general orchestration azure_mcp other identity
+azure-storage general orchestration azure_mcp other identity
+azure-fileshares general orchestration azure_mcp other identity
+azure-storagesync general orchestration azure_mcp other identity
+azure-managedlustre general orchestration azure_mcp other identity
+azure-eventgrid general orchestration azure_mcp other identity
+azure-eventhubs general orchestration azure_mcp other identity
+azure-servicebus general orchestration azure_mcp other identity
+azure-signalr general orchestration azure_mcp other identity
+azure-communication general orchestration azure_mcp other identity
+azure-keyvault general orchestration azure_mcp other identity
+azure-policy general orchestration azure_mcp other identity
+azure-role general orchestration azure_mcp other identity
+azure-search general orchestration azure_mcp other identity
+azure-speech general orchestration azure_mcp other identity
+azure-foundry general orchestration azure_mcp other identity
+azure-appconfig general orchestration azure_mcp other identity
+azure-group_list general orchestration azure_mcp other identity
+azure-subscription_list general orchestration azure_mcp other identity
+azure-extension_cli_install general orchestration azure_mcp other identity
 """
 
 # Fallback rules for unlisted names, tried in this order.
@@ -179,10 +237,6 @@ def registry_rows() -> list[tuple]:
     for line in _TOOLS.strip().splitlines():
         name, cat, stage, group, op, cmp_, *ctx = line.split()
         rows.append((name, cat, _blank(stage), _blank(group), op, cmp_, bool(ctx)))
-    for line in _FAMILIES.strip().splitlines():
-        head, services = line.split(" : ")
-        prefix, cat, stage, group, op, cmp_ = head.split()
-        rows += [(prefix + s, cat, stage, group, op, cmp_, False) for s in services.split()]
     return rows
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +13,58 @@ MATCH_PREFIXES = ("/workspace/", "/workspaces/", "/home/", "/tmp/", "workspace/"
 REPO_MARKERS = ("repo-copilot/", "repo-claude/", "repo-clone/", "repo/")
 
 # File extension to language.
-EXTENSION_LANGUAGE = """
-py python | js javascript | jsx javascript | ts typescript | tsx tsx | java java | cs c_sharp
-go go | rs rust | rb ruby | php php | cpp cpp | cc cpp | cxx cpp | c c | h c | hpp cpp
-swift swift | kt kotlin | kts kotlin | scala scala | lua lua | r r | jl julia | ex elixir
-exs elixir | erl erlang | hs haskell | ml ocaml | fs c_sharp | clj clojure | lisp commonlisp
-el elisp | vim vim | sh bash | bash bash | zsh bash | ps1 powershell | sql sql | html html
-css css | htm html | scss css | markdown markdown | json json | yaml yaml | yml yaml | toml toml | xml xml | md markdown
-"""
+EXTENSION_LANGUAGE = {
+    "py": "python",
+    "js": "javascript",
+    "jsx": "javascript",
+    "ts": "typescript",
+    "tsx": "tsx",
+    "java": "java",
+    "cs": "c_sharp",
+    "go": "go",
+    "rs": "rust",
+    "rb": "ruby",
+    "php": "php",
+    "cpp": "cpp",
+    "cc": "cpp",
+    "cxx": "cpp",
+    "c": "c",
+    "h": "c",
+    "hpp": "cpp",
+    "swift": "swift",
+    "kt": "kotlin",
+    "kts": "kotlin",
+    "scala": "scala",
+    "lua": "lua",
+    "r": "r",
+    "jl": "julia",
+    "ex": "elixir",
+    "exs": "elixir",
+    "erl": "erlang",
+    "hs": "haskell",
+    "ml": "ocaml",
+    "fs": "c_sharp",
+    "clj": "clojure",
+    "lisp": "commonlisp",
+    "el": "elisp",
+    "vim": "vim",
+    "sh": "bash",
+    "bash": "bash",
+    "zsh": "bash",
+    "ps1": "powershell",
+    "sql": "sql",
+    "html": "html",
+    "css": "css",
+    "htm": "html",
+    "scss": "css",
+    "markdown": "markdown",
+    "json": "json",
+    "yaml": "yaml",
+    "yml": "yaml",
+    "toml": "toml",
+    "xml": "xml",
+    "md": "markdown",
+}
 # Language to display name.
 LANGUAGE_NAMES = {
     "python": "Python", "javascript": "JavaScript", "typescript": "TypeScript",
@@ -130,9 +176,7 @@ def relative_position(start: Column, end: Column, length: Column) -> Column:
 
 def language_of(path: Column, content: Column) -> Column:
     """Language by extension, else by the first content marker that occurs."""
-    pairs = [p.split() for line in EXTENSION_LANGUAGE.strip().splitlines() for p in line.split("|")]
-    table = F.from_json(F.lit("{" + ",".join(f'"{k}":"{v}"' for k, v in pairs) + "}"),
-                        "map<string,string>")
+    table = F.from_json(F.lit(json.dumps(EXTENSION_LANGUAGE)), "map<string,string>")
     path, content = blank(path), blank(content)
     ext = F.when(F.contains(path, F.lit(".")),
                  F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1))).otherwise("")

@@ -15,25 +15,53 @@ from runloom.operators.normalize import ENTRY_FIELDS, conform_entries
 from runloom.operators.scan import number_rows
 
 # Action names of the action log and their tools (blank = leave out).
-ACTION_TOOLS = """
-read:file read_file | read:dir list_dir | edit:create create_file | edit:str_replace replace_string_in_file
-edit:insert replace_string_in_file | edit:view read_file | edit:undo_edit replace_string_in_file
-run: run_in_terminal | run_ipython: run_in_terminal | think: think
-"""
+ACTION_TOOLS = {
+    "read:file": "read_file",
+    "read:dir": "list_dir",
+    "edit:create": "create_file",
+    "edit:str_replace": "replace_string_in_file",
+    "edit:insert": "replace_string_in_file",
+    "edit:view": "read_file",
+    "edit:undo_edit": "replace_string_in_file",
+    "run:": "run_in_terminal",
+    "run_ipython:": "run_in_terminal",
+    "think:": "think",
+}
 SKIPPED_ACTIONS = ("finish", "system", "message", "recall", "condensation", "task_tracking", "browse_interactive")
 DIR_MARKERS = ("Here's the files and directories", "Here's the result of running `find`",
                "Here's the result of running `ls`")
 # Function names of the step log and their tools.
-FUNCTION_TOOLS = """
-view read_file | create create_file | edit replace_string_in_file | glob file_search | grep grep_search
-bash run_in_terminal | write_bash run_in_terminal | read_bash run_in_terminal | web_fetch fetch_webpage
-show_file read_file | Read read_file | Write create_file | Edit replace_string_in_file | Glob file_search
-Grep grep_search | Bash run_in_terminal | WebFetch fetch_webpage | NotebookEdit edit_notebook_file
-Shell run_in_terminal | StrReplace replace_string_in_file | ReadLints get_errors | read_file read_file
-create_file create_file | replace_string_in_file replace_string_in_file
-multi_replace_string_in_file multi_replace_string_in_file | file_search file_search | grep_search grep_search
-run_in_terminal run_in_terminal | get_errors get_errors
-"""
+FUNCTION_TOOLS = {
+    "view": "read_file",
+    "create": "create_file",
+    "edit": "replace_string_in_file",
+    "glob": "file_search",
+    "grep": "grep_search",
+    "bash": "run_in_terminal",
+    "write_bash": "run_in_terminal",
+    "read_bash": "run_in_terminal",
+    "web_fetch": "fetch_webpage",
+    "show_file": "read_file",
+    "Read": "read_file",
+    "Write": "create_file",
+    "Edit": "replace_string_in_file",
+    "Glob": "file_search",
+    "Grep": "grep_search",
+    "Bash": "run_in_terminal",
+    "WebFetch": "fetch_webpage",
+    "NotebookEdit": "edit_notebook_file",
+    "Shell": "run_in_terminal",
+    "StrReplace": "replace_string_in_file",
+    "ReadLints": "get_errors",
+    "read_file": "read_file",
+    "create_file": "create_file",
+    "replace_string_in_file": "replace_string_in_file",
+    "multi_replace_string_in_file": "multi_replace_string_in_file",
+    "file_search": "file_search",
+    "grep_search": "grep_search",
+    "run_in_terminal": "run_in_terminal",
+    "get_errors": "get_errors",
+}
 DELEGATING = ("task", "Task", "Agent")
 SHELL_FUNCTIONS = ("Shell", "Bash", "bash", "write_bash")
 # Argument names renamed per source.
@@ -61,10 +89,6 @@ STEPLOG = ("schema_version string, agent struct<name string, version string, mod
 REPLACEMENTS = "array<struct<filePath string, path string, oldString string, newString string>>"
 
 
-def _table(words: str) -> dict[str, str]:
-    return dict(p.split() for line in words.strip().splitlines() for p in line.split("|"))
-
-
 def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
@@ -164,7 +188,7 @@ def action_tool(action: Column, sub: Column, content: Column) -> Column:
     part = F.when(action == "read", F.when(listing, "dir").otherwise("file")) \
         .when(action == "edit", blank(sub)).otherwise("")
     return F.when(action.isin(*SKIPPED_ACTIONS), "").otherwise(
-        _lookup(_table(ACTION_TOOLS), F.concat(action, F.lit(":"), part)))
+        _lookup(ACTION_TOOLS, F.concat(action, F.lit(":"), part)))
 
 
 def parse_actionlog(raw: DataFrame) -> DataFrame:
@@ -266,7 +290,7 @@ def workspace_root(calls: DataFrame) -> DataFrame:
 def _step_entries(calls: DataFrame, roots: DataFrame, keep_text: bool = True) -> DataFrame:
     ids = ["task_id", "trajectory_id"]
     work = calls.where("s.source = 'agent' AND s.extra.compaction_event IS NULL").join(roots, ids, "left")
-    work = work.withColumn("tool", _lookup(_table(FUNCTION_TOOLS), F.col("c.function_name")))
+    work = work.withColumn("tool", _lookup(FUNCTION_TOOLS, F.col("c.function_name")))
     text = F.col("c").isNull() & (blank("s.message") != "")
     work = work.where(F.col("tool").isNotNull() | (text if keep_text else F.lit(False)))
     work = work.withColumn("_a", rename_args(arg_map(F.col("c.arguments")), STEP_ARGS))
@@ -334,7 +358,7 @@ def steplog_counters(raw: DataFrame) -> DataFrame:
     agent = (F.col("s.source") == "agent") & F.col("s.extra.compaction_event").isNull()
     first = F.coalesce("cpos", F.lit(0)) == 0
     fn = F.col("c.function_name")
-    skipped = agent & fn.isNotNull() & ~fn.isin(*DELEGATING) & _lookup(_table(FUNCTION_TOOLS), fn).isNull()
+    skipped = agent & fn.isNotNull() & ~fn.isin(*DELEGATING) & _lookup(FUNCTION_TOOLS, fn).isNull()
     agg = calls.groupBy(*ids).agg(
         F.count_if((F.col("s.source") == "user") & first).alias("human_inputs"),
         F.count_if(agent & fn.isin(*DELEGATING)).alias("delegations"),
