@@ -18,14 +18,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks of lines. A document of which nothing is left goes; n_chars
+    """Texts without repeated chunks of lines and repeated passages. A document of which nothing is left goes; n_chars
     follows the text where the column exists."""
     # Written first: a filter on the new text would otherwise be pushed below and repeat its expression.
-    out = written(line_dedup.line_dedup(docs), "cut")
-    emptied = (F.col("_line_dedup.n_removed_chunks") > 0) & (F.length("text") == 0)
+    out = written(line_dedup.line_dedup(docs, passage_words=line_dedup.PASSAGE_WORDS), "cut")
+    emptied = (F.col("_line_dedup.n_removed_lines") > 0) & (F.length("text") == 0)
     out = out.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
-        changed = F.col("_line_dedup.n_removed_chunks") > 0
+        changed = F.col("_line_dedup.n_removed_lines") > 0
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(changed, size).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -86,6 +87,78 @@ def test_long_passages_stay_in_one_document(spark):
     assert out[99] == "short line\nshort line" and "own line 7 here" in out[7]
 
 
+def brute_lines(docs, words=50):
+    """The texts left: chunks as the SQL cuts them, and every run of lines that stands at an earlier place."""
+    first, texts, gone = {}, {i: t.split("\n") for i, t in docs}, defaultdict(set)
+    for i in sorted(texts):
+        lines, n = texts[i], [x.count(" ") + 1 for x in texts[i]]
+        ends = [k for k, x in enumerate(lines) if k + 1 == len(lines) or n[k] >= 50 or n[k + 1] >= 50 or (
+            (int(hashlib.md5(lines[k - 1].encode()).hexdigest()[:8], 16) if k else 0) * 31
+            + int(hashlib.md5(x.encode()).hexdigest()[:8], 16)) % 2147483647 % 3 == 0]
+        for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True):
+            if n[b] >= 50 or b > a and sum(n[a:b + 1]) >= 20:
+                if first.setdefault(("chunk", *lines[a:b + 1]), (i, a)) != (i, a):
+                    gone[i] |= set(range(a, b + 1))
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(n[a:b + 1]) >= words:
+                    j, c = first.setdefault(("run", *lines[a:b + 1]), (i, a))
+                    if (j, c) != (i, a):
+                        gone[i] |= set(range(max(a, c + b - a + 1) if i == j else a, b + 1))
+    return {i: "\n".join(x for k, x in enumerate(texts[i]) if k not in gone[i]) for i in texts}
+
+
+def test_passages_inside_differing_neighbours(spark):
+    """Passages of 2 to 10 lines and 50 words or more between own lines: of two documents only the first keeps any line."""
+    rng = random.Random(11)
+    say = lambda tag, n: " ".join(f"{tag}w{rng.randrange(10 ** 6)}" for _ in range(n))
+    docs, shared = [], {}
+    for t in range(120):
+        n = 2 + t % 9
+        size = rng.randint(-(-50 // n), 45)
+        shared[t] = [say(f"s{t}x{k}", size) for k in range(n)]
+        for side in (0, 1):
+            own = [say(f"o{t}", rng.randint(3, 12)) for _ in range(8)]
+            docs.append((2 * t + side, "\n".join([*own[:4], *shared[t], *own[4:]])))
+    texts = dict(docs)
+    out = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, docs), passage_words=50).collect()}
+    for t, lines in shared.items():
+        assert out[2 * t].text == texts[2 * t]
+        want = [x for x in texts[2 * t + 1].split("\n") if x not in lines]
+        assert out[2 * t + 1].text.split("\n") == want and len(want) == 8
+        assert out[2 * t + 1]._line_dedup.n_removed_lines == len(lines)
+
+
+def test_passages_equal_brute_force(spark):
+    """Few distinct lines of 1 to 60 words, so that runs overlap, repeat themselves and begin anywhere."""
+    rng = random.Random(5)
+    pool = [" ".join(f"l{k}w{i}" for i in range(rng.choice([1, 3, 9, 20, 30, 49, 60]))) for k in range(12)] + [""]
+    docs = [(i, "\n".join(rng.choice(pool[:rng.randint(1, 13)]) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    docs += [(100, "\n".join(["ten words in a line that comes again and again"] * 30)), (101, "\n" * 120)]
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(table(spark, docs), passage_words=50).collect()}
+    assert out == brute_lines(docs)
+
+
+def test_passage_edges(spark, hard, empty):
+    rows = line_dedup.line_dedup(hard, passage_words=50).collect()
+    assert len(rows) == len(HARD) and line_dedup.line_dedup(empty, passage_words=50).collect() == []
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in HARD)
+    assert {r.text for r in rows if r.doc_id == 2} == {None} and [r.text for r in rows if r.doc_id == 5] == ["one two"] * 2
+    # Rows that share an id: equal texts are one place, of differing ones each loses its own lines.
+    p = "\n".join(" ".join(f"p{k}w{i}" for i in range(30)) for k in range(3))
+    docs = table(spark, [(1, f"a\n{p}\nb"), (1, f"a\n{p}\nb"), (2, f"c\n{p}\nd"), (2, f"c\ne\nf\n{p}"), (None, p)])
+    got = Counter((r.doc_id, r.text) for r in line_dedup.line_dedup(docs, passage_words=50).collect())
+    assert got == Counter([(1, f"a\n{p}\nb"), (1, f"a\n{p}\nb"), (2, "c\nd"), (2, "c\ne\nf"), (None, p)])
+
+
+def test_pipeline_cuts_passages(spark):
+    import corpus_pipeline
+    p = "\n".join(" ".join(f"p{k}w{i}" for i in range(30)) for k in range(2))
+    docs = table(spark, [(i, f"own {i}\nline {i}\n{p}\nand {i}\nend {i}") for i in range(20)])
+    out = {r.doc_id: r.text for r in corpus_pipeline.cut_lines(spark, docs, "").collect()}
+    assert [i for i, t in out.items() if "p0w3" in t or "p1w3" in t] == [0] and out[7] == "own 7\nline 7\nand 7\nend 7"
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
