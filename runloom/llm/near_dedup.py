@@ -268,11 +268,13 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, id_col: str = "doc_id
     links = written(_verified(likely_pairs, rows, similarity), "links")
     found = components(links)
 
-    # The rest: of buckets with three members or more and several components, one per distinct set of members.
+    # The rest: of buckets with three members or more and several components, one per distinct set of members:
+    # that of the lowest band, as the search skips pairs that an earlier band's bucket holds.
     labelled = shared.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = (labelled.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                                  F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("first"))
-             .where("lo <> hi").groupBy("size", "mark", "first").agg(F.min("key").alias("key")).select("key"))
+             .where("lo <> hi").groupBy("size", "mark", "first")
+             .agg(F.min_by("key", F.col("key").bitwiseAND(31)).alias("key")).select("key"))
     inside = written(labelled.join(split, "key").select("node", "component", "key", "size"), "inside")
     full = nodes.join(_full_sets(rows, inside.select("node").distinct()), "node")
     count = F.ceil(F.col("size") / BLOCK).cast("int")

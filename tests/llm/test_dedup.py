@@ -197,6 +197,23 @@ def test_near_search_of_the_rest(spark, families, monkeypatch):
     assert got == {i: c for i, (_, c, _) in brute_components(families, 85).items()}
 
 
+def test_near_links_behind_unlinked_copies(spark):
+    """An original and its near copy come after six unlinked copies that each rewrite another section, so
+    that most of their buckets have an unlinked star center and only the search of the rest links them."""
+    docs = []
+    for seed in range(120):
+        rng = random.Random(seed)
+        base = [f"f{seed}w{rng.randrange(10 ** 6)}" for _ in range(400)]
+        for k in range(6):
+            docs.append((len(docs), " ".join([*base[:60 * k + 9], *[f"n{seed}k{k}w{i}" for i in range(32)], *base[60 * k + 41:]])))
+        docs.append((len(docs), " ".join(base)))
+        docs.append((len(docs), " ".join([*base[:372], *[f"n{seed}k9w{i}" for i in range(20)], *base[392:]])))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(table(spark, docs), 0.85).collect()}
+    want = {i: c for k in range(0, len(docs), 8) for i, (_, c, _) in brute_components(docs[k:k + 8], 85).items()}
+    assert all(want[i] == (i - 1 if i % 8 == 7 else i) for i in want)
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def test_near_edges(hard, empty):
     rows = near_dedup.near_groups(hard).collect()
     assert len(rows) == len(HARD)
