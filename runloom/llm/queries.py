@@ -100,6 +100,52 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(listed, ",").alias("licenses"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.merkle import verify_tampered
+    return verify_tampered(_table(spark, sf_dir, "documents"))
+
+
+def _field(name: str) -> str:
+    return f"coalesce(octet_length(encode({name}::VARCHAR)) || ':' || {name}::VARCHAR, '-')"
+
+
+def _merkle_sql(group_levels: int = 6, top_levels: int = 4) -> str:
+    """Trees, proofs and folds by string aggregation, a fixed number of levels (16 ** levels rows): a lone node of a
+    group passes a level unchanged. A hash of hex digests in the order of their places is one aggregate."""
+    def row(text: str) -> str:
+        return " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text)))
+    lower = f"translate(text, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
+    ctes = [
+        # CRC-32 bit by bit: a step of -1 shifts the register, other steps add a byte.
+        """crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT::HUGEINT, flatten(list_transform(
+           string_split(doc_id::VARCHAR, ''), lambda ch: [ord(ch)::HUGEINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384::HUGEINT * (c & 1::HUGEINT)) END), 4294967295::HUGEINT) AS h
+           FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))""",
+        f"""leaf AS (SELECT d.doc_id, coalesce('=' || source, '') AS key, sha256({row('text')}) AS d,
+            CASE WHEN h % 5 = 0 THEN sha256({row(lower)}) END AS other FROM documents d LEFT JOIN crc USING (doc_id))""",
+        """g0 AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, d, other) - 1 AS pos,
+           count(*) OVER (PARTITION BY key) AS n, d, doc_id, other FROM leaf)"""]
+    climb = """SELECT key, pos // 16 AS pos, (max(n) + 15) // 16 AS n,
+               CASE WHEN max(n) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d FROM {} GROUP BY key, pos // 16"""
+    ctes += [f"g{k + 1} AS ({climb.format(f'g{k}')})" for k in range(group_levels)]
+    ctes.append(f"t0 AS (SELECT '' AS key, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n, d, key AS grp FROM g{group_levels})")
+    ctes += [f"t{k + 1} AS ({climb.format(f't{k}')})" for k in range(top_levels)]
+    step = """SELECT f.id, any_value(f.doc_id) AS doc_id, f.key, f.pos // 16 AS pos, any_value(f.leaf) AS leaf, any_value(f.grp) AS grp,
+              CASE WHEN max(t.n) = 1 THEN any_value(f.cur) ELSE sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.cur ELSE t.d END, '' ORDER BY t.pos)) END AS cur,
+              any_value(f.proof) || coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), '') AS proof
+              FROM {} f JOIN {} t ON t.key = f.key AND t.pos // 16 = f.pos // 16 GROUP BY f.id, f.key, f.pos // 16"""
+    ctes.append("f0 AS (SELECT row_number() OVER () AS id, doc_id, key, pos, d AS leaf, key AS grp, coalesce(other, d) AS cur, '' AS proof FROM g0)")
+    ctes += [f"f{k + 1} AS ({step.format(f'f{k}', f'g{k}')})" for k in range(group_levels)]
+    ctes.append(f"u0 AS (SELECT f.id, f.doc_id, '' AS key, t0.pos, f.leaf, f.grp, f.cur, f.proof FROM f{group_levels} f JOIN t0 ON t0.grp = f.grp)")
+    ctes += [f"u{k + 1} AS ({step.format(f'u{k}', f't{k}')})" for k in range(top_levels)]
+    return f"""WITH {", ".join(ctes)}
+SELECT u.doc_id, u.leaf, s.d AS subroot, r.d AS root, sha256(u.proof) AS proof_sha256, u.cur AS folded_root, u.cur = r.d AS verified
+FROM u{top_levels} u JOIN t0 s ON s.grp = u.grp CROSS JOIN t{top_levels} r"""
+
+
+OP11_SQL = _merkle_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -118,5 +164,6 @@ QUERIES = {
     "op8_html_extract": (op8_html_extract, None),
     "op9_license_scan": (op9_license_scan, None),
     "op10_decontamination": (op10_decontamination, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
     "pipeline": (pipeline, None),
 }
