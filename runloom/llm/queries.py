@@ -146,6 +146,11 @@ FROM u{top_levels} u JOIN t0 s ON s.grp = u.grp CROSS JOIN t{top_levels} r"""
 OP11_SQL = _merkle_sql()
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.periodic_runs import run_digests
+    return run_digests(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -165,5 +170,6 @@ QUERIES = {
     "op9_license_scan": (op9_license_scan, None),
     "op10_decontamination": (op10_decontamination, None),
     "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
+    "op12_periodic_runs": (op12_periodic_runs, None),
     "pipeline": (pipeline, None),
 }
