@@ -151,6 +151,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runloom.llm.ngram_join import jaccard_groups
+    return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -171,5 +176,6 @@ QUERIES = {
     "op10_decontamination": (op10_decontamination, None),
     "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
     "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_ngram_join": (op13_ngram_join, None),
     "pipeline": (pipeline, None),
 }
