@@ -18,9 +18,12 @@ from runloom.operators.equivalence import equivalence_pairs
 from runloom.operators.intent import label_intent
 from runloom.operators.scan import by_group, number_rows
 
-#: The matcher's own rule: a run is compared with the first so many paths in depth-first order.
-#: ``path_facts`` gives the number of all paths beside it; nothing else rests on the list.
+#: The matcher's own rule: a run is compared with the first so many paths in depth-first order. The
+#: listing queries, ``first_paths`` (waste) and the studies use the same list; ``path_facts`` gives the
+#: number of all paths beside it, and rests on all of them.
 MATCHED_PATHS = 50
+#: Partial paths (visited states, last state) kept for one cyclic component.
+SUBSETS = 2_000_000
 # Effects grouped across steps, and effects never grouped.
 CROSS_STEP = ("file_created:", "file_read:", "file_patched:", "files_modified:", "llm_response:confirmed:")
 NEVER_GROUPED = ("llm_response:terminal", "initial", "")
@@ -344,70 +347,184 @@ def _flag_ends(states: DataFrame, edges: DataFrame, terminals: DataFrame | None,
 
 
 class _Paths:
-    """All simple root-to-end paths of one acyclic graph, by dynamic programming over its order."""
+    """All simple root-to-end paths of one graph, without listing them.
+
+    Strongly connected components are found first. A simple path leaves a component once and never
+    returns, so everything factors over the condensation: what happens inside a component is a
+    recursion over its subsets (states visited, last state), and between components it is a dynamic
+    program in their order. A component of a merged graph holds states of one step only, so it is
+    tiny; ``SUBSETS`` bounds the recursion for other graphs.
+    """
 
     def __init__(self, states: pd.DataFrame, edges: pd.DataFrame) -> None:
         self.ends = set(states.loc[states["is_end"], "merged_id"])
         self.root = states["merged_id"].min()
-        self.next: dict[int, list[int]] = {}
+        self.next: dict[int, list[int]] = {n: [] for n in states["merged_id"]}
         for _, a, b in sorted(zip(edges["edge_no"].astype(str), edges["src"], edges["dst"])):
-            if b not in self.next.setdefault(a, []):
+            if a != b and b not in self.next.setdefault(a, []):
                 self.next[a].append(b)
-        waiting = dict.fromkeys(states["merged_id"], 0)
-        for bs in self.next.values():
-            for b in bs:
-                waiting[b] = waiting.get(b, 0) + 1
-        ready, self.order = sorted(n for n, k in waiting.items() if not k), []
-        while ready:
-            n = ready.pop()
-            self.order.append(n)
-            for b in self.next.get(n, ()):
-                waiting[b] -= 1
-                if not waiting[b]:
-                    ready.append(b)
-        if len(self.order) < len(waiting):
-            raise ValueError("the graph has a cycle")
+        self.parts = self._components()
+        self.part = {n: i for i, part in enumerate(self.parts) for n in part}
+        self._inner: dict[tuple, dict[int, int]] = {}
+
+    def _components(self) -> list[list[int]]:
+        """Tarjan's components with an explicit stack; a component comes after all that it reaches."""
+        index: dict[int, int] = {}
+        low: dict[int, int] = {}
+        out, open_, is_open = [], [], set()
+        for start in self.next:
+            if start in index:
+                continue
+            index[start] = low[start] = len(index)
+            open_.append(start)
+            is_open.add(start)
+            work = [(start, iter(self.next[start]))]
+            while work:
+                n, onward = work[-1]
+                for b in onward:
+                    if b not in index:
+                        index[b] = low[b] = len(index)
+                        open_.append(b)
+                        is_open.add(b)
+                        work.append((b, iter(self.next.get(b, ()))))
+                        break
+                    if b in is_open:
+                        low[n] = min(low[n], index[b])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[n])
+                    if low[n] == index[n]:
+                        part = []
+                        while not part or part[-1] != n:
+                            part.append(open_.pop())
+                            is_open.discard(part[-1])
+                        out.append(part)
+        return out
+
+    def _leaves(self, n: int) -> list[int]:
+        """Successors in other components."""
+        return [b for b in self.next.get(n, ()) if self.part[b] != self.part[n]]
+
+    def _visits(self, u: int, without: frozenset[int] = frozenset()) -> list[dict[tuple[int, int], int]]:
+        """Simple paths from ``u`` inside its component, by length: (set of visited states as bits, last
+        state) -> number of paths."""
+        part = self.parts[self.part[u]]
+        bit = {n: 1 << i for i, n in enumerate(part)}
+        layer = {(bit[u], u): 1} if u not in without else {}
+        out, size = [], 0
+        while layer:
+            out.append(layer)
+            size += len(layer)
+            if size > SUBSETS:
+                raise PathBudgetExceeded(f"a cyclic component of {len(part)} states has more than {SUBSETS} partial paths")
+            grown: dict[tuple[int, int], int] = {}
+            for (seen, n), ways in layer.items():
+                for b in self.next.get(n, ()):
+                    if b in bit and not seen & bit[b] and b not in without:
+                        grown[seen | bit[b], b] = grown.get((seen | bit[b], b), 0) + ways
+            layer = grown
+        return out
+
+    def inner(self, u: int, without: frozenset[int] = frozenset()) -> dict[int, int]:
+        """Simple paths from ``u`` to each state of its component that avoid ``without``."""
+        part = self.parts[self.part[u]]
+        if len(part) == 1:
+            return {} if u in without else {u: 1}
+        key = (u, without.intersection(part))
+        if key not in self._inner:
+            found: dict[int, int] = {}
+            for layer in self._visits(*key):
+                for (_, n), ways in layer.items():
+                    found[n] = found.get(n, 0) + ways
+            self._inner[key] = found
+        return self._inner[key]
 
     def onward(self, without: set[int] = frozenset()) -> dict[int, int]:
-        """Paths from each state to an end that avoid ``without``."""
-        out: dict[int, int] = {}
-        for n in reversed(self.order):
-            out[n] = 0 if n in without else (n in self.ends) + sum(out[b] for b in self.next.get(n, ()))
+        """Paths to an end from each state where a path can enter its component, avoiding ``without``."""
+        without, out = frozenset(without), {}
+        for part in self.parts:
+            leave = {n: (n in self.ends) + sum(out[b] for b in self._leaves(n)) for n in part}
+            for u in part:
+                out[u] = sum(ways * leave[n] for n, ways in self.inner(u, without).items())
         return out
 
     def through(self) -> tuple[int, dict[int, int]]:
         """Number of all paths, and of those through each state."""
-        to_end, from_root = self.onward(), dict.fromkeys(self.order, 0)
-        from_root[self.root] = 1
-        for n in self.order:
-            for b in self.next.get(n, ()):
-                from_root[b] += from_root[n]
-        return to_end[self.root], {n: from_root[n] * to_end[n] for n in self.order}
+        to_end = self.onward()
+        enter = dict.fromkeys(self.part, 0)
+        enter[self.root] = 1
+        used = {}
+        for part in reversed(self.parts):
+            leave = {n: (n in self.ends) + sum(to_end[b] for b in self._leaves(n)) for n in part}
+            entries = [u for u in part if enter[u]]
+            whole = sum(enter[u] * to_end[u] for u in entries)
+            for x in part:
+                around = sum(enter[u] * ways * leave[n] for u in entries for n, ways in self.inner(u, frozenset([x])).items())
+                used[x] = whole - around
+            for u in entries:
+                for n, ways in self.inner(u).items():
+                    for b in self._leaves(n):
+                        enter[b] += enter[u] * ways
+        return to_end[self.root], used
 
     def best(self, stage: dict[int, str], longest: bool) -> list[int]:
         """The path with most distinct stages (if ``stage`` is given), then longest or shortest; of
-        equals the first in depth-first order. One entry per state and set of stages still to come."""
+        equals the first in depth-first order."""
         bits = {s: 1 << i for i, s in enumerate(sorted({v for v in stage.values() if v}))}
-        sign = 1 if longest else -1
-        # Per state: reachable stage set -> (length to the end, first state onward).
-        table: dict[int, dict[int, tuple[int, int | None]]] = {}
-        for n in reversed(self.order):
-            own, rows = bits.get(stage.get(n, ""), 0), {}
-            if n in self.ends:
-                rows[own] = (1, None, 0)
-            for b in self.next.get(n, ()):
-                for mask, (size, *_) in table[b].items():
-                    m = mask | own
-                    if m not in rows or sign * (size + 1) > sign * rows[m][0]:
-                        rows[m] = (size + 1, b, mask)
-            table[n] = rows
+        own = {n: bits.get(stage.get(n, ""), 0) for n in self.part}
+        better = max if longest else min
+        # From every entry: set of stages still to come -> length of the best way to an end.
+        table: dict[int, dict[int, int]] = {}
+
+        def ways_out(n: int) -> dict[int, int]:
+            rows = {0: 0} if n in self.ends else {}
+            for b in self._leaves(n):
+                for mask, size in table[b].items():
+                    rows[mask] = better(rows.get(mask, size), size)
+            return rows
+        for part in self.parts:
+            out = {n: ways_out(n) for n in part}
+            bit = {1 << i: n for i, n in enumerate(part)}
+            for u in part:
+                rows: dict[int, int] = {}
+                for length, layer in enumerate(self._visits(u), 1):
+                    for seen, n in layer:
+                        inside = 0
+                        for b, state in bit.items():
+                            inside |= own[state] if seen & b else 0
+                        for mask, size in out[n].items():
+                            m = mask | inside
+                            rows[m] = better(rows.get(m, size + length), size + length)
+                table[u] = rows
         if not table.get(self.root):
             return []
-        n, mask = self.root, max(table[self.root], key=lambda m: (bin(m).count("1"), sign * table[self.root][m][0]))
-        path = []
-        while n is not None:
-            path.append(n)
-            _, n, mask = table[n][mask]
+        stages = max(bin(m).count("1") for m in table[self.root])
+        length = better(size for m, size in table[self.root].items() if bin(m).count("1") == stages)
+
+        def reachable(rows: dict[int, int], mask: int, left: int) -> bool:
+            return any(size == left and bin(m | mask).count("1") == stages for m, size in rows.items())
+        # Depth first along the states from which the best is still within reach.
+        path, mask, dead = [self.root], [own[self.root]], set()
+        stack = [iter(self.next[self.root])]
+        while not (path[-1] in self.ends and len(path) == length and bin(mask[-1]).count("1") == stages):
+            n, here = next(stack[-1], None), path[-1]
+            if n is None:
+                inside = frozenset(x for x in path if self.part[x] == self.part[here])
+                dead.add((here, inside, len(path), mask[-1]))
+                stack.pop()
+                path.pop()
+                mask.pop()
+                continue
+            if self.part[n] != self.part[here]:
+                ok = reachable(table[n], mask[-1], length - len(path))
+            else:
+                inside = frozenset([n, *(x for x in path if self.part[x] == self.part[n])])
+                ok = n not in path and len(path) < length and (n, inside, len(path) + 1, mask[-1] | own[n]) not in dead
+            if ok:
+                path.append(n)
+                mask.append(mask[-1] | own[n])
+                stack.append(iter(self.next.get(n, ())))
         return path
 
 
@@ -418,7 +535,9 @@ def path_facts(states: DataFrame, edges: DataFrame, terminals: DataFrame | None
     ``total``: the number of paths in ``n``. ``state``: paths through ``merged_id``. ``tool``: paths
     that use ``tool``. ``canonical``, ``longest``, ``shortest``: the path's states by ``pos``.
     Counts are doubles, as they may exceed a long. A graph without a path gives a total of 0. One
-    group is one merged graph, so k runs; graphs must be acyclic, which ``clean_edges`` ensures.
+    group is one merged graph, so k runs. ``clean_edges`` keeps edges between states of one step, so
+    cycles among these are normal; paths are simple. A cyclic component with more than ``SUBSETS``
+    partial paths raises ``PathBudgetExceeded``.
     """
     keys = list(keys)
     flagged = _flag_ends(states.withColumn("stage", blank("intent_stage")).withColumn(

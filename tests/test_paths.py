@@ -113,3 +113,42 @@ def test_files_of_all_formats_are_read(spark, tmp_path):
         ("chatlog", "toolCall", "b.py", None), ("trace", "toolCall", "a.py", 7), ("trace", "request", None, None)]
     bad = {r.trajectory_id.rsplit("/", 1)[1]: r.reason for r in R.unreadable(raw).collect()}
     assert bad == {"bad.json": "no valid JSON", "none.json": "no entries"}
+
+
+def test_cyclic_graphs_against_listing():
+    """Random graphs whose equal-step states form cycles: counts, tools and best paths of all simple paths."""
+    import pandas as pd
+    rng = random.Random(11)
+    cyclic = 0
+    for _ in range(400):
+        step = sorted(rng.randint(0, 4) for _ in range(rng.randint(2, 10)))
+        n = len(step)
+        states = pd.DataFrame({"merged_id": range(n), "is_end": [rng.random() < 0.3 for _ in range(n)]})
+        pairs = sorted({(a, b) for a in range(n) for b in range(n) if a != b and step[b] >= step[a] and rng.random() < 0.45})
+        rng.shuffle(pairs)
+        edges = pd.DataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], columns=["edge_no", "src", "dst"])
+        stage = {i: rng.choice(STAGES) for i in range(n)}
+        listed, g = G._depth_first(states, edges, None), G._Paths(states, edges)
+        cyclic += any(len(p) > 1 for p in g.parts)
+        total, used = g.through()
+        assert total == len(listed)
+        assert {k: v for k, v in used.items() if v} == {x: sum(x in p for p in listed) for x in {y for p in listed for y in p}}
+        some = set(rng.sample(range(n), n // 2))
+        assert g.onward(some)[g.root] == sum(not some & set(p) for p in listed)
+        if listed:
+            count = lambda p: len({stage[x] for x in p} - {""})
+            assert g.best(stage, True) == max(listed, key=lambda p: (count(p), len(p)))
+            assert g.best({}, True) == max(listed, key=len)
+            assert g.best({}, False) == min(listed, key=len)
+        else:
+            assert g.best(stage, True) == []
+    assert cyclic > 150
+
+
+def test_large_cyclic_component_is_refused(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(G, "SUBSETS", 1000)
+    states = pd.DataFrame({"merged_id": range(12), "is_end": [False] * 11 + [True]})
+    edges = pd.DataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in range(12) for b in range(12) if a != b)], columns=["edge_no", "src", "dst"])
+    with pytest.raises(G.PathBudgetExceeded):
+        G._Paths(states, edges).through()
