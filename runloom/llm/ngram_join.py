@@ -43,6 +43,8 @@ PERCENT = 85
 RANK_BITS, SLICE_BITS = 22, 16
 PARTS = 64
 BLOCK = 2048
+#: Lists of up to so many members are joined as they are.
+SHORT = 64
 #: Pairs of two components that a block returns in the first round.
 FEW = 8
 #: Up to so many ids are broadcast to pick the texts that are verified; beyond, they are joined.
@@ -229,24 +231,43 @@ class _Join:
         return ends.join(hubs, "token").where((reach[0] >= F.col("nb")) & (reach[1] >= F.col("na"))).select("a", "b").distinct()
 
     def list_pairs(self, labels: DataFrame | None, few: int | None) -> DataFrame:
-        """(a, b, more): pairs of members that can link; with ``labels`` only across components."""
+        """(a, b, more): pairs of members that can link, without those of the stars; with ``labels`` only
+        across components, without them all pairs, stars included."""
+        percent = self.percent
+        rows = self.shared.withColumn("reach", _reach(F.col("n"), F.col("pos"), percent))
         if labels is None:
-            rows = self.shared.withColumn("component", F.col("node"))
+            rows = rows.withColumn("component", F.col("node"))
         else:
-            rows = self.shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            split = rows.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("token")
-            rows = written(rows, "labelled").join(split, "token")
+            rows = rows.where("node <> center").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = written(rows.select("token", "node", "n", "pos", "reach", "component"), "labelled")
+        split = rows.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("members")).where("_lo <> _hi")
+        rows = written(rows.join(split.select("token", "members"), "token"), "split")
+        pairs = self._short_lists(rows.where(F.col("members") <= SHORT)).withColumn("more", F.lit(False))
+        long_lists = rows.where(F.col("members") > SHORT)
+        if not long_lists.isEmpty():
+            pairs = pairs.unionByName(self._long_lists(long_lists, few))
+        return written(pairs, "pairs")
+
+    @staticmethod
+    def _short_lists(rows: DataFrame) -> DataFrame:
+        """A join on the shingle: at most ``SHORT`` members meet."""
+        one, two = ([F.col(c).alias(f"{c}{k}") for c in ("node", "n", "reach", "component")] for k in "ab")
+        met = rows.where("reach >= n").select("token", *one).join(rows.select("token", *two), "token")
+        return met.where("componenta <> componentb AND nb <= reacha AND na <= reachb AND (nb > na OR nb = na AND nodeb > nodea)").select(
+            F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
+
+    def _long_lists(self, rows: DataFrame, few: int | None) -> DataFrame:
+        """Blocks of members by bands of sizes, two between n and the largest partner n / t."""
         percent = self.percent
 
         def search(x: pd.DataFrame) -> pd.DataFrame:
             return _block_pairs(x, percent, few)
-        reach = _reach(F.col("n"), F.col("pos"), percent)
-        # Bands of sizes, two between n and the largest partner n / t.
+
         def band(n: Column) -> Column:
-            return F.floor(F.log(n.cast("double")) * (2 / -log(self.percent / 100)) + 1e-9).cast("int")
-        small = rows.where(reach >= F.col("n")).select("token", "node", "n", "pos", "component", reach.alias("reach"), F.lit(True).alias("small"),
-                                                       F.explode(F.sequence(band(F.col("n")), band(reach))).alias("band"))
-        large = rows.select("token", "node", "n", "pos", "component", reach.alias("reach"), F.lit(False).alias("small"), band(F.col("n")).alias("band"))
+            return F.floor(F.log(n.cast("double")) * (2 / -log(percent / 100)) + 1e-9).cast("int")
+        columns = ["token", "node", "n", "pos", "component", "reach"]
+        small = rows.where("reach >= n").select(*columns, F.lit(True).alias("small"), F.explode(F.sequence(band(F.col("n")), band(F.col("reach")))).alias("band"))
+        large = rows.select(*columns, F.lit(False).alias("small"), band(F.col("n")).alias("band"))
         both = written(small.unionByName(large), "banded")
         size = both.groupBy("token", "band").agg(F.count_if("small").alias("_s"), F.count_if(~F.col("small")).alias("_l")).where("_s > 0 AND _l > 0")
         grid = size.select("token", "band", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("_s", "_l")])
@@ -255,7 +276,7 @@ class _Join:
         placed = placed.withColumn("_mine", F.pmod(F.xxhash64("node"), mine).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), theirs - 1)))
         i, j = (F.when(F.col("small"), F.col(a)).otherwise(F.col(b)) for a, b in (("_mine", "_other"), ("_other", "_mine")))
         keyed = placed.select("node", "n", "pos", "component", "reach", "small", F.struct("token", "band", i.alias("i"), j.alias("j")).alias("block"))
-        return written(keyed.groupBy("block").applyInPandas(search, "a long, b long, more boolean"), "pairs")
+        return keyed.groupBy("block").applyInPandas(search, "a long, b long, more boolean")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, overlap, size): the pairs, each once, whose full sets link; size is that of their union."""

@@ -73,6 +73,7 @@ def test_all_links(spark, families):
 def test_rounds_and_blocks(spark, monkeypatch):
     """Many near copies in one list whose stars do not connect them; small blocks and one pair a round."""
     monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "SHORT", 4)
     monkeypatch.setattr(N, "BROADCAST_IDS", 3)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(120)]
