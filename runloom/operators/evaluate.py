@@ -8,15 +8,22 @@ so no group is ever sorted in a single task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
-from runloom.operators.assess import IDEAL_MIN, LUCKY_MAX
+from runloom.operators.assess import IDEAL_MIN, LUCKY_MAX, revised_tier
 from runloom.operators.refgraph import draw_order
 
 BINS_PER_POINT = 100
 KS_TERMS = 100
+#: Up to so many passes and fails the p-value of KS is exact.
+EXACT_KS = 10_000
 
 
 def unpivot_scores(scores: DataFrame, columns: Sequence[str], keys: Sequence[str],
@@ -57,6 +64,64 @@ def kolmogorov_p(d: Column, p: Column, n: Column) -> Column:
     return F.when(lam < 0.04, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
+def paths_outside(k: int, n: int, m: int) -> float:
+    """Share of the lattice paths from (0, 0) to (n, m) that touch |i m - j n| >= k: the exact p-value of
+    the two-sample statistic k / (n m).
+
+    Row by row, the ways that stayed inside are running sums of the row before. A path is counted
+    where it first leaves, with all its ways on from there, so small shares keep their digits.
+    Rows are rescaled as they grow; O(n m) steps, O(m) memory.
+    """
+    if k <= 0:
+        return 1.0
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + m + 1)))))
+
+    def onward(i, j):
+        """Logarithm of the ways from (i, j) to the end."""
+        return logs[n - i + m - j] - logs[n - i] - logs[m - j]
+
+    def bounds(i: int) -> tuple[int, int]:
+        return max(0, (i * m - k) // n + 1), min(m, -((-i * m - k) // n) - 1)
+    lo, hi = bounds(0)
+    ways, scale, outside = np.ones(hi + 1), 0.0, 0.0
+    whole = logs[n + m] - logs[n] - logs[m]
+    if hi < m:
+        outside += np.exp(onward(0, hi + 1) - whole)
+    for i in range(1, n + 1):
+        low, high = bounds(i)
+        if low > lo:  # steps from row i - 1 that land below the band
+            j = np.arange(lo, min(low, hi + 1))
+            left = ways[:len(j)]
+            outside += float((left * np.exp(scale + onward(i, j) - whole)).sum())
+        if high < low:  # nothing stays inside
+            break
+        row = np.zeros(high - low + 1)
+        keep = ways[low - lo:high - lo + 1]
+        row[:len(keep)] = keep
+        ways = np.cumsum(row)
+        if high < m:
+            outside += float(ways[-1] * np.exp(scale + onward(i, high + 1) - whole))
+        lo, hi = low, high
+        top = ways.max(initial=0.0)
+        if top > 1e200:
+            ways, scale = ways / top, scale + np.log(top)
+    return float(min(1.0, outside))
+
+
+@pandas_udf(DoubleType())
+def exact_ks_p(d: pd.Series, p: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([paths_outside(round(x * a * b), int(a), int(b)) for x, a, b in zip(d, p, n)])
+
+
+def ks_p(d: Column, p: Column, n: Column) -> Column:
+    """Exact p-value for groups of up to ``EXACT_KS`` passes and fails each, the asymptotic one beyond. A
+    group is one row of three numbers here."""
+    small = F.greatest(p, n) <= EXACT_KS
+    none = F.lit(None).cast("double")
+    return F.when(small, exact_ks_p(F.when(small, d).otherwise(0.0), F.when(small, p).otherwise(1), F.when(small, n).otherwise(1))).when(
+        d.isNull(), none).otherwise(kolmogorov_p(d, p, n))
+
+
 def discrimination(scores: DataFrame, groups: Sequence[str], fixed_threshold: float | None = None,
                    lowest: bool = False) -> DataFrame:
     """AUROC, KS, threshold and confusion metrics per group; single-class groups drop out.
@@ -87,7 +152,7 @@ def discrimination(scores: DataFrame, groups: Sequence[str], fixed_threshold: fl
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return best.join(conf, g).select(
         *g, "num_passed", "num_failed", "auroc", "ks_statistic",
-        kolmogorov_p(F.col("ks_statistic"), F.col("num_passed"), F.col("num_failed")).alias("ks_pvalue"),
+        ks_p(F.col("ks_statistic"), F.col("num_passed"), F.col("num_failed")).alias("ks_pvalue"),
         "threshold", "tp", "fp", "tn", "fn", ((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"),
         F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1"),
         F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0).alias("precision"), (tp / (tp + fn)).alias("recall"),
@@ -205,26 +270,52 @@ def holdout_split(runs: DataFrame, train: int, test_pass: int, test_fail: int, s
     return r.join(ok, keys, "left_semi").select(*keys, "trajectory_id", "passed", "split")
 
 
-def draw_grid(runs: DataFrame, ks: Sequence[int], draws: int, perms: int = 1, seed: int = 42) -> DataFrame:
-    """Donors of every study cell: k, draw_id, perm_id, task_id, trajectory_id, run_order.
+def reserved_test(runs: DataFrame, test_pass: int = 2, test_fail: int = 2, seed: int = 42, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """The fixed test runs of every task that has as many: keys, trajectory_id, passed. All other
+    passing runs of these tasks form the pool that donors are drawn from."""
+    keys = list(keys)
+    split = holdout_split(runs, 0, test_pass, test_fail, seed, keys)
+    full = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == test_pass + test_fail)
+    return split.join(full, keys, "left_semi").select(*keys, "trajectory_id", "passed")
 
-    A draw fixes the combination of donors, a permutation only their order. The grid is a
-    key of the data, so all cells run as one job.
-    """
-    top = max(ks)
-    cell = ["draw_id", "task_id"]
-    p = runs.where("passed").select("task_id", "trajectory_id").withColumn(
-        "draw_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+
+def donor_pool(runs: DataFrame, test: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    keys = list(keys)
+    return runs.where("passed").select(*keys, "trajectory_id").join(test.select(*keys).distinct(), keys, "left_semi") \
+        .join(test.select(*keys, "trajectory_id"), [*keys, "trajectory_id"], "left_anti")
+
+
+def draw_grid(pool: DataFrame, most: int, draws: int, seed: int = 42, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """Up to ``most`` donors of every draw in draw order: keys, draw_id, trajectory_id, run_order. The
+    first k of a draw are its graph of k runs. Ranks are cut before the shuffle completes."""
+    keys = list(keys)
+    p = pool.select(*keys, "trajectory_id").withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     p = p.withColumn("_o", draw_order(F.col("draw_id") + seed, F.col("trajectory_id")))
-    p = p.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("_o", "trajectory_id"))).where(F.col("_r") <= top)
-    p = p.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("_r") <= F.col("k"))
-    full = p.groupBy("k", *cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == F.col("k"))
-    p = p.join(full, ["k", *cell], "left_semi").withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
-    order = F.when(F.col("perm_id") == 0, F.col("_o")).otherwise(
-        draw_order(F.col("perm_id") * 7919 + F.col("draw_id"), F.col("trajectory_id")))
-    keys = ["k", "draw_id", "perm_id", "task_id"]
-    return p.withColumn("run_order", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "trajectory_id"))) \
-        .select(*keys, "trajectory_id", "run_order")
+    rank = F.row_number().over(Window.partitionBy(*keys, "draw_id").orderBy("_o", "trajectory_id"))
+    return p.withColumn("run_order", rank).where(F.col("run_order") <= most).select(*keys, "draw_id", "trajectory_id", "run_order")
+
+
+def order_grid(pool: DataFrame, k: int, combinations: int, orders: int, seed: int = 42, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """Distinct combinations of ``k`` donors (one per draw, equal ones once), each in up to ``orders``
+    distinct orders: keys, draw_id, perm_id, trajectory_id, run_order. All orders where k! allows."""
+    keys = list(keys)
+    drawn = draw_grid(pool, k, combinations, seed, keys)
+    members = drawn.groupBy(*keys, "draw_id").agg(F.array_sort(F.collect_list("trajectory_id")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    chosen = members.where(F.col("_n") == k).groupBy(*keys, "_m").agg(F.min("draw_id").alias("draw_id"))
+    total = factorial(k)
+    picked = range(total) if total <= orders else [total * i // orders for i in range(orders)]
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("perm_id"), F.array(*map(F.lit, nth_order(n, k))).alias("_p")) for i, n in enumerate(picked)]))
+    return chosen.withColumn("_o", places).select(*keys, "draw_id", "_o.perm_id", F.posexplode("_m").alias("_i", "trajectory_id"), "_o._p") \
+        .select(*keys, "draw_id", "perm_id", "trajectory_id", F.get("_p", F.col("_i")).alias("run_order"))
+
+
+def nth_order(n: int, k: int) -> list[int]:
+    """The n-th order of k things: the place, from 1, of each."""
+    left, out = list(range(1, k + 1)), []
+    for i in range(k, 0, -1):
+        at, n = divmod(n, factorial(i - 1))
+        out.append(left.pop(at))
+    return out
 
 
 def spread(per_draw: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
@@ -234,7 +325,53 @@ def spread(per_draw: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
         F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def order_variance(scores: DataFrame, value: str = "score") -> DataFrame:
+def order_variance(scores: DataFrame, value: str = "score", groups: Sequence[str] = ("k",)) -> DataFrame:
     """Variance of a score between donor combinations and within one (order only)."""
-    per = scores.groupBy("k", "draw_id").agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
-    return per.groupBy("k").agg(F.var_pop("_m").alias("between_combinations"), F.avg("_v").alias("within_combination"))
+    per = scores.groupBy(*groups, "draw_id").agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    return per.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("combinations"), F.sum("_n").alias("orders"), F.avg("_m").alias("mean"),
+        F.var_pop("_m").alias("between_combinations"), F.avg("_v").alias("within_combination"))
+
+
+def resampled_tiers(scores: DataFrame, tier: str = "tier", groups: Sequence[str] = ("draw_id",)) -> DataFrame:
+    """Share of each tier among passing and failing runs over draws: mean, deviation and range. A draw
+    without a tier counts as zero."""
+    g = list(groups)
+    n = scores.groupBy(*g, "passed", F.col(tier).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy(*g, "passed").agg(F.sum("n").alias("_t"))
+    every = total.join(n.select("passed", "tier").distinct(), "passed")
+    share = every.join(n, [*g, "passed", "tier"], "left").withColumn("pct", F.coalesce("n", F.lit(0)) / F.col("_t") * 100)
+    return spread(share, "pct", ["passed", "tier"])
+
+
+def in_range(spreads: DataFrame, value: dict[str, float], name: str) -> DataFrame:
+    """Whether a published value lies in the range of the draws, for rows whose ``name`` has one."""
+    told = F.create_map(*[F.lit(x) for k, v in value.items() for x in (k, float(v))])
+    return spreads.withColumn("published", told[F.col(name)]).withColumn(
+        "in_range", (F.col("low") <= F.col("published")) & (F.col("published") <= F.col("high")))
+
+
+def over_draws(scores: DataFrame, waste: DataFrame, kinds: Sequence[tuple[str, str]], cell: Sequence[str],
+               keys: Sequence[str] = ("task_id", "trajectory_id")) -> DataFrame:
+    """One row per run over its references: score (rounded mean), deviation and range, tier of the mean,
+    whether all references agree on it, the tiers seen, and the mean waste of every kind."""
+    per = scores.join(waste.select(*cell, keys[-1], *dict.fromkeys(c for pair in kinds for c in pair), "total_wasted_steps"), [*cell, keys[-1]])
+    per = per.withColumn("_tier", revised_tier(F.col("quality_score"), F.col("passed")))
+    mean = [F.bround(F.avg(c), 1).alias(c) for c in dict.fromkeys([c for pair in kinds for c in pair] + ["total_wasted_steps"])]
+    out = per.groupBy(*keys, "passed").agg(
+        F.count(F.lit(1)).alias("n_refs"), F.rint(F.avg("quality_score")).cast("int").alias("quality_score"),
+        F.bround(F.stddev_pop("quality_score"), 1).alias("score_std"), F.min("quality_score").alias("score_min"), F.max("quality_score").alias("score_max"),
+        F.array_join(F.array_sort(F.collect_set("_tier")), ",").alias("tiers_seen"), F.bround(F.avg("coverage_percent"), 1).alias("coverage_percent"),
+        F.bround(F.avg("coherence_score"), 3).alias("coherence"), *mean)
+    return out.withColumn("tier", revised_tier(F.col("quality_score"), F.col("passed"))).withColumn("tier_stable", ~F.contains("tiers_seen", F.lit(",")))
+
+
+def own_run_rollup(rows: DataFrame, kinds: Sequence[tuple[str, str]]) -> DataFrame:
+    """Totals over runs as (item, n): outcomes, tiers, unstable tiers, and wasted steps per kind."""
+    one = F.lit(1.0)
+    outcome = F.when(F.col("passed"), "passed").when(~F.col("passed"), "failed").otherwise("unknown")
+    pairs = [(F.lit("scored"), one), (outcome, one), (F.concat(F.lit("tier:"), "tier"), one),
+             (F.lit("tier varied"), F.when(F.col("tier_stable"), 0.0).otherwise(1.0)),
+             *[(F.lit(f"wasted:{w}"), F.col(w).cast("double")) for _, w in kinds]]
+    items = [F.struct(name.alias("item"), n.alias("n")) for name, n in pairs]
+    return rows.select(F.inline(F.array(*items))).groupBy("item").agg(F.bround(F.sum("n"), 1).alias("n"))

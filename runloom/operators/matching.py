@@ -322,13 +322,17 @@ def process_coverage(cand: DataFrame, required: DataFrame, keys: Sequence[str] =
     return _share(required, used, cand.select(*keys, "trajectory_id").distinct(), "tool", "process_coverage", keys)
 
 
-def file_coverage(cand: DataFrame, required: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    keys = list(keys)
+def edited_files(cand: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """Files that runs edit, normalised: keys, trajectory_id, file."""
     raw = F.coalesce(F.nullif(F.trim(blank("file_path")), F.lit("")), blank("path_arg"))
-    used = (cand.where(F.col("tool_used").isin(*CANDIDATE_EDITS))
+    return (cand.where(F.col("tool_used").isin(*CANDIDATE_EDITS))
             .select(*keys, "trajectory_id", F.explode(F.split(raw, ",")).alias("_f"))
             .select(*keys, "trajectory_id", T.norm_match_path(F.trim("_f")).alias("file")).where("file <> ''").distinct())
-    return _share(required, used, cand.select(*keys, "trajectory_id").distinct(), "file", "file_coverage", keys)
+
+
+def file_coverage(cand: DataFrame, required: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    keys = list(keys)
+    return _share(required, edited_files(cand, keys), cand.select(*keys, "trajectory_id").distinct(), "file", "file_coverage", keys)
 
 
 def batch_compare(hits: DataFrame, refs: DataFrame, keys: Sequence[str] = ("task_id",), min_length: int = 3) -> DataFrame:

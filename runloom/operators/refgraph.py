@@ -56,55 +56,88 @@ def select_donors(runs: DataFrame, k: int = 5, seed: int = 42,
     return ranked.join(full, keys, "left_semi").select(*keys, "trajectory_id", "run_order")
 
 
-def _fold(steps: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Fold runs into a growing list of merged states with one cursor per run."""
-    equal = set(zip(pairs["a"], pairs["b"]))
-    merged: list[tuple] = []  # (step, id, sig), kept in (step, id) order
+def _fold(runs: list[tuple[int, list[tuple[int, int, int]]]], equal: set[tuple[int, int]]) -> list[tuple]:
+    """Fold runs, in order, into a growing list of merged states with one cursor per run.
+
+    ``runs`` are (run id, [(seq, step, signature)]). A run's rows depend on the runs before it only,
+    so the rows of the first k runs are the fold of these k: one fold has every shorter one in it.
+    """
+    merged: list[tuple] = []  # (step, id, signature), kept in (step, id) order
     out = []
-    for order, run in steps.sort_values(["run_order", "seq"]).groupby("run_order", sort=True):
+    for order, (run, steps) in enumerate(runs):
         base, pos, branch, added = list(merged), 0, None, []
-        for i, row in enumerate(run.itertuples(index=False)):
-            if order != 1 and pos < len(base):
-                step, mid, sig = base[pos]
-                if i == 0 or (sig, row.sid) in equal:
-                    out.append((row.trajectory_id, row.seq, mid, False, None))
+        for i, (seq, step_no, sid) in enumerate(steps):
+            if order and pos < len(base):
+                _, mid, sig = base[pos]
+                if i == 0 or (sig, sid) in equal:
+                    out.append((run, seq, mid, False, None))
                     pos += 1
                     continue
                 branch = mid
             new = len(merged) + len(added) + 1
-            added.append((row.step, new, row.sid))
-            out.append((row.trajectory_id, row.seq, new, True, branch))
+            added.append((step_no, new, sid))
+            out.append((run, seq, new, True, branch))
         merged = sorted(merged + added)
-    return pd.DataFrame(out, columns=["trajectory_id", "seq", "merged_id", "is_new", "branch_from"])
+    return out
 
 
-def merge_runs(donor_steps: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    """Map every donor step to a merged state.
+def merge_cells(steps: DataFrame, grid: DataFrame, cell: Sequence[str], keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """Merge the runs of many cells: every cell is an ordered choice of a task's runs.
 
-    Input: donor steps with ``run_order``, ``seq``, ``step``, ``c`` and ``sig``. Output:
-    keys, trajectory_id, seq, merged_id, is_new, branch_from.
+    ``steps`` holds the steps of the chosen runs (``seq``, ``step``, ``c``, ``sig``), each run once;
+    ``grid`` has keys, ``cell`` columns, trajectory_id and run_order. A task's steps and equal
+    contents reach one group once, whatever the number of its cells. Output: keys, cell columns,
+    trajectory_id, run_order, seq, merged_id, is_new, branch_from.
     """
-    keys = list(keys)
-    sigs = donor_steps.groupBy(*keys, "sig").agg(F.first("c").alias("c"))
-    ids = sigs.select(*keys, "sig", F.row_number().over(
-        Window.partitionBy(*keys).orderBy("sig")).alias("sid"))
+    keys, cell = list(keys), list(cell)
+    sigs = steps.groupBy(*keys, "sig").agg(F.first("c").alias("c"))
+    ids = sigs.select(*keys, "sig", F.row_number().over(Window.partitionBy(*keys).orderBy("sig")).alias("sid"))
     eq = equivalence_pairs(sigs, sigs, keys)
     pairs = (eq.join(ids.select(*keys, F.col("sig").alias("ref_sig"), F.col("sid").alias("a")), [*keys, "ref_sig"])
              .join(ids.select(*keys, F.col("sig").alias("cand_sig"), F.col("sid").alias("b")), [*keys, "cand_sig"])
              .select(*[F.col(k).alias(k) for k in keys], "a", "b"))
-    steps = donor_steps.join(ids, [*keys, "sig"]).select(
-        *keys, "trajectory_id", "run_order", "seq", "step", "sid")
-    key_types = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
-    schema = ", ".join(f"{c} {key_types[c]}" for c in [*keys, "trajectory_id", "seq"]) + \
-        ", merged_id int, is_new boolean, branch_from int"
+    # The places of a run in the cells travel with its first step.
+    run = [*keys, "trajectory_id"]
+    places = grid.groupBy(*run).agg(F.collect_list(F.struct("run_order", *cell)).alias("_places"))
+    places = places.join(steps.groupBy(*run).agg(F.min("seq").alias("seq")), run)
+    rows = steps.join(ids, [*keys, "sig"]).select(*run, "seq", "step", "sid").join(places, [*run, "seq"], "left")
+    types = {f.name: f.dataType.simpleString() for f in [*steps.schema.fields, *grid.schema.fields]}
+    names = [*keys, *cell, "trajectory_id", "run_order", "seq", "merged_id", "is_new", "branch_from"]
+    types.update(run_order="int", merged_id="int", is_new="boolean", branch_from="int")
 
     def fold(key, left, right):
-        out = _fold(left, right)
-        for name, value in zip(keys, key):
-            out[name] = value
-        out["branch_from"] = out["branch_from"].astype("Int32")
-        return out[[*keys, "trajectory_id", "seq", "merged_id", "is_new", "branch_from"]]
-    return by_group(steps, keys).groupBy(*keys).cogroup(by_group(pairs, keys).groupBy(*keys)).applyInPandas(fold, schema)
+        equal = set(zip(right["a"], right["b"]))
+        runs = {run: list(x[["seq", "step", "sid"]].itertuples(index=False, name=None))
+                for run, x in left.sort_values("seq").groupby("trajectory_id")}
+        cells: dict[tuple, list] = {}
+        for run, places in zip(left["trajectory_id"], left["_places"]):
+            for p in places if places is not None else ():
+                cells.setdefault(tuple(p[c] for c in cell), []).append((p["run_order"], run))
+        out = []
+        for values, chosen in cells.items():
+            order = {run: k for k, run in chosen}
+            for run, *rest in _fold([(run, runs[run]) for _, run in sorted(chosen)], equal):
+                out.append((*key, *values, run, order[run], *rest))
+        return pd.DataFrame(out, columns=names).astype({"branch_from": "Int32"})
+    schema = ", ".join(f"{n} {types[n]}" for n in names)
+    return by_group(rows, keys).groupBy(*keys).cogroup(by_group(pairs, keys).groupBy(*keys)).applyInPandas(fold, schema)
+
+
+def merge_runs(donor_steps: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """Map every donor step to a merged state.
+
+    Input: donor steps with ``run_order``, ``seq``, ``step``, ``c`` and ``sig``. Output:
+    keys, trajectory_id, seq, merged_id, is_new, branch_from.
+    """
+    order = donor_steps.select(*keys, "trajectory_id", "run_order").distinct()
+    return merge_cells(donor_steps, order, [], keys).drop("run_order")
+
+
+def prefixes(mapping: DataFrame, sizes: Sequence[int], cell: Sequence[str]) -> DataFrame:
+    """``mapping`` once per number of runs ``k``: the rows of the first k runs of every cell that has as many."""
+    has = mapping.groupBy(*cell).agg(F.max("run_order").alias("_n"))
+    k = F.explode(F.filter(F.array(*[F.lit(k) for k in sizes]), lambda k: (k <= F.col("_n")) & (k >= F.col("run_order"))))
+    return mapping.join(has, list(cell)).select(k.alias("k"), *mapping.columns)
 
 
 def merge_stats(donor_steps: DataFrame, mapping: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:

@@ -13,7 +13,7 @@ from runloom.plans import dataset as D
 from runloom.plans.adapter import staged_steps
 from runloom.plans.catalog_steps import with_coherence
 from runloom.plans.store import staged
-from runloom.plans.studies import scored
+from runloom.plans import studies as S
 
 K = ["task_id", "trajectory_id"]
 QUERIES = {}
@@ -82,9 +82,16 @@ def disc_sql(g, src="ls", low=False):
 add("auroc", lambda s, d: rounded(E.discrimination(long_scores(s, d), ["score_type"]).select("score_type", "num_passed", "num_failed", "auroc")),
     sql("").rstrip() + disc_sql("score_type") + " SELECT score_type, pp AS num_passed, nn AS num_failed, round(auroc, 6) AS auroc FROM ds")
 add("ks_2samp", lambda s, d: rounded(E.discrimination(long_scores(s, d), ["score_type"]).select("score_type", "ks_statistic", "ks_pvalue")),
-    sql("").rstrip() + disc_sql("score_type") + """ SELECT score_type, round(ks, 6) AS ks_statistic, round(CASE WHEN lam < 0.04 THEN 1.0::DOUBLE ELSE greatest(0, least(1, 2 * list_sum(
-      list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) * exp(-2.0 * k * k * lam * lam))))) END, 6) AS ks_pvalue
-    FROM (SELECT *, ks * sqrt(CAST(pp AS DOUBLE) * nn / (pp + nn)) AS lam FROM ds)""")
+    (sql("").rstrip() + disc_sql("score_type")).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ lat AS (SELECT score_type, ks, CAST(pp AS BIGINT) AS pp, CAST(nn AS BIGINT) AS nn, CAST(round(ks * pp * nn) AS BIGINT) AS k0 FROM ds),
+ -- row i holds, for each j, the share of the paths to (i, j) that stay inside
+ kr AS (SELECT score_type, ks, pp, nn, k0, CAST(0 AS BIGINT) AS i, list_transform(range(0, nn + 1), lambda j: CASE WHEN j * pp < k0 THEN 1.0::DOUBLE ELSE 0 END) AS r FROM lat
+   UNION ALL
+   SELECT score_type, ks, pp, nn, k0, i + 1, list_reduce(list_prepend([CASE WHEN (i + 1) * nn < k0 THEN r[1] ELSE 0::DOUBLE END],
+       list_transform(range(1, nn + 1), lambda j: [j::DOUBLE, r[j + 1]])),
+     lambda acc, x: list_append(acc, CASE WHEN abs((i + 1) * nn - x[1] * pp) < k0 THEN ((i + 1) * x[2] + x[1] * acc[-1]) / (i + 1 + x[1]) ELSE 0::DOUBLE END))
+   FROM kr WHERE i < pp)
+ SELECT score_type, round(ks, 6) AS ks_statistic, round(1 - r[nn + 1], 6) AS ks_pvalue FROM kr WHERE i = pp""")
 add("youden_threshold", lambda s, d: rounded(E.discrimination(long_scores(s, d), ["score_type"]).select("score_type", "threshold").join(
     E.discrimination(long_scores(s, d), ["score_type"], lowest=True).select("score_type", F.col("threshold").alias("lowest")), "score_type")),
     sql("").rstrip() + disc_sql("score_type") + " SELECT score_type, max(t) AS threshold, min(t) AS lowest FROM cj JOIN bj USING (score_type) WHERE j = bj GROUP BY 1")
@@ -182,20 +189,64 @@ add("holdout_split", lambda s, d: E.holdout_split(D.runs(s, d), 3, 2, 2), """SEL
   WHERE a = 3 AND b >= 1 AND c >= 1 AND r <= CASE WHEN passed THEN 5 ELSE 2 END""")
 
 # --- studies over repeated draws ---------------------------------------------------------
-add("holdout_scores", lambda s, d: rounded(scored(s, d).where("k = 3 AND perm_id = 0").groupBy(*K, "passed").agg(
-    F.count(F.lit(1)).alias("draws"), *[F.avg(c).alias(c) for c in ("coverage_percent", "process_coverage", "combined_score")])))
-
-
-def _per_draw(s, d, *cols):
-    long = E.unpivot_scores(scored(s, d), cols, ["k", "draw_id", "perm_id", "passed"])
-    return E.discrimination(long, ["k", "draw_id", "perm_id", "score_type"])
-
-
-add("merge_count_study", lambda s, d: rounded(E.spread(_per_draw(s, d, "coverage_percent", "combined_score").where("perm_id = 0"), "auroc", ["k", "score_type"])))
-add("merge_order_study", lambda s, d: rounded(E.order_variance(scored(s, d).groupBy("k", "draw_id", "perm_id").agg(F.avg("combined_score").alias("score")))))
-add("resample_study", lambda s, d: rounded(E.spread(_per_draw(s, d, "quality_score", "process_score").where("perm_id = 0 AND k = 3"), "auroc", ["score_type"])))
-add("resample_tiers", lambda s, d: rounded(E.spread(E.tier_distribution(scored(s, d).where("perm_id = 0 AND k = 3").withColumn(
-    "tier", A.revised_tier(F.col("quality_score"), F.col("passed"))), "tier", ("draw_id",)), "pct", ["passed", "tier"])))
-add("evaluate_own_runs", lambda s, d: rounded(scored(s, d).withColumn("tier", A.revised_tier(F.col("quality_score"), F.col("passed"))).groupBy(*K).agg(
-    F.avg("quality_score").alias("mean_score"), F.stddev_pop("quality_score").alias("std_score"), F.min("quality_score").alias("min_score"),
-    F.max("quality_score").alias("max_score"), F.countDistinct("tier").alias("tiers"))))
+SCORES_OF_STUDY = ("structural", "process", "combined")
+# Published shares of tiers in percent, and published areas under the curve.
+PUBLISHED_TIERS = {"ideal": 20.2, "lucky": 10.7, "partial_fail": 54.9, "off_track": 45.1}
+PUBLISHED_AUROC = {"quality_score": 0.886, "process_score": 0.766}
+
+add("holdout_scores", lambda s, d: rounded(S.holdout(s, d)["scores"].groupBy(*K, "passed").agg(
+    F.count(F.lit(1)).alias("draws"), *[F.avg(c).alias(c) for c in (*SCORES_OF_STUDY, "weighted_score", "coherence_score")])))
+
+
+def _per_task(scores, cell):
+    """Discrimination of the test set per task and graph, for each score."""
+    return E.discrimination(E.unpivot_scores(scores, SCORES_OF_STUDY, [*cell, "passed"]), [*cell, "score_type"])
+
+
+def merge_count_study(s, d):
+    """The curve: per number of merged runs, means over tasks and draws of areas, accuracies and score gaps, and the pooled area."""
+    scores, cell = S.merge_counts(s, d)["scores"], ["k", "draw_id", "task_id"]
+    per = _per_task(scores, cell).withColumn("gap", F.col("pass_mean") - F.col("fail_mean"))
+    by = ["k", "score_type"]
+    out = per.groupBy(*by).agg(F.count(F.lit(1)).alias("graphs"), F.countDistinct("task_id").alias("tasks"), *[f(c).alias(f"{c}_{n}") for c in (
+        "auroc", "accuracy", "gap") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+    pooled = E.discrimination(E.unpivot_scores(scores, SCORES_OF_STUDY, ["k", "passed"]), by).select(*by, F.col("auroc").alias("micro_auroc"))
+    sizes = S.merge_counts(s, d)["states"].groupBy("k", "draw_id", "task_id").agg(F.count(F.lit(1)).alias("_n")).groupBy("k").agg(F.avg("_n").alias("states_mean"))
+    return rounded(out.join(pooled, by).join(sizes, "k"))
+
+
+add("merge_count_study", merge_count_study)
+add("merge_order_study", lambda s, d: rounded(E.order_variance(_per_task(S.merge_orders(s, d)["scores"], ["k", "draw_id", "perm_id", "task_id"]),
+                                                               "auroc", ["task_id", "score_type"])))
+add("merge_order_scores", lambda s, d: rounded(E.order_variance(E.unpivot_scores(S.merge_orders(s, d)["scores"], SCORES_OF_STUDY, [
+    *S.CELL, "trajectory_id"]).groupBy(*S.CELL, "score_type").agg(F.avg("score").alias("score")), "score", ["task_id", "score_type"])))
+add("resample_study", lambda s, d: rounded(E.in_range(E.spread(E.discrimination(E.unpivot_scores(
+    S.resamples(s, d)["scores"], ("quality_score", "process_score"), ["draw_id", "passed"]), ["draw_id", "score_type"]),
+    "auroc", ["score_type"]), PUBLISHED_AUROC, "score_type")))
+add("resample_tiers", lambda s, d: rounded(E.in_range(E.resampled_tiers(S.resamples(s, d)["scores"].withColumn(
+    "tier", A.revised_tier(F.col("quality_score"), F.col("passed")))), PUBLISHED_TIERS, "tier")))
+
+
+def own_runs(s, d):
+    return staged(s, "own_runs", d, lambda: E.over_draws(S.resamples(s, d)["scores"], S.own_run_waste(s, d), _KINDS, S.CELL))
+
+
+add("evaluate_own_runs", own_runs)
+add("own_run_rollup", lambda s, d: E.own_run_rollup(own_runs(s, d), _KINDS))
+
+_RUNS = "SELECT DISTINCT CAST(user_id // 10 AS INTEGER) AS task_id, user_id AS trajectory_id, user_id % 10 < 6 AS passed FROM events"
+_TEST = f"""run AS ({_RUNS}), rk AS (SELECT *, row_number() OVER (PARTITION BY task_id, passed ORDER BY md5('42:' || trajectory_id), trajectory_id) AS r FROM run),
+test AS (SELECT task_id, trajectory_id, passed FROM (SELECT *, count(*) OVER (PARTITION BY task_id) AS n FROM rk WHERE r <= 2) WHERE n = 4),
+pool AS (SELECT task_id, trajectory_id FROM run WHERE passed AND task_id IN (SELECT task_id FROM test) AND trajectory_id NOT IN (SELECT trajectory_id FROM test)),
+drawn AS (SELECT task_id, draw_id, trajectory_id, row_number() OVER (PARTITION BY task_id, draw_id ORDER BY md5((42 + draw_id) || ':' || trajectory_id), trajectory_id) AS run_order
+          FROM pool, (SELECT unnest(range(5)) AS draw_id))"""
+add("study_test_runs", lambda s, d: S.test_runs(s, d), f"WITH {_TEST} SELECT * FROM test")
+add("study_draws", lambda s, d: E.draw_grid(S._pool(s, d), max(S.COUNTS), S.DRAWS).select(
+    "task_id", F.col("draw_id").cast("long"), "trajectory_id", F.col("run_order").cast("long")),
+    f"WITH {_TEST} SELECT task_id, draw_id, trajectory_id, run_order FROM drawn WHERE run_order <= 8")
+add("study_orders", lambda s, d: E.order_grid(S._pool(s, d), S.ORDER_K, S.COMBINATIONS, S.ORDERS).select(
+    "task_id", F.col("draw_id").cast("long"), "trajectory_id", F.col("run_order").cast("long")).groupBy("task_id", "draw_id", "trajectory_id", "run_order")
+    .agg(F.count(F.lit(1)).alias("orders")),
+    f"""WITH {_TEST}, three AS (SELECT task_id, draw_id, list(trajectory_id ORDER BY trajectory_id) AS m FROM drawn WHERE run_order <= 3 AND draw_id < 4
+      GROUP BY 1, 2 HAVING count(*) = 3), once AS (SELECT task_id, m, min(draw_id) AS draw_id FROM three GROUP BY 1, 2)
+    SELECT task_id, draw_id, unnest(m) AS trajectory_id, o AS run_order, CAST(2 AS BIGINT) AS orders FROM once, (SELECT unnest(range(1, 4)) AS o)""")

@@ -329,6 +329,37 @@ DONOR_SQL = """dn AS (SELECT task_id, trajectory_id, rk FROM (SELECT task_id, tr
 add("select_donors", lambda s, d: D.donors(s, d).select(*K, F.col("run_order").cast("long")),
     f"WITH {DONOR_SQL} SELECT task_id, trajectory_id, rk AS run_order FROM dn")
 add("merge_runs", lambda s, d: D.mapping(s, d))
+
+
+def fold_pairs(s, d):
+    """The task's first run folded with each other run: one cell per run, every run's steps sent once."""
+    lone = lone_cand(s, d).select(*K).distinct().withColumn("cell", F.col("trajectory_id"))
+    first = lone_ref(s, d).select("task_id", F.col("trajectory_id").alias("_r")).distinct()
+    grid = lone.join(first, "task_id").select("task_id", "cell", F.inline(F.array(
+        F.struct(F.col("_r").alias("trajectory_id"), F.lit(1).alias("run_order")), F.struct("trajectory_id", F.lit(2).alias("run_order")))))
+    return staged(s, "fold_pairs", d, lambda: G.merge_cells(D.sig_steps(s, d), grid, ["cell"]))
+
+
+#: The same fold by recursion over the second run's steps; ``w`` is the cursor in the first run.
+FOLD_SQL = RBASE + """, rn AS (SELECT task_id, max(n_steps) AS m FROM lab WHERE trajectory_id % 10 = 0 GROUP BY 1),
+rc AS (SELECT DISTINCT task_id, trajectory_id, n_steps AS n, m FROM lab JOIN rn USING (task_id) WHERE trajectory_id % 10 <> 0),
+yes AS (SELECT trajectory_id, rs, cs FROM pr WHERE v LIKE 'y:%'),
+fold AS (SELECT task_id, trajectory_id, n, m, CAST(0 AS BIGINT) AS seq, CAST(1 AS BIGINT) AS w, CAST(0 AS BIGINT) AS added, CAST(1 AS BIGINT) AS merged_id,
+    FALSE AS is_new, CAST(NULL AS BIGINT) AS b FROM rc
+  UNION ALL
+  SELECT task_id, trajectory_id, n, m, seq + 1, CASE WHEN hit THEN w + 1 ELSE w END, CASE WHEN hit THEN added ELSE added + 1 END,
+    CASE WHEN hit THEN w + 1 ELSE m + added + 1 END, NOT hit, CASE WHEN NOT hit AND w < m THEN w + 1 ELSE b END
+  FROM (SELECT fold.*, yes.rs IS NOT NULL AS hit FROM fold LEFT JOIN yes ON yes.trajectory_id = fold.trajectory_id AND yes.rs = fold.w AND yes.cs = fold.seq + 1
+        WHERE fold.seq + 1 < n))"""
+add("fold_pairs", lambda s, d: fold_pairs(s, d).where("run_order = 2").select(
+    *K, "seq", F.col("merged_id").cast("long"), "is_new", F.col("branch_from").cast("long")),
+    FOLD_SQL + " SELECT task_id, trajectory_id, seq, merged_id, is_new, CASE WHEN is_new THEN b END AS branch_from FROM fold")
+add("fold_stats", lambda s, d: G.prefixes(fold_pairs(s, d), (1, 2), ["task_id", "cell"]).groupBy("k", "task_id", "cell").agg(
+    F.count_if("is_new").alias("states_added"), F.count_if(~F.col("is_new")).alias("states_merged"),
+    F.countDistinct(F.when(F.col("is_new"), F.col("branch_from"))).alias("branch_points")).select(
+    F.col("k").cast("long"), "task_id", "cell", "states_added", "states_merged", "branch_points"),
+    FOLD_SQL + """ SELECT CAST(1 AS BIGINT) AS k, task_id, trajectory_id AS cell, m AS states_added, CAST(0 AS BIGINT) AS states_merged, CAST(0 AS BIGINT) AS branch_points FROM rc
+    UNION ALL SELECT 2, task_id, trajectory_id, CAST(max(m) + count_if(is_new) AS BIGINT), CAST(count_if(NOT is_new) AS BIGINT), count(DISTINCT CASE WHEN is_new THEN b END) FROM fold GROUP BY 2, 3""")
 add("merge_stats", lambda s, d: G.merge_stats(D.donor_steps(s, d), D.mapping(s, d)).select(
     "task_id", F.col("traces_merged").cast("long"), (F.col("states_added") + F.col("states_merged")).alias("steps")),
     f"WITH {DONOR_SQL} SELECT task_id, CAST(3 AS BIGINT) AS traces_merged, count(*) AS steps FROM dn JOIN events ON user_id = trajectory_id GROUP BY 1")

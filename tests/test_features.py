@@ -108,3 +108,27 @@ def test_segments_of_short_runs(spark):
     got = {r.trajectory_id: [r[c] for c in ("c0E", "c1E", "c2E")] for r in X.segment_counts(st).collect()}
     assert got == {0: [1, 0, 0], 1: [1, 1, 0], 2: [2, 2, 3]}
     assert list(itertools.chain(*got.values()))
+
+
+def test_exact_ks_counts_paths():
+    """All lattice paths by brute force for n, m up to 12 at every value that the statistic can take."""
+    from fractions import Fraction
+    from math import comb
+
+    from runloom.operators.evaluate import paths_outside
+
+    def inside(k, n, m):
+        ways = {}
+        for i in range(n + 1):
+            for j in range(m + 1):
+                if abs(i * m - j * n) < k:
+                    ways[i, j] = 1 if not i and not j else ways.get((i - 1, j), 0) + ways.get((i, j - 1), 0)
+        return ways.get((n, m), 0)
+    for n in range(1, 13):
+        for m in range(1, 13):
+            for k in {abs(i * m - j * n) for i in range(n + 1) for j in range(m + 1)}:
+                want = 1 - Fraction(inside(k, n, m), comb(n + m, n)) if k else 1
+                assert abs(paths_outside(k, n, m) - float(want)) <= 1e-12 * max(1e-3, float(want)), (k, n, m)
+    # Larger groups: near the series, also where counts exceed the range of doubles; tiny values keep digits.
+    assert abs(paths_outside(2000 * 100, 2000, 2000) - 0.0134) < 2e-3
+    assert 0 < paths_outside(60 * 60, 60, 60) == 2 / comb(120, 60) or abs(paths_outside(3600, 60, 60) * comb(120, 60) / 2 - 1) < 1e-9

@@ -82,13 +82,35 @@ def _fold_loop(runs, equal):
 
 def test_merge_fold_matches_a_loop():
     rnd = random.Random(6)
+    equal = {(a, a) for a in range(4)}
     for _ in range(50):
-        runs = [[rnd.randrange(4) for _ in range(rnd.randrange(1, 8))] for _ in range(3)]
-        steps = pd.DataFrame([(f"t{r}", r + 1, i, i, s) for r, run in enumerate(runs) for i, s in enumerate(run)],
-                             columns=["trajectory_id", "run_order", "seq", "step", "sid"])
-        pairs = pd.DataFrame([(a, a) for a in range(4)], columns=["a", "b"])
-        got = G._fold(steps, pairs)["merged_id"].tolist()
-        assert got == _fold_loop(runs, {(a, a) for a in range(4)})
+        runs = [[rnd.randrange(4) for _ in range(rnd.randrange(1, 8))] for _ in range(4)]
+        rows = [(r, [(i, i, s) for i, s in enumerate(run)]) for r, run in enumerate(runs)]
+        got = G._fold(rows, equal)
+        assert [x[2] for x in got] == _fold_loop(runs, equal)
+        for k in (1, 2, 3):  # the first runs' rows are the fold of these runs
+            assert G._fold(rows[:k], equal) == [x for x in got if x[0] < k]
+
+
+def test_cells_and_prefixes(spark):
+    """Many cells of a task in one group give what each gives alone; prefixes are the smaller graphs."""
+    from runloom.operators.equivalence import with_signature
+    from runloom.plans import dataset as D
+    d = "/root/testdata/sf0.001"
+    steps = D.sig_steps(spark, d).where("task_id < 2")
+    grid = E.draw_grid(D.runs(spark, d).where("task_id < 2 AND passed"), 4, 3)
+    whole = G.merge_cells(steps, grid, ["draw_id"]).cache()
+    some = G.prefixes(whole, (2, 4), ["draw_id", "task_id"]).where("k = 2").drop("k")
+    alone = G.merge_cells(steps, grid.where("run_order <= 2"), ["draw_id"])
+    assert sorted(map(tuple, some.select(alone.columns).collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
+    one = G.merge_runs(steps.join(grid.where("draw_id = 1"), ["task_id", "trajectory_id"]))
+    assert sorted(map(tuple, whole.where("draw_id = 1").select(one.columns).collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+
+
+def test_orders_are_distinct_and_complete():
+    from math import factorial
+    assert sorted(E.nth_order(n, 4) for n in range(24)) == sorted(map(list, __import__("itertools").permutations([1, 2, 3, 4])))
+    assert factorial(4) == 24
 
 
 def _all_paths(edges, root, ends, cap):
