@@ -13,7 +13,7 @@
 * **Verification** on full sets of 64-bit shingle hashes, once per pair.
 
 ``jaccard_links`` returns every link between nodes. ``jaccard_groups`` wants components only: each
-list's members are first compared with its smallest node (a star, linear in the list), then only
+list's members are first compared with one of them (a star, linear in the list), then only
 members of different components with each other. That search deals a list into bands of partner
 sizes and blocks of ``BLOCK`` members with 32 bytes a row, and returns at most ``few`` pairs of two
 components per block. Where it had more, it runs again after these are verified, with eight times
@@ -219,16 +219,22 @@ class _Join:
         own = written(prefixes, "prefixes").join(self.classes.withColumnRenamed("first", "doc_id"), [*key, "doc_id"])
         own = written(own.select("node", "n", "prefix", "parts"), "own")
         self.parts = own.select("node", "n", "parts")
-        postings = own.select("node", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("pos", "token")).where(_reach(F.col("n"), F.col("pos"), percent) >= need(F.col("n"), percent))
-        lists = postings.groupBy("token").agg(F.min("node").alias("center"), F.max("node").alias("_last")).where("center <> _last")
-        self.shared = written(postings.join(lists.select("token", "center"), "token"), "shared")
+        where = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")  # size and place in one number: half the shuffle
+        postings = own.select("node", "n", F.posexplode("prefix").alias("pos", "token")).where(
+            _reach(F.col("n").cast("long"), F.col("pos"), percent) >= need(F.col("n").cast("long"), percent)).select("token", "node", where.alias("at"))
+        lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
+        met = written(postings.join(lists, "token").select("token", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0x7FFFFFFF).alias("pos")), "met")
+        # The center is the member with the fewest rarer shingles of its own: of edited copies, the original.
+        centers = met.groupBy("token").agg(F.min(F.struct("pos", "node"))["node"].alias("center"))
+        self.shared = written(met.join(centers, "token"), "shared")
 
     def star_pairs(self) -> DataFrame:
-        """(a, b): members that can link with their list's smallest node."""
+        """(a, b): members that can link with their list's center."""
         ends = self.shared.where("node <> center").select("token", F.col("center").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
         hubs = self.shared.where("node = center").select("token", F.col("n").alias("na"), F.col("pos").alias("pa"))
         reach = [_reach(F.col(f"n{c}"), F.col(f"p{c}"), self.percent) for c in "ab"]
-        return ends.join(hubs, "token").where((reach[0] >= F.col("nb")) & (reach[1] >= F.col("na"))).select("a", "b").distinct()
+        return ends.join(hubs, "token").where((reach[0] >= F.col("nb")) & (reach[1] >= F.col("na"))).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def list_pairs(self, labels: DataFrame | None, few: int | None) -> DataFrame:
         """(a, b, more): pairs of members that can link, without those of the stars; with ``labels`` only
