@@ -4,6 +4,10 @@ Distinct step contents (signatures) are compared once per task. Every rule that
 answer "yes" implies equality of some derived value, so each signature emits the values
 it could match on (block keys) and only signatures sharing a key are compared; the full
 cascade then decides. No all-pairs product is ever formed.
+
+Rules on word overlap use prefixes: a set's words are ordered by rarity in the task, and two
+sets of a Jaccard similarity of t share one of the first n - ceil(t n) + 1 words of each. The
+join on keys moves ids only; contents meet the distinct pairs once, afterwards.
 """
 
 from __future__ import annotations
@@ -107,13 +111,40 @@ def block_keys(c: Column, side: str) -> Column:
         key("query", c["query"], when=c["strategy"] == "query"), key("args", c["args"]),
         key("request", when=c["kind"] == "request"),
         key(f"bare{wild}", when=no_entry), key(f"bare{offer}")))
-    words = F.when(command & (c["cgroup"] == "search"), T.word_set(c["target"])) \
-        .when(c["strategy"] == "query", T.word_set(c["query"])).otherwise(F.array().cast("array<string>"))
-    many = F.concat(
-        F.transform(F.when(c["grp_tool"] != "", c["files"]).otherwise(F.array().cast("array<string>")),
-                    lambda f: F.concat_ws("\u0001", F.lit("mod"), fam, f)),
-        F.transform(words, lambda w: F.concat_ws("\u0001", F.lit("word"), fam, w)))
-    return F.array_distinct(F.concat(single, many))
+    files = F.transform(F.when(c["grp_tool"] != "", c["files"]).otherwise(F.array().cast("array<string>")),
+                        lambda f: F.concat_ws("\u0001", F.lit("mod"), fam, f))
+    return F.array_distinct(F.concat(single, files))
+
+
+def compared_words(c: Column) -> Column:
+    """(rule, words) of contents that a word-overlap rule can compare: search targets, queries."""
+    search = (c["strategy"] == "command") & (c["command"] != "") & (c["cgroup"] == "search")
+
+    def row(rule, words):
+        return F.struct(F.concat_ws("\u0001", F.lit(rule), c["fam"]).alias("rule"), words.alias("words"))
+    return F.when(search, row("search", T.word_set(c["target"]))).when(c["strategy"] == "query", row("query", T.word_set(c["query"])))
+
+
+def word_keys(ref: DataFrame, cand: DataFrame, keys: Sequence[str], every: bool = False) -> DataFrame:
+    """Prefix words of both sides: keys, side, sig, key, n (size of the word set), per_cent (of the rule).
+
+    Rarity is counted over the distinct contents of a task; ties go by the word. With ``every`` all words
+    are keys, for rules that ask for less overlap."""
+    keys = list(keys)
+
+    def rows(df, side):
+        return df.withColumn("_w", compared_words(F.col("c"))).where("size(_w.words) > 0").select(
+            *keys, F.lit(side).alias("side"), "sig", "_w.rule", "_w.words", F.size("_w.words").alias("n"))
+    both = rows(ref, "ref").unionByName(rows(cand, "cand"))
+    word = both.select(*keys, "side", "sig", "rule", "n", F.explode("words").alias("word"))
+    count = word.groupBy(*keys, "rule", "word").agg(F.count(F.lit(1)).alias("_c"))
+    per_cent = F.when(F.col("rule").startswith("search"), int(SEARCH_OVERLAP * 100)).otherwise(int(QUERY_OVERLAP * 100))
+    per_cent = F.lit(1) if every else per_cent
+    first = F.col("n") - F.ceil(F.col("n") * F.col("per_cent") / 100).cast("int") + 1
+    ordered = word.join(count, [*keys, "rule", "word"]).groupBy(*keys, "side", "sig", "rule", "n").agg(
+        F.array_sort(F.collect_list(F.struct("_c", "word"))).alias("_o")).withColumn("per_cent", per_cent)
+    return ordered.select(*keys, "side", "sig", "rule", "n", "per_cent", F.explode(F.slice("_o", 1, first)).alias("_f")).select(
+        *keys, "side", "sig", F.xxhash64("rule", "_f.word").alias("key"), "n", "per_cent")
 
 
 def cascade(a: Column, b: Column, use_stage: bool = True,
@@ -210,31 +241,46 @@ def equivalence_pairs(ref: DataFrame, cand: DataFrame, keys: Sequence[str] = ("t
                       extra_keys: Callable[[Column], Column] | None = None) -> DataFrame:
     """Equivalent signature pairs: keys, ref_sig, cand_sig, confidence, method.
 
-    A ``resolver`` sees the pairs that share a block key; ``extra_keys`` adds keys (an array
+    A ``resolver`` sees the pairs that share a block key or any word; ``extra_keys`` adds keys (an array
     of text per content) for rules that match on something else.
 
     Inputs carry ``c`` and ``sig``. The reference side is one graph per key; candidates
     may be many, so the work is linear in distinct candidate signatures.
     """
     keys = list(keys)
+    ref, cand = (df.groupBy(*keys, "sig").agg(F.first("c").alias("c")) for df in (ref, cand))
+    pairs = candidate_pairs(ref, cand, keys, use_stage, extra_keys, every_word=resolver is not None)
+    for df, name in ((ref, "ref"), (cand, "cand")):
+        pairs = pairs.join(df.select(*keys, F.col("sig").alias(f"{name}_sig"), F.col("c").alias(name)), [*keys, f"{name}_sig"])
+    # Exploded instead of filtered: a filter would be pushed down with a second copy of the long rule.
+    verdict = F.filter(F.array(cascade(F.col("ref"), F.col("cand"), use_stage, resolver)), lambda v: v["equivalent"])
+    return pairs.select(*keys, "ref_sig", "cand_sig", F.explode(verdict).alias("_v")).select(
+        *keys, "ref_sig", "cand_sig", "_v.confidence", "_v.method")
+
+
+def candidate_pairs(ref: DataFrame, cand: DataFrame, keys: Sequence[str], use_stage: bool = True,
+                    extra_keys: Callable[[Column], Column] | None = None, every_word: bool = False) -> DataFrame:
+    """Distinct (keys, ref_sig, cand_sig) of contents (one row per ``sig``, with ``c``) that some rule may accept."""
+    keys = list(keys)
+    words = word_keys(ref, cand, keys, every_word)
 
     def side(df, name):
-        out = df.groupBy(*keys, "sig").agg(F.first("c").alias("c"))
         found = block_keys(F.col("c"), name)
         if extra_keys is not None:
             found = F.array_distinct(F.concat(found, extra_keys(F.col("c"))))
-        return out.select(*keys, F.col("sig").alias(f"{name}_sig"), F.col("c").alias(name),
-                          F.explode(found).alias("_key"))
-    pairs = side(ref, "ref").join(side(cand, "cand"), [*keys, "_key"])
+        plain = df.select(*keys, "sig", F.explode(F.transform(found, lambda k: F.xxhash64(k))).alias("key"), F.lit(None).cast("int").alias("n"),
+                          F.lit(None).cast("int").alias("per_cent"))
+        out = plain.unionByName(words.where(F.col("side") == name).drop("side"))
+        if use_stage:
+            out = out.join(df.select(*keys, "sig", F.col("c.stage").alias("stage")), [*keys, "sig"])
+        return out.select(*keys, "key", F.col("sig").alias(f"{name}_sig"), F.col("n").alias(f"{name}_n"),
+                          *([F.col("stage").alias(f"{name}_stage")] if use_stage else []), *(["per_cent"] if name == "ref" else []))
+    met = side(ref, "ref").join(side(cand, "cand"), [*keys, "key"])
+    long_enough = F.least("ref_n", "cand_n") * 100 >= F.greatest("ref_n", "cand_n") * F.col("per_cent")
+    met = met.where(F.coalesce(long_enough, F.lit(True)))
     if use_stage:
-        pairs = pairs.where((F.col("ref.stage") == "") | (F.col("cand.stage") == "")
-                            | (F.col("ref.stage") == F.col("cand.stage")))
-    # One verdict per pair. Grouping also keeps the long rule expression out of every
-    # filter above it, where the optimizer would copy and compare it over and over.
-    verdict = cascade(F.col("ref"), F.col("cand"), use_stage, resolver)
-    judged = pairs.select(*keys, "ref_sig", "cand_sig", verdict.alias("_v")) \
-        .groupBy(*keys, "ref_sig", "cand_sig").agg(F.max("_v").alias("_v"))
-    return judged.where("_v.equivalent").select(*keys, "ref_sig", "cand_sig", "_v.confidence", "_v.method")
+        met = met.where("ref_stage = '' OR cand_stage = '' OR ref_stage = cand_stage")
+    return met.select(*keys, "ref_sig", "cand_sig").distinct()
 
 
 def equivalence_stats(ref: DataFrame, cand: DataFrame, pairs: DataFrame,

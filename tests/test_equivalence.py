@@ -1,8 +1,10 @@
 """Blocked equivalence join against the cascade on every pair."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from runloom.operators.equivalence import cascade, equivalence_pairs, with_signature
+from runloom.operators.equivalence import cascade, equivalence_pairs, with_signature, word_keys
 from runloom.operators.intent import label_intent
 from runloom.operators.normalize import ENTRY_FIELDS, states_from_entries
 
@@ -39,6 +41,36 @@ def test_blocked_join_finds_every_equivalent_pair(spark):
     assert got == want and len(got) > len(ROWS) - 3
 
 
+def test_word_prefixes_find_the_same_pairs_with_fewer_rows(spark):
+    """Many searches and queries of overlapping words: all pairs decided, at most half of the rows of a join on every word."""
+    rng = random.Random(4)
+    vocab = [f"word{i}" for i in range(60)]
+
+    def words(k):  # some words are far more frequent than others
+        return " ".join(vocab[min(59, int(rng.expovariate(0.06)))] for _ in range(k))
+    rows = []
+    for _ in range(36):
+        base = words(rng.randint(1, 14))
+        rows.append(dict(tool="grep_search", query=base, response="[]"))
+        if rng.random() < 0.5:
+            rows.append(dict(tool="grep_search", query=base + " " + words(rng.randint(1, 2)), response="hit"))
+        rows.append(dict(tool="run_in_terminal", command=f"grep -rn '{words(rng.randint(1, 6))}' src"))
+    st = with_signature(label_intent(states_from_entries(_entries(spark, [{**r, "run": "r0"} for r in rows]), confirm_last=False)))
+    sig = st.select("task_id", "sig", "c").dropDuplicates(["sig"]).cache()
+    a, b = (sig.select(F.col("sig").alias(f"{n}_sig"), F.col("c").alias(x)) for n, x in (("ref", "a"), ("cand", "b")))
+    want = {(r.ref_sig, r.cand_sig, r.v.method) for r in a.crossJoin(b).select("ref_sig", "cand_sig", cascade(F.col("a"), F.col("b")).alias("v"))
+            .where("v.equivalent").collect()}
+    assert {(r.ref_sig, r.cand_sig, r.method) for r in equivalence_pairs(st, st).collect()} == want
+
+    def joined(every):
+        k = word_keys(sig, sig, ["task_id"], every)
+        one = k.where("side = 'ref'").select("task_id", "key")
+        return one.join(k.where("side = 'cand'").select("task_id", "key"), ["task_id", "key"]).count()
+    slim, full = joined(False), joined(True)
+    print(f"rows joined on words: {full} on every word, {slim} on prefixes")
+    assert 2 * slim <= full
+
+
 def test_stage_gate_can_be_switched_off(spark):
     rows = [{**r, "run": "r0"} for r in ROWS]
     st = with_signature(label_intent(states_from_entries(_entries(spark, rows), confirm_last=False)))
