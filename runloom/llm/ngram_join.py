@@ -40,7 +40,7 @@ from runloom.plans.store import written
 WORDS = 4
 PERCENT = 85
 #: Buckets of the frequency table, one byte each when it is broadcast.
-RANK_BITS, SLICE_BITS = 22, 16
+RANK_BITS, SLICE_BITS = 24, 16
 PARTS = 64
 BLOCK = 2048
 #: Lists of up to so many members are joined as they are.
@@ -108,7 +108,7 @@ def _added(key: tuple, rows: pa.Table) -> pa.Table:
 
 def rank_table(counts: DataFrame) -> np.ndarray:
     """One byte per bucket, rising with the count, from the (slice, counts) rows of all tasks. Added up
-    on executors, in two steps where there are many tasks; the driver gets 4 MB whatever the input."""
+    on executors, in two steps where there are many tasks; the driver gets 16 MB whatever the input."""
     tasks = counts.count() >> (RANK_BITS - SLICE_BITS)
     salts = 1 + isqrt(tasks) // 16
     kind = "slice int, counts binary"
@@ -139,7 +139,7 @@ def _prefixes(words: int, percent: int, ranks, batches: Iterator[pa.RecordBatch]
                     # Stable by level: equal levels stay in the order of the shingles themselves.
                     first = s[np.argsort(level, kind="stable")[:p]].view(np.int64)
                     parts = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
-                    rows.append((doc_id, *_identity(s), first, parts.astype("<u2").tobytes() if parts.max() < 65536 else None))
+                    rows.append((doc_id, *_identity(s), first, parts.astype(np.uint8).tobytes() if parts.max() < 256 else None))
             for i in range(0, len(rows), 256):
                 doc_id, n, h1, h2, first, parts = zip(*rows[i:i + 256], strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -167,7 +167,7 @@ def _suffix(percent: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
             whole = (x["pa"].notna() & x["pb"].notna()).to_numpy()
             ok = ~whole  # texts beyond the counters' range are verified in any case
             if whole.any():
-                a, b = (np.frombuffer(b"".join(x.loc[whole, c]), "<u2").reshape(-1, PARTS) for c in ("pa", "pb"))
+                a, b = (np.frombuffer(b"".join(x.loc[whole, c]), np.uint8).reshape(-1, PARTS) for c in ("pa", "pb"))
                 n = x.loc[whole, "na"].to_numpy(np.int64) + x.loc[whole, "nb"].to_numpy(np.int64)
                 ok[whole] = np.minimum(a, b).sum(axis=1, dtype=np.int64) * (100 + percent) >= n * percent
             yield x.loc[ok, ["a", "b"]]
@@ -182,22 +182,27 @@ def _block_pairs(x: pd.DataFrame, percent: int, few: int | None) -> pd.DataFrame
     """Pairs of one block: a smaller (or equal) set with a larger one, by length and position, of
     different components; at most ``few`` of any two components, ``more`` if some were held back."""
     one, two = x[x["small"]], x[~x["small"]].sort_values(["n", "node"])
-    size, found = two["n"].to_numpy(), []
+    size = two["n"].to_numpy()
     node, pos, component = (two[c].to_numpy() for c in ("node", "pos", "component"))
     reach = (size - pos) * (100 + percent) // percent - size
-    for n, i, c, most in zip(one["n"].to_numpy(), one["node"].to_numpy(), one["component"].to_numpy(), one["reach"].to_numpy(), strict=True):
+    a: list[int] = []
+    b: list[int] = []
+    more, taken = False, {}
+    for n, i, c, most in zip(*(one[x].tolist() for x in ("n", "node", "component", "reach")), strict=True):
         lo, hi = np.searchsorted(size, n), np.searchsorted(size, most, side="right")
         ok = (reach[lo:hi] >= n) & (component[lo:hi] != c) & ((size[lo:hi] > n) | (node[lo:hi] > i))
         hit = lo + np.flatnonzero(ok)
-        if len(hit):
-            found.append(np.column_stack((np.full(len(hit), i), node[hit], np.minimum(c, component[hit]), np.maximum(c, component[hit]))))
-    out = pd.DataFrame(np.concatenate(found) if found else np.empty((0, 4), np.int64), columns=["a", "b", "ca", "cb"])
-    out["more"] = False
-    if few is not None and len(out) > few:
-        place = out.groupby(["ca", "cb"]).cumcount()
-        if (place >= few).any():
-            out = out[place < few].assign(more=True)
-    return pd.DataFrame({"a": out[["a", "b"]].min(axis=1), "b": out[["a", "b"]].max(axis=1), "more": out["more"]})
+        for j, other in zip(node[hit].tolist(), component[hit].tolist(), strict=True):
+            if few is not None:
+                key = (c, other) if c < other else (other, c)
+                k = taken.get(key, 0)
+                if k >= few:
+                    more = True
+                    continue
+                taken[key] = k + 1
+            a.append(min(i, j))
+            b.append(max(i, j))
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "more": more})
 
 
 class _Join:
@@ -225,7 +230,7 @@ class _Join:
         lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
         met = written(postings.join(lists, "token").select("token", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0x7FFFFFFF).alias("pos")), "met")
         # The center is the member with the fewest rarer shingles of its own: of edited copies, the original.
-        centers = met.groupBy("token").agg(F.min(F.struct("pos", "node"))["node"].alias("center"))
+        centers = met.groupBy("token").agg(F.min(F.struct("pos", "node"))["node"].alias("center"), F.count(F.lit(1)).alias("members"))
         self.shared = written(met.join(centers, "token"), "shared")
 
     def star_pairs(self) -> DataFrame:
@@ -244,7 +249,7 @@ class _Join:
         if labels is None:
             rows = rows.withColumn("component", F.col("node"))
         else:
-            rows = rows.where("node <> center").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            rows = rows.where("members > 2 AND node <> center").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rows = written(rows.select("token", "node", "n", "pos", "reach", "component"), "labelled")
         split = rows.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("members")).where("_lo <> _hi")
         rows = written(rows.join(split.select("token", "members"), "token"), "split")
