@@ -30,7 +30,7 @@ from math import isqrt, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.llm.components import components
@@ -228,18 +228,18 @@ class _Join:
         postings = own.select("node", "n", F.posexplode("prefix").alias("pos", "token")).where(
             _reach(F.col("n").cast("long"), F.col("pos"), percent) >= need(F.col("n").cast("long"), percent)).select("token", "node", where.alias("at"))
         lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
-        met = written(postings.join(lists, "token").select("token", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0x7FFFFFFF).alias("pos")), "met")
+        met = postings.join(lists, "token").select("token", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0x7FFFFFFF).alias("pos"))
         # The center is the member with the fewest rarer shingles of its own: of edited copies, the original.
-        centers = met.groupBy("token").agg(F.min(F.struct("pos", "node"))["node"].alias("center"), F.count(F.lit(1)).alias("members"))
-        self.shared = written(met.join(centers, "token"), "shared")
+        # The join has dealt and sorted the rows by shingle already, so the window adds no shuffle.
+        members = Window.partitionBy("token")
+        self.shared = written(met.select("*", F.min(F.struct("pos", "node", "n")).over(members).alias("center"), F.count(F.lit(1)).over(members).alias("members")), "shared")
 
     def star_pairs(self) -> DataFrame:
         """(a, b): members that can link with their list's center."""
-        ends = self.shared.where("node <> center").select("token", F.col("center").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        hubs = self.shared.where("node = center").select("token", F.col("n").alias("na"), F.col("pos").alias("pa"))
-        reach = [_reach(F.col(f"n{c}"), F.col(f"p{c}"), self.percent) for c in "ab"]
-        return ends.join(hubs, "token").where((reach[0] >= F.col("nb")) & (reach[1] >= F.col("na"))).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        n, pos = F.col("center.n"), F.col("center.pos")
+        fits = (_reach(n, pos, self.percent) >= F.col("n")) & (_reach(F.col("n"), F.col("pos"), self.percent) >= n)
+        return self.shared.where((F.col("node") != F.col("center.node")) & fits).select(
+            F.least("center.node", "node").alias("a"), F.greatest("center.node", "node").alias("b")).distinct()
 
     def list_pairs(self, labels: DataFrame | None, few: int | None) -> DataFrame:
         """(a, b, more): pairs of members that can link, without those of the stars; with ``labels`` only
@@ -249,7 +249,7 @@ class _Join:
         if labels is None:
             rows = rows.withColumn("component", F.col("node"))
         else:
-            rows = rows.where("members > 2 AND node <> center").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            rows = rows.where("members > 2 AND node <> center.node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rows = written(rows.select("token", "node", "n", "pos", "reach", "component"), "labelled")
         split = rows.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("members")).where("_lo <> _hi")
         rows = written(rows.join(split.select("token", "members"), "token"), "split")
@@ -298,14 +298,15 @@ class _Join:
         needed = written(self.classes.join(nodes, "node"), "needed")
         ids = needed.select(F.col("first").alias("doc_id")).distinct()
         if needed.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
+            ids, needed = F.broadcast(ids), F.broadcast(needed)
         sets = self.rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(partial(_sets, self.words), "n int, h1 long, h2 long, s array<long>")
-        sets = written(sets.join(needed.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).dropDuplicates(["node"]).select("node", "s"), "sets")
+        # Repeated rows give a set twice; the links are made distinct instead of the sets.
+        sets = written(sets.join(needed.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).select("node", "s"), "sets")
         for c in "ab":
             likely = likely.join(sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")), c)
         both = likely.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("overlap"), (F.size("sa") + F.size("sb")).alias("_sum"))
         linked = both.select("a", "b", "overlap", (F.col("_sum") - F.col("overlap")).alias("size"))
-        return written(linked.where(F.col("overlap").cast("long") * 100 >= F.col("size").cast("long") * self.percent), "links")
+        return written(linked.where(F.col("overlap").cast("long") * 100 >= F.col("size").cast("long") * self.percent).distinct(), "links")
 
 
 def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
