@@ -125,6 +125,13 @@ def compared_words(c: Column) -> Column:
     return F.when(search, row("search", T.word_set(c["target"]))).when(c["strategy"] == "query", row("query", T.word_set(c["query"])))
 
 
+def stream_keys(c: Column, side: str) -> Column:
+    """All keys of one content, every compared word included: for sides that are not seen as a whole."""
+    w = compared_words(c)
+    words = F.transform(F.coalesce(w["words"], F.array().cast("array<string>")), lambda x: F.xxhash64(w["rule"], x))
+    return F.array_distinct(F.concat(F.transform(block_keys(c, side), lambda k: F.xxhash64(k)), words))
+
+
 def word_keys(ref: DataFrame, cand: DataFrame, keys: Sequence[str], every: bool = False) -> DataFrame:
     """Prefix words of both sides: keys, side, sig, key, n (size of the word set), per_cent (of the rule).
 

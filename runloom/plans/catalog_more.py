@@ -94,20 +94,20 @@ def _folder(s, name):
     return f"{store.shared_root(s)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def match_input(s, d):
-    """Candidate steps with the positions they match on every reference path of their task."""
-    link = CM.lone_pairs(s, d).join(M.reference_ids(CM.lone_ref(s, d)).withColumnRenamed("sig", "ref_sig"), ["task_id", "ref_sig"]).groupBy(
-        "task_id", F.col("cand_sig").alias("sig")).agg(F.collect_set("rid").alias("rids"))
-    refs = CM.lone_refs(s, d).select("task_id", F.transform("paths", lambda p: p["rids"]).alias("paths"))
-    places = F.transform("paths", lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.coalesce(
-        F.array_contains("rids", F.get(p, i)), F.lit(False))))
-    return CM.lone_cand(s, d).select(*K, "seq", "sig").join(link, ["task_id", "sig"], "left").join(refs, "task_id").select(
-        *K, "seq", places.alias("places"), F.transform("paths", lambda p: F.size(p)).alias("lengths"))
-
-
-add("incremental_match", lambda s, d: L.drain(L.incremental_match(_stream_of(s, d, "match_input", lambda: match_input(s, d)), None), _folder(s, "incremental")).select(
-    *K, F.col("matched").cast("long").alias("matched"), F.col("new_offset").cast("long").alias("new_offset"), "overall_coverage_percent"),
-    CM.MBASE + " SELECT task_id, trajectory_id, sub AS matched, sub AS new_offset, round(sub * 100.0::DOUBLE / m, 2) AS overall_coverage_percent FROM s3 JOIN rc USING (trajectory_id)")
+def live_match(s, d):
+    """All candidate runs in buffers of twenty steps; equivalence is decided inside the stream."""
+    keyed, lengths = L.match_reference(CM.lone_ref(s, d), CM.lone_refs(s, d), M.reference_ids(CM.lone_ref(s, d)))
+    keyed = staged(s, "match_contents", d, lambda: keyed)
+    lengths = staged(s, "match_lengths", d, lambda: lengths)
+    steps = _buffers(s, d, "match_steps", lambda: CM.lone_cand(s, d).select(*K, "seq", "c"))
+    return L.drain(L.live_match(steps, keyed, lengths, None, overlap=False), _folder(s, "incremental"))
+
+
+_STREAM_SQL = CM.MBASE + """ SELECT task_id, trajectory_id, sub AS matched, sub AS new_offset, round(sub * 100.0::DOUBLE / m, 2) AS overall_coverage_percent
+    FROM s3 JOIN rc USING (trajectory_id)"""
+add("incremental_match", lambda s, d: live_match(s, d).groupBy(*K).agg(
+    F.sum("matched").alias("matched"), F.max("new_offset").cast("long").alias("new_offset"), F.max("overall_coverage_percent").alias("overall_coverage_percent")),
+    _STREAM_SQL)
 add("live_profile", lambda s, d: L.drain(L.live_profile(_buffers(s, d, "profile_input", lambda: staged_steps(s, d).select(
     *K, "seq", "tool_used", "file_path", "intent_stage")), None), _folder(s, "live")).groupBy(*K).agg(F.max_by(F.struct(
     "steps", "pivot", "backtrack", "confirm", "blind_retries", "coherence"), "steps").alias("r")).select(
