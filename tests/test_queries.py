@@ -10,7 +10,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry_module  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUICK = ("label_intent", "coherence", "equivalence_join", "set_coverage", "alignment", "auroc", "read_chatlog", "soft_match_f1", "live_profile")
+QUICK = ("label_intent", "coherence", "equivalence_join", "set_coverage", "alignment", "auroc", "read_chatlog", "soft_match_f1", "live_profile",
+         "fold_pairs", "fold_stats", "ks_2samp", "study_test_runs", "study_draws", "study_orders")
+STUDIES = ("holdout_scores", "merge_count_study", "merge_order_study", "merge_order_scores", "resample_study", "resample_tiers", "evaluate_own_runs", "own_run_rollup")
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +34,19 @@ def test_query_equals_check_sql(spark, sf, duck, name):
     assert sorted(names) == cols and got == want
 
 
+@pytest.mark.parametrize("name", STUDIES)
+def test_study_runs(spark, sf, name):
+    rows = entry_module.queries()[name](spark, sf).collect()
+    assert rows
+    if name == "merge_count_study":  # test runs are fixed: every merge count scores the same tasks' test sets
+        assert {r.k for r in rows} >= {2, 3, 4} and all(0 <= r.auroc_mean <= 1 for r in rows)
+    if name == "resample_tiers":
+        for passed in (True, False):
+            assert abs(sum(r["mean"] for r in rows if r.passed == passed) - 100) < 1e-3
+    if name == "merge_order_study":
+        assert all(r.orders <= 6 * r.combinations for r in rows)
+
+
 def test_every_check_belongs_to_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
