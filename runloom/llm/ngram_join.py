@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from runloom.llm.components import components
 from runloom.llm.hashing import NOT_BLANK, Powers, Words, as_bytes, blocks, mix
-from runloom.plans.store import written
+from runloom.plans.store import drop_path, shared_path, written
 
 WORDS = 4
 PERCENT = 85
@@ -205,6 +205,13 @@ def _block_pairs(x: pd.DataFrame, percent: int, few: int | None) -> pd.DataFrame
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "more": more})
 
 
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder, and its path, to be dropped when all that rests on it is written."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 class _Join:
     """The tables of one join: classes, members, parts (node, n, parts) and shared (token, node, n, pos, center)."""
 
@@ -212,18 +219,19 @@ class _Join:
         self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.words, self.percent = words, percent
         spark = docs.sparkSession
-        counted = written(self.rows.mapInArrow(partial(_counted, words), f"{_IDENTITY}, slice int, counts binary"), "counted")
-        self.identity = counted.where("slice IS NULL").select("doc_id", "n", "h1", "h2")
+        counted, path = _kept(self.rows.mapInArrow(partial(_counted, words), f"{_IDENTITY}, slice int, counts binary"), "counted")
+        self.identity = written(counted.where("slice IS NULL").select("doc_id", "n", "h1", "h2"), "identity")
         ranks = spark.sparkContext.broadcast(rank_table(counted.where("slice IS NOT NULL").select("slice", "counts")))
+        drop_path(spark, path)
         usable = self.identity.where("doc_id IS NOT NULL AND n > 0")
         key = ["h1", "h2", "n"]
         # Written, so that node numbers stay, and a class of many copies can be split in the joins below.
         self.classes = written(usable.groupBy(*key).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "classes")
         self.members = written(usable.join(self.classes.select(*key, "node"), key).select("doc_id", "node").distinct(), "members")
         prefixes = self.rows.mapInArrow(partial(_prefixes, words, percent, ranks), f"{_IDENTITY}, prefix array<long>, parts binary")
-        own = written(prefixes, "prefixes").join(self.classes.withColumnRenamed("first", "doc_id"), [*key, "doc_id"])
-        own = written(own.select("node", "n", "prefix", "parts"), "own")
-        self.parts = own.select("node", "n", "parts")
+        own = prefixes.join(self.classes.withColumnRenamed("first", "doc_id"), [*key, "doc_id"])
+        own, path = _kept(own.select("node", "n", "prefix", "parts"), "own")
+        self.parts = written(own.select("node", "n", "parts"), "parts")
         where = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")  # size and place in one number: half the shuffle
         postings = own.select("node", "n", F.posexplode("prefix").alias("pos", "token")).where(
             _reach(F.col("n").cast("long"), F.col("pos"), percent) >= need(F.col("n").cast("long"), percent)).select("token", "node", where.alias("at"))
@@ -233,6 +241,7 @@ class _Join:
         # The join has dealt and sorted the rows by shingle already, so the window adds no shuffle.
         members = Window.partitionBy("token")
         self.shared = written(met.select("*", F.min(F.struct("pos", "node", "n")).over(members).alias("center"), F.count(F.lit(1)).over(members).alias("members")), "shared")
+        drop_path(spark, path)
 
     def star_pairs(self) -> DataFrame:
         """(a, b): members that can link with their list's center."""
@@ -302,8 +311,9 @@ class _Join:
         sets = self.rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(partial(_sets, self.words), "n int, h1 long, h2 long, s array<long>")
         # Repeated rows give a set twice; the links are made distinct instead of the sets.
         sets = written(sets.join(needed.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).select("node", "s"), "sets")
-        for c in "ab":
-            likely = likely.join(sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")), c)
+        ends = [sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab"]
+        few = likely.count() <= BROADCAST_IDS
+        likely = ends[0].join(F.broadcast(likely) if few else likely, "a").join(ends[1], "b")
         both = likely.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("overlap"), (F.size("sa") + F.size("sb")).alias("_sum"))
         linked = both.select("a", "b", "overlap", (F.col("_sum") - F.col("overlap")).alias("size"))
         return written(linked.where(F.col("overlap").cast("long") * 100 >= F.col("size").cast("long") * self.percent).distinct(), "links")
