@@ -225,6 +225,8 @@ azure- general orchestration - other identity
 github-mcp-server- search exploration - search query
 """
 
+#: Up to so many user rows the registry is broadcast; beyond, it is an ordinary join.
+BROADCAST_ROWS = 10_000
 DEFAULT_ROW = ("general", "orchestration", "", "other", "identity", False)
 
 
@@ -282,8 +284,8 @@ def with_descriptor(df: DataFrame, tool: str = "tool_used",
                     extra: DataFrame | None = None) -> DataFrame:
     """Attach tool metadata: exact name, else first matching prefix, else default.
 
-    Without ``extra`` this is a projection. With user rows the table is joined;
-    it is broadcast only because the registry is a bounded configuration table.
+    Without ``extra`` this is a projection. With user rows the table is joined; up to
+    ``BROADCAST_ROWS`` of them it is broadcast.
     """
     name = F.coalesce(F.col(tool), F.lit(""))
     fallback = _descriptor(DEFAULT_ROW)
@@ -295,7 +297,8 @@ def with_descriptor(df: DataFrame, tool: str = "tool_used",
             *df.columns, *[F.col(f"_d.{a}").alias(a) for a in ATTRS])
     table = tool_registry(df.sparkSession, extra).select(
         F.col("tool").alias("_t"), F.struct(*ATTRS).alias("_d"))
-    joined = df.join(F.broadcast(table), name == F.col("_t"), "left")
+    small = extra.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = df.join(F.broadcast(table) if small else table, name == F.col("_t"), "left")
     return joined.withColumn("_d", F.coalesce("_d", fallback)).select(
         *df.columns, *[F.col(f"_d.{a}").alias(a) for a in ATTRS])
 

@@ -54,16 +54,16 @@ EXTENSION_LANGUAGE = {
     "ps1": "powershell",
     "sql": "sql",
     "html": "html",
-    "css": "css",
     "htm": "html",
-    "scss": "css",
-    "markdown": "markdown",
+    "xml": "xml",
+    "css": "css",
+    "scss": "scss",
     "json": "json",
     "yaml": "yaml",
     "yml": "yaml",
     "toml": "toml",
-    "xml": "xml",
     "md": "markdown",
+    "markdown": "markdown",
 }
 # Language to display name.
 LANGUAGE_NAMES = {

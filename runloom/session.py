@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -26,13 +23,3 @@ def get_session(app: str = "runloom", master: str | None = None, **conf: str) ->
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; pick a local one only if none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        spark.sparkContext.setCheckpointDir(named)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        base = os.environ.get("TMPDIR", "/tmp")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=base))

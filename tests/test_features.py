@@ -132,3 +132,21 @@ def test_exact_ks_counts_paths():
     # Larger groups: near the series, also where counts exceed the range of doubles; tiny values keep digits.
     assert abs(paths_outside(2000 * 100, 2000, 2000) - 0.0134) < 2e-3
     assert 0 < paths_outside(60 * 60, 60, 60) == 2 / comb(120, 60) or abs(paths_outside(3600, 60, 60) * comb(120, 60) / 2 - 1) < 1e-9
+
+
+def test_languages_of_style_sheets_and_markup():
+    from runloom.functions.text import EXTENSION_LANGUAGE
+    want = {"css": "css", "scss": "scss", "htm": "html", "xml": "xml", "md": "markdown"}
+    assert {k: EXTENSION_LANGUAGE[k] for k in want} == want
+
+
+def test_many_user_tools_are_joined_without_a_broadcast(spark, monkeypatch):
+    from runloom.functions import registry as R
+    names = R.tool_registry(spark).columns
+    row = dict(zip(names, R.tool_registry(spark).first()))
+    extra = spark.createDataFrame([tuple({**row, "tool": f"mine{i}"}.values()) for i in range(3)], R.tool_registry(spark).schema)
+    df = spark.createDataFrame([("mine1",), ("other",), (None,)], "tool string")
+    plain = sorted(map(str, R.with_descriptor(df, "tool", extra).collect()))
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 2)
+    slim = R.with_descriptor(df, "tool", extra)
+    assert sorted(map(str, slim.collect())) == plain and len(plain) == 3
