@@ -180,6 +180,19 @@ add("run_summary", lambda s, d: E.run_summary(D.runs(s, d)).select(
   FROM (SELECT DISTINCT CAST(user_id // 10 AS INTEGER) AS task_id, 'm' || (user_id % 4) AS model, user_id % 10 < 6 AS p, user_id FROM events) GROUP BY ROLLUP (task_id, model)""")
 add("score_outcome_leak", lambda s, d: rounded(E.discrimination(E.unpivot_scores(
     D.reports(s, d), ("quality_score", "process_score"), [*K, "passed"]), ["score_type"]).select("score_type", "auroc")))
+
+
+def outcome_tiers(s, d):
+    """Tier shares of the score with the outcome term and of the one without it."""
+    out = None
+    for column in ("quality_score", "process_score"):
+        r = D.reports(s, d).withColumn("tier", A.revised_tier(F.rint(column).cast("int"), F.col("passed")))
+        part = E.tier_distribution(r, "tier").withColumn("score_type", F.lit(column))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+add("outcome_tiers", outcome_tiers)
 add("signal_auroc", lambda s, d: rounded(E.signal_auroc(long_scores(s, d))),
     sql("").rstrip() + disc_sql("score_type") + " SELECT score_type, round(greatest(auroc, 1 - auroc), 6) AS auroc FROM ds")
 add("holdout_split", lambda s, d: E.holdout_split(D.runs(s, d), 3, 2, 2), """SELECT task_id, trajectory_id, passed, CASE WHEN NOT passed THEN 'test_fail' WHEN r <= 3 THEN 'train' ELSE 'test_pass' END AS split FROM (
