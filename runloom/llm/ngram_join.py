@@ -40,7 +40,7 @@ from runloom.plans.store import drop_path, shared_path, written
 WORDS = 4
 PERCENT = 85
 #: Buckets of the frequency table, one byte each when it is broadcast.
-RANK_BITS, SLICE_BITS = 24, 16
+RANK_BITS, SLICE_BITS = 23, 16
 PARTS = 64
 BLOCK = 2048
 #: Lists of up to so many members are joined as they are.
@@ -108,7 +108,7 @@ def _added(key: tuple, rows: pa.Table) -> pa.Table:
 
 def rank_table(counts: DataFrame) -> np.ndarray:
     """One byte per bucket, rising with the count, from the (slice, counts) rows of all tasks. Added up
-    on executors, in two steps where there are many tasks; the driver gets 16 MB whatever the input."""
+    on executors, in two steps where there are many tasks; the driver gets 8 MB whatever the input."""
     tasks = counts.count() >> (RANK_BITS - SLICE_BITS)
     salts = 1 + isqrt(tasks) // 16
     kind = "slice int, counts binary"
