@@ -9,6 +9,7 @@
   Nodes meet in the list of such a shingle.
 * **Length and position.** At the first common shingle, both sets need enough shingles from it on. For
   a member of n shingles at place p this bounds the partner's size: t n <= m <= (n - p) (1 + t) / t - n.
+  A member whose neighbours by size in the list are both out of reach leaves the list.
 * **Suffix.** Counts of both sets by ``PARTS`` partitions of the shingles bound what can be shared.
 * **Verification** on full sets of 64-bit shingle hashes, once per pair.
 
@@ -235,12 +236,16 @@ class _Join:
         where = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")  # size and place in one number: half the shuffle
         postings = own.select("node", "n", F.posexplode("prefix").alias("pos", "token")).where(
             _reach(F.col("n").cast("long"), F.col("pos"), percent) >= need(F.col("n").cast("long"), percent)).select("token", "node", where.alias("at"))
-        lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
-        met = postings.join(lists, "token").select("token", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0x7FFFFFFF).alias("pos"))
+        # One shuffle and one sort, by shingle and size: a member stays if its neighbour below is large enough
+        # or its neighbour above small enough to link with it; otherwise no member of the list is.
+        by_size = Window.partitionBy("token").orderBy("at")
+        near = postings.select("*", F.lag("at").over(by_size).alias("_less"), F.lead("at").over(by_size).alias("_more"))
+        met = near.select("token", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0x7FFFFFFF).alias("pos"), "_less", "_more")
+        fits = (F.shiftright("_less", 32) >= need(F.col("n"), percent)) | (F.shiftright("_more", 32) <= _reach(F.col("n"), F.col("pos"), percent))
+        met = met.where(fits).select("token", "node", "n", "pos")
         # The center is the member with the fewest rarer shingles of its own: of edited copies, the original.
-        # The join has dealt and sorted the rows by shingle already, so the window adds no shuffle.
         members = Window.partitionBy("token")
-        self.shared = written(met.select("*", F.min(F.struct("pos", "node", "n")).over(members).alias("center"), F.count(F.lit(1)).over(members).alias("members")), "shared")
+        self.shared = written(met.select("*", F.min(F.struct("pos", "node", "n")).over(members).alias("center"), F.count(F.lit(1)).over(members).alias("members")).where("members > 1"), "shared")
         drop_path(spark, path)
 
     def star_pairs(self) -> DataFrame:
