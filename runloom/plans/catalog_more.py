@@ -11,6 +11,7 @@ from runloom.operators import equivalence as Q
 from runloom.operators import evaluate as E
 from runloom.operators import matching as M
 from runloom.operators import similarity as S
+from runloom.operators import top_cosine as TC
 from runloom.plans import catalog_match as CM
 from runloom.plans import dataset as D
 from runloom.plans import store
@@ -63,12 +64,12 @@ def embedding_baseline(s, d):
         dn = D.donors(s, d).select(*K)
         ref = v.join(dn, K).withColumnRenamed("trajectory_id", "donor_id")
         cand = v.join(dn.select("task_id").distinct(), "task_id", "left_semi").join(dn, K, "left_anti")
-        return S.soft_match(cand, ref, K, ["donor_id"], on=["task_id"]).groupBy(*K).agg(
-            F.count(F.lit(1)).alias("donors"), *[F.avg(c).alias(c) for c in ("soft_precision", "soft_recall", "soft_f1")])
+        return TC.soft_match_sparse(cand, ref, K, ["donor_id"], on=["task_id"]).groupBy(*K).agg(
+            F.count(F.lit(1)).alias("donors"), F.sum("compared").alias("compared"), F.sum("pairs").alias("pairs"), *[F.avg(c).alias(c) for c in ("soft_precision", "soft_recall", "soft_f1")])
     return staged(s, "embedding_baseline", d, build)
 
 
-add("embedding_baseline", lambda s, d: embedding_baseline(s, d).select(*K, "donors", F.round("soft_f1", 6).alias("soft_f1")))
+add("embedding_baseline", lambda s, d: embedding_baseline(s, d).select(*K, "donors", F.round("soft_f1", 6).alias("soft_f1"), "compared", "pairs"))
 add("embedding_vs_graph", lambda s, d: E.discrimination(E.unpivot_scores(
     embedding_baseline(s, d).join(D.reports(s, d).select(*K, "passed", "process_score"), K).withColumn("embedding", F.col("soft_f1")),
     ("embedding", "process_score"), [*K, "passed"], unit_scale=("embedding",)), ["score_type"]).select("score_type", F.round("auroc", 6).alias("auroc")))
