@@ -25,7 +25,7 @@ def labelled_only(states: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFram
 
 def actionable(states: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """Drop model requests and close the gaps in ``seq``."""
-    return renumber(states.where(F.col("kind") != "request"), keys)
+    return renumber(states.where(~F.col("kind").eqNullSafe("request")), keys)
 
 
 def signature() -> Column:

@@ -59,7 +59,7 @@ def reference_paths(path_states: DataFrame, ids: DataFrame, keys: Sequence[str],
     """
     keys = list(keys)
     letter = F.when(blank("intent_stage") == "", "-").otherwise(stage_letter(F.col("intent_stage")))
-    one = (path_states.where(F.col("kind") != "request").join(ids, [*id_keys, "sig"])
+    one = (path_states.where(~F.col("kind").eqNullSafe("request")).join(ids, [*id_keys, "sig"])
            .groupBy(*keys, "path_id").agg(F.array_sort(F.collect_list(F.struct(
                "pos", "rid", letter.alias("s"), blank("tool_used").alias("tool"),
                blank("file_path").alias("file")))).alias("_x")))

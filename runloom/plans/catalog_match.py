@@ -270,6 +270,18 @@ add("match_run_canonical", lambda s, d: M.match_metrics(M.best_match(lone_hits(s
     f"FROM {PRF} JOIN stm USING (trajectory_id) JOIN tm USING (trajectory_id)")
 add("match_run_canonical_merged", lambda s, d: D.match_run(s, d, "canonical").select(
     *K, "best_path", "coverage_percent", "weighted_score", "terminal_match"))
+
+
+def match_all_paths(s, d):
+    """The best of all paths beside the best of the listed ones; ``n_paths`` counts all."""
+    names = ("matched_count", "total_ref_states", "coverage_percent", "weighted_score")
+    total = D.path_facts(s, d).where("fact = 'total'").select("task_id", F.col("n").alias("n_paths"))
+    every = D.match_all_paths(s, d).select(*K, F.col("best.n_stages").alias("n_stages"), *names)
+    some = D.metrics(s, d).select(*K, F.col("best.n_stages").alias("listed_stages"), *[F.col(c).alias(f"listed_{c}") for c in names])
+    return every.join(some, K).join(total, "task_id")
+
+
+add("match_all_paths", match_all_paths)
 add("rank_paths", lambda s, d: M.path_counts(lone_hits(s, d), lone_refs(s, d), ["task_id"]).select(
     *K, F.posexplode("matched").alias("path", "matched")).select(*K, F.col("path").cast("long"), F.col("matched").cast("long")),
     MBASE + " SELECT task_id, trajectory_id, CAST(0 AS BIGINT) AS path, CAST(len(mpos) AS BIGINT) AS matched FROM s2")

@@ -11,7 +11,9 @@ from runloom.operators import assess as A
 from runloom.operators import matching as M
 from runloom.operators import refgraph as G
 from runloom.operators import waste as Wt
+from runloom.operators.best_path import best_match_all
 from runloom.operators.equivalence import equivalence_pairs, with_signature
+from runloom.operators.features import actionable
 from runloom.operators.scan import spread
 from runloom.plans.adapter import staged_steps
 from runloom.plans.store import staged
@@ -119,10 +121,12 @@ def matched_path_states(s: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(s: SparkSession, d: str) -> DataFrame:
-    """Runs that are no donors, in tasks that have a reference."""
-    dn = donors(s, d)
-    return sig_steps(s, d).join(dn.select("task_id").distinct(), "task_id", "left_semi") \
-        .join(dn.select(*RUN), RUN, "left_anti")
+    """Runs that are no donors, in tasks that have a reference, without model requests."""
+    def build():
+        dn = donors(s, d)
+        return actionable(sig_steps(s, d).join(dn.select("task_id").distinct(), "task_id", "left_semi")
+                          .join(dn.select(*RUN), RUN, "left_anti"))
+    return staged(s, "candidates", d, build)
 
 
 def reference_rows(s: SparkSession, d: str) -> DataFrame:
@@ -144,6 +148,12 @@ def match_run(s: SparkSession, d: str, strategy: str = "best_match") -> DataFram
     return M.match_metrics(best, M.run_features(candidates(s, d)))
 
 
+def match_all_paths(s: SparkSession, d: str) -> DataFrame:
+    """Every run with the best of all paths of its graph, which are not listed."""
+    best = best_match_all(spread(hits(s, d)), ref_states(s, d), ref_edges(s, d), ref_ends(s, d), M.reference_ids(ref_states(s, d)))
+    return M.match_metrics(best, M.run_features(candidates(s, d)))
+
+
 def metrics(s: SparkSession, d: str) -> DataFrame:
     return staged(s, "metrics", d, lambda: match_run(s, d))
 

@@ -67,3 +67,17 @@ def test_waste_by_tool_adds_up(spark, sf):
         by_tool[r.trajectory_id] = by_tool.get(r.trajectory_id, 0) + r.total_wasted
     for r in q["waste_summary"](spark, sf).collect():
         assert by_tool.get(r.trajectory_id, 0) == r.wasted_steps_distinct <= r.n_cand
+
+
+def test_best_of_all_paths_is_no_worse_than_the_listed(spark, sf):
+    rows = entry_module.queries()["match_all_paths"](spark, sf).collect()
+    assert rows
+    for r in rows:
+        every = (r.n_stages, r.matched_count, r.coverage_percent)
+        listed = (r.listed_stages, r.listed_matched_count, r.listed_coverage_percent)
+        assert every >= listed and (r.n_paths > 50 or every == listed)
+
+
+def test_indexed_soft_match_compares_fewer_pairs(spark, sf):
+    rows = entry_module.queries()["embedding_baseline"](spark, sf).collect()
+    assert rows and sum(r.compared for r in rows) < sum(r.pairs for r in rows)
