@@ -150,3 +150,16 @@ def test_many_user_tools_are_joined_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(R, "BROADCAST_ROWS", 2)
     slim = R.with_descriptor(df, "tool", extra)
     assert sorted(map(str, slim.collect())) == plain and len(plain) == 3
+
+
+def test_mix_percent_rounds_halves_up(spark):
+    """Shares that end in exactly half a tenth, as the check SQL rounds them."""
+    import duckdb
+
+    from runloom.operators import profile as P
+    cases = [(23, 80), (1, 16), (7, 80), (29, 80), (57, 80), (11, 16)]
+    steps = spark.createDataFrame([(0, i, "exploration" if j < n else "verification") for i, (n, m) in enumerate(cases) for j in range(m)],
+                                  "task_id int, trajectory_id int, intent_stage string")
+    got = {r.trajectory_id: r.pct for r in P.stage_mix(steps).where("stage = 'exploration'").collect()}
+    assert got == {i: duckdb.sql(f"SELECT round({n} * 100.0::DOUBLE / {m}, 1)").fetchall()[0][0] for i, (n, m) in enumerate(cases)}
+    assert got[0] == 28.8
