@@ -20,3 +20,17 @@ def test_broadcasts_go_by_rows_not_by_files(spark):
     assert n == 100_000 and "BroadcastHashJoin" not in plan
     n, plan = _final_plan(probe, short)
     assert n == 50 and "BroadcastHashJoin" in plan
+
+
+def test_each_broadcast_is_small(spark):
+    """Rows of some MB, below Spark's own limit of 10 MB, are not broadcast; a lower limit of the session holds."""
+    mid = store.staged(spark, "mid", "test_store", lambda: spark.range(10_000).withColumn("texts", F.array_repeat(F.lit("x" * 40), 10)))
+    n, plan = _final_plan(spark.range(2_000_000).withColumn("text", F.lit("y")), mid)
+    assert n == 10_000 and "BroadcastHashJoin" not in plan
+    adaptive = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    for limit, want in (("10m", str(store.BROADCAST_BYTES)), ("256k", str(256 << 10))):
+        other = spark.newSession()
+        other.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        store.joins_by_size(other)
+        store.joins_by_size(other)
+        assert other.conf.get(adaptive) == want and other.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
