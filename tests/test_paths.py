@@ -115,6 +115,17 @@ def test_files_of_all_formats_are_read(spark, tmp_path):
     assert bad == {"bad.json": "no valid JSON", "none.json": "no entries"}
 
 
+def test_documents_are_made_once_for_all_formats(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def make(text):
+        made.add(1)
+        return text
+    raw = spark.createDataFrame([(f"/{i}.json", (TRACE, CHAT)[i % 2]) for i in range(10)], "path string, raw string")
+    got = R.load_any(raw.withColumn("raw", F.udf(make)("raw"))).groupBy("source_format").count().collect()
+    assert {r.source_format: r["count"] for r in got} == {"chatlog": 5, "trace": 10} and made.value == 10
+
+
 def test_cyclic_graphs_against_listing():
     """Random graphs whose equal-step states form cycles: counts, tools and best paths of all simple paths."""
     import pandas as pd
