@@ -163,3 +163,21 @@ def test_mix_percent_rounds_halves_up(spark):
     got = {r.trajectory_id: r.pct for r in P.stage_mix(steps).where("stage = 'exploration'").collect()}
     assert got == {i: duckdb.sql(f"SELECT round({n} * 100.0::DOUBLE / {m}, 1)").fetchall()[0][0] for i, (n, m) in enumerate(cases)}
     assert got[0] == 28.8
+
+
+def test_flagged_steps_carry_no_texts(spark):
+    """Flags of a run's steps come with what the rules read, not with the steps' texts or the reference."""
+    steps = spark.createDataFrame(
+        [(1, 7, i, 4, 0, tool, "a.py", stage, 5, 2, "long text") for i, (tool, stage) in enumerate(
+            [("read_file", "exploration")] * 3 + [("run", "verification")])],
+        "task_id int, trajectory_id long, seq long, n_steps long, chunk long, tool_used string, file_path string, intent_stage string, "
+        "input_tokens long, output_tokens long, observation string")
+    reports = spark.createDataFrame(
+        [(1, 7, 4, ("EV", 2, []), ([0],))], "task_id int, trajectory_id long, n_cand int, best struct<stages: string, total: int, retry_sigs: array<string>>, "
+        "m struct<al_seq: array<int>>")
+    got = W.step_flags(steps, reports)
+    assert set(got.columns) == {"task_id", "trajectory_id", "seq", *W.FLAGGED, "aligned", "is_retry", "retry_start", "is_backtrack",
+                                "is_redundant", "is_late_exploration", "after_impl"}
+    rows = got.orderBy("seq").collect()
+    assert [(r.aligned, r.is_retry, r.retry_start, r.is_redundant, r.input_tokens) for r in rows] == [
+        (True, False, False, False, 5), (False, False, False, True, 5), (False, True, True, True, 5), (False, False, False, False, 5)]
