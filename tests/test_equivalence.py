@@ -4,9 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from runloom.operators.equivalence import cascade, equivalence_pairs, with_signature, word_keys
+from runloom.operators.equivalence import cascade, contents, equivalence_pairs, with_signature, word_keys
 from runloom.operators.intent import label_intent
 from runloom.operators.normalize import ENTRY_FIELDS, states_from_entries
+from runloom.plans.store import written
 
 
 def _entries(spark, rows):
@@ -75,3 +76,16 @@ def test_stage_gate_can_be_switched_off(spark):
     rows = [{**r, "run": "r0"} for r in ROWS]
     st = with_signature(label_intent(states_from_entries(_entries(spark, rows), confirm_last=False)))
     assert equivalence_pairs(st, st, use_stage=False).count() >= equivalence_pairs(st, st).count()
+
+
+def test_contents_of_many_tasks_are_compared_once(spark):
+    """Two tasks of the same contents have the pairs of one task each; no rows are sorted to find distinct contents."""
+    rows = [{**r, "run": "r0"} for r in ROWS[:12]]
+    st = written(with_signature(label_intent(states_from_entries(_entries(spark, rows), confirm_last=False))), "st")
+    both = st.unionByName(st.withColumn("task_id", F.lit("u")))
+    one, two = equivalence_pairs(st, st), equivalence_pairs(both, both)
+    want = {(t, r.ref_sig, r.cand_sig, r.method) for t in "tu" for r in one.collect()}
+    got = two.collect()
+    assert len(got) == len(want) and {(r.task_id, r.ref_sig, r.cand_sig, r.method) for r in got} == want
+    assert contents(both, both).count() == st.select("sig").distinct().count()
+    assert "SortAggregate" not in contents(both, both)._jdf.queryExecution().executedPlan().toString()
