@@ -163,3 +163,13 @@ def test_auroc_is_mann_whitney_and_single_class_drops(spark):
     assert set(out) == {"g"} and abs(out["g"].auroc - u / (len(p) * len(f))) < 1e-12
     r = out["g"]
     assert r.tp + r.fn == len(p) and r.fp + r.tn == len(f)
+
+
+def test_counts_of_paths_that_share_their_way_are_those_of_each_path():
+    rnd = random.Random(5)
+    for _ in range(300):
+        hits = {r: sorted(rnd.sample(range(12), rnd.randint(0, 6))) for r in range(6)}
+        stem = [rnd.randrange(7) for _ in range(6)]
+        paths = [stem[:rnd.randint(0, 6)] + [rnd.randrange(7) for _ in range(rnd.randint(0, 4))] for _ in range(6)]
+        n = rnd.choice((0, 12))
+        assert M.greedy_set_counts(paths, hits, n) == [len(M.greedy_set(p, hits, n)[0]) for p in paths]
