@@ -1,5 +1,7 @@
 """Graphs of many cells are those that ``refgraph`` makes of the same runs, from rows without texts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from runloom.operators import cell_graphs as CG
 from runloom.operators import evaluate as E
 from runloom.operators import matching as M
 from runloom.operators import refgraph as G
+from runloom.operators import waste as W
 from runloom.operators.equivalence import with_signature
 from runloom.plans import dataset as D
 from runloom.plans import studies as S
@@ -60,6 +63,24 @@ def test_paths_facts_and_references(both):
     assert _rows(ids, "task_id", "sig", "rid") == _rows(new["states"].select("task_id", "sig", "rid").distinct(), "task_id", "sig", "rid")
 
 
+def test_cycles_of_listed_paths(both):
+    old, new = both
+    want = W.reference_cycles(old["paths"].join(old["states"], [*CELL, "merged_id"]), CELL)
+    assert _rows(want, *CELL, "path_id", "pattern") == _rows(CG.cell_cycles(new["graphs"], CELL), *CELL, "path_id", "pattern")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_are_the_cycles_of_windows(spark, seed):
+    """Many overlapping cycles: two marks only."""
+    rnd = random.Random(seed)
+    paths = [[rnd.choice("ab") for _ in range(rnd.randint(2, 40))] for _ in range(30)]
+    rows = [(0, r, i, len(p), 0, m, "", "") for r, p in enumerate(paths) for i, m in enumerate(p)]
+    steps = spark.createDataFrame(rows, "task_id int, trajectory_id long, seq long, n_steps long, chunk long, tool_used string, file_path string, intent_stage string")
+    found = W.with_pattern(W.raw_cycles(steps), steps).select("trajectory_id", "pattern").distinct().collect()
+    got = {(r, p) for r, path in enumerate(paths) for n in W.PATTERN_LENGTHS for p in CG.repeats([f"{m}||" for m in path], n)}
+    assert got == {(r.trajectory_id, r.pattern) for r in found} and len(got) > 20
+
+
 def test_contents_are_those_of_the_states(both):
     old, new = both
     book = {r.sig: r.c for r in CG.cell_contents(new["narrow"]).distinct().collect()}
